@@ -42,9 +42,9 @@ GREEK = "αβγδεζηθικλμνξοπρστυφχψω"
 
 def homograph_class() -> str:
     """Pattern class of all characters whose lower-case form is a look-alike
-    (U+2126, the ohm sign, lowers to a Greek letter)."""
+    (the ohm sign U+2126 and the theta symbol U+03F4 lower to Greek letters)."""
     chars = LOOKALIKES + GREEK
-    return "[" + "".join(sorted(set(chars) | set(chars.upper()) | {"Ω"})) + "]"
+    return "[" + "".join(sorted(set(chars) | set(chars.upper()) | {"\u2126", "\u03f4"})) + "]"
 
 
 @dataclass(frozen=True)
