@@ -4,7 +4,9 @@ Counts are in code points. A character is a *digit* when it has a Unicode digit
 value (decimal digits and the superscript/circled forms below), a *letter* when
 it is in category L, and *special* when it is neither letter nor number.
 Strings that are pure ASCII (byte length = length) take the cheaper ASCII
-patterns; the result is the same.
+patterns; the result is the same. The ASCII patterns use the named classes
+(``\p{Alpha}``, ``\p{Alnum}``): one table lookup per character, where a union of
+ranges such as ``[^A-Za-z]`` costs several calls and is many times slower.
 """
 
 from __future__ import annotations
@@ -40,15 +42,15 @@ def count_of(s: Column, char: str) -> Column:
 def digit_count(s: Column) -> Column:
     return _by_script(
         s,
-        F.length(F.regexp_replace(s, "[^0-9]+", "")),
-        F.length(F.regexp_replace(s, NOT_DIGIT + "+", "")),
+        F.length(F.regexp_replace(s, r"\P{Digit}+", "")),
+        F.length(F.regexp_replace(F.regexp_replace(s, r"\P{N}+", ""), NOT_DIGIT + "+", "")),
     )
 
 
 def letter_count(s: Column) -> Column:
     return _by_script(
         s,
-        F.length(F.regexp_replace(s, "[^A-Za-z]+", "")),
+        F.length(F.regexp_replace(s, r"\P{Alpha}+", "")),
         F.length(F.regexp_replace(s, r"\P{L}+", "")),
     )
 
@@ -67,17 +69,17 @@ def _longest_run(s: Column, ascii_class: str, any_class: str) -> Column:
 
 
 def longest_digit_run(s: Column) -> Column:
-    return _longest_run(s, "[0-9]", DIGIT)
+    return _longest_run(s, r"\p{Digit}", DIGIT)
 
 
 def longest_letter_run(s: Column) -> Column:
-    return _longest_run(s, "[A-Za-z]", r"\p{L}")
+    return _longest_run(s, r"\p{Alpha}", r"\p{L}")
 
 
 def longest_special_run(s: Column) -> Column:
     """Cut at the letters and numbers; a search for the negated class is far slower."""
     return _by_script(
-        s, longest(F.split(s, "[A-Za-z0-9]+")), longest(F.split(s, r"[\p{L}\p{N}]+"))
+        s, longest(F.split(s, r"\p{Alnum}+")), longest(F.split(s, r"[\p{L}\p{N}]+"))
     )
 
 

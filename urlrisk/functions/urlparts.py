@@ -31,6 +31,12 @@ UNSAFE_COMPAT = (
 )
 
 
+# The generic URI pattern of RFC 3986, appendix B, with a stricter scheme.
+SPLIT = (
+    r"(?s)\A(?:(\p{Alpha}[\p{Alnum}+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z"
+)
+
+
 def ipv6_pattern() -> str:
     """IPv6 address grammar of RFC 3986, with an optional %zone."""
     h16 = "[0-9A-Fa-f]{1,4}"
@@ -45,7 +51,16 @@ def ipv6_pattern() -> str:
         else:
             tail = {0: ls32, -1: h16, -2: ""}[right]
         forms.append(f"{head}::{tail}")
-    return r"\A(?:" + "|".join(forms) + r")(?:%[^%]+)?\z"
+    return "(?:" + "|".join(forms) + r")(?:%[^%\]]+)?"
+
+
+def authority_pattern() -> str:
+    """No brackets at all, or the text between the first [ and the next ] is an
+    IPv6 or IPvFuture address (the ] may also stand before the [)."""
+    host = rf"(?:v[a-fA-F0-9]+\.[^\]]+|{ipv6_pattern()})"
+    return (
+        rf"\A(?:[^\[\]]*|[^\[]*\[{host}\].*|[^\[\]]*\][^\[]*\[{host})\z"
+    )
 
 
 def with_scheme(url: Column) -> Column:
@@ -66,17 +81,7 @@ def _after(s: Column, head: Column, skip: int) -> Column:
 def valid_authority(netloc: Column) -> Column:
     """False for unbalanced brackets, a bracketed host that is no IPv6 or IPvFuture
     address, or characters that turn into delimiters under compatibility mapping."""
-    opened, closed = F.contains(netloc, F.lit("[")), F.contains(netloc, F.lit("]"))
-    host = F.substring_index(_after(netloc, F.substring_index(netloc, "[", 1), 1), "]", 1)
-    good_host = F.when(
-        F.startswith(host, F.lit("v")), host.rlike(r"\Av[a-fA-F0-9]+\..+\z")
-    ).otherwise(host.rlike(ipv6_pattern()))
-    return (
-        F.when(opened & closed, good_host)
-        .when(opened | closed, F.lit(False))
-        .when(F.octet_length(netloc) == F.length(netloc), F.lit(True))
-        .otherwise(~netloc.rlike(UNSAFE_COMPAT))
-    )
+    return netloc.rlike(authority_pattern()) & ~netloc.rlike(UNSAFE_COMPAT)
 
 
 PART_COLUMNS = ("scheme", "netloc", "path", "params", "query", "fragment")
@@ -85,51 +90,34 @@ PART_COLUMNS = ("scheme", "netloc", "path", "params", "query", "fragment")
 def add_url_parts(df: DataFrame, url: str = "url", prefix: str = "") -> DataFrame:
     """Append the six part columns and ``is_valid_url`` (prefix applies to all).
 
-    Each step is its own projection, so that an expression used several times
-    later is computed once. A NULL url gives empty parts and is not valid.
+    One pattern match writes the five groups as lines, which cannot occur in a
+    cleaned URL, and a split reads them back. Every part refers to the URL once,
+    so a filter that Catalyst pushes down to the scan stays small. A NULL url
+    gives empty parts and is not valid.
     """
     p, c = prefix, lambda name: F.col(prefix + name)
     text = F.coalesce(F.col(url), F.lit(""))
-    df = df.withColumn(p + "clean", strip_unsafe(with_scheme(text)))
-    df = df.withColumn(p + "head", F.substring_index(c("clean"), "#", 1))
-    df = df.withColumn(p + "before", F.substring_index(c("head"), "?", 1))
-    df = df.withColumn(
-        p + "rawscheme", F.regexp_extract(c("before"), r"\A([A-Za-z][A-Za-z0-9+.\-]*):", 1)
-    )
-    df = df.withColumn(
-        p + "rest",
-        F.when(c("rawscheme") != "", _after(c("before"), c("rawscheme"), 1)).otherwise(c("before")),
-    )
-    has_authority = F.startswith(c("rest"), F.lit("//"))
-    df = df.withColumn(
-        p + "netloc",
-        F.when(
-            has_authority, F.substring_index(F.substr(c("rest"), F.lit(3)), "/", 1)
-        ).otherwise(F.lit("")),
-    )
-    df = df.withColumn(
-        p + "fullpath",
-        F.when(has_authority, _after(c("rest"), c("netloc"), 2)).otherwise(c("rest")),
+    lines = F.regexp_replace(strip_unsafe(with_scheme(text)), SPLIT, "$1\n$2\n$3\n$4\n$5")
+    df = df.withColumn(p + "groups", F.split(lines, "\n"))
+    df = df.withColumns(
+        {
+            p + name: F.get(c("groups"), F.lit(i))
+            for i, name in enumerate(("rawscheme", "netloc", "fullpath", "query", "fragment"))
+        }
     )
     scheme = F.lower(c("rawscheme"))
-    takes_params = scheme.isin(*PARAM_SCHEMES) & F.contains(c("fullpath"), F.lit(";"))
+    takes_params = F.contains(c("fullpath"), F.lit(";")) & scheme.isin(*PARAM_SCHEMES)
     df = df.withColumns(
         {
             p + "scheme": scheme,
             p + "path": F.when(
                 takes_params, F.regexp_replace(c("fullpath"), r"(?s);[^/]*\z", "")
             ).otherwise(c("fullpath")),
-            p + "query": _after(c("head"), c("before"), 1),
-            p + "fragment": _after(c("clean"), c("head"), 1),
-        }
-    )
-    df = df.withColumns(
-        {
-            p + "params": _after(c("fullpath"), c("path"), 1),
             p + "is_valid_url": F.col(url).isNotNull() & valid_authority(c("netloc")),
         }
     )
-    return df.drop(*[p + t for t in ("clean", "head", "before", "rawscheme", "rest", "fullpath")])
+    df = df.withColumn(p + "params", _after(c("fullpath"), c("path"), 1))
+    return df.drop(p + "groups", p + "rawscheme", p + "fullpath")
 
 
 def rebuilt_url(prefix: str = "") -> Column:

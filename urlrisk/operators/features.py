@@ -218,16 +218,16 @@ def _query_level(d: Dictionaries) -> dict[str, Column]:
         "redirect_parameter_flag": flag(contains_any(lower, REDIRECT_PARAMS)),
         "script_in_url_flag": flag(F.contains(full, F.lit("script"))),
         "auto_download_param_flag": flag(contains_any(lower, d.auto_download_params)),
-        "base64_in_url_flag": flag(full.rlike("[a-z0-9+/]{20}")),
+        "base64_in_url_flag": flag(full.rlike(r"[\p{Alnum}+/]{20}")),
     }
 
 
 def _pattern_level(d: Dictionaries) -> dict[str, Column]:
     u = _w("url")
     return {
-        "mixed_token_flag": flag(u.rlike(r"[a-zA-Z]\p{Nd}|[0-9][a-zA-Z]")),
-        "hex_encoding_flag": flag(u.rlike("%[0-9a-fA-F]{2}")),
-        "obfuscation_pattern_flag": flag(u.rlike("[a-zA-Z0-9]{20}")),
+        "mixed_token_flag": flag(u.rlike(r"\p{Alpha}\p{Nd}|\p{Digit}\p{Alpha}")),
+        "hex_encoding_flag": flag(u.rlike(r"%\p{XDigit}{2}")),
+        "obfuscation_pattern_flag": flag(u.rlike(r"\p{Alnum}{20}")),
     }
 
 

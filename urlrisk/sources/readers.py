@@ -97,7 +97,7 @@ def read_url_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def split_urls(text: Column) -> Column:
     """Comma-separated URLs as an array, trimmed, blanks dropped."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda u: u != "")
+    return F.filter(F.transform(F.split(text, ","), lambda u: F.trim(u)), lambda u: u != "")
 
 
 def read_test_urls(spark: SparkSession, path: str) -> DataFrame:
