@@ -270,6 +270,16 @@ def _optional(d: Dictionaries) -> dict[str, Column]:
     }
 
 
+_LEVELS = (
+    (_url_level, ("url_level", "url_level_thresholds")),
+    (_domain_level, ("domain_level",)),
+    (_path_level, ("path_level",)),
+    (_query_level, ("query_level",)),
+    (_pattern_level, ("pattern_features",)),
+    (_optional, tuple(catalog.OPTIONAL_GROUPS)),
+)
+
+
 def add_features(
     df: DataFrame,
     url: str = "url",
@@ -302,8 +312,9 @@ def add_features(
             work = add_substring_flag(work, P + "lower_host", words, P + hit, P + "url")
 
     exprs: dict[str, Column] = {}
-    for level in (_url_level, _domain_level, _path_level, _query_level, _pattern_level, _optional):
-        exprs.update(level(d))
+    for level, of_groups in _LEVELS:
+        if any(name in names for g in of_groups for name, _ in catalog.ALL_GROUPS[g]):
+            exprs.update(level(d))
     catalog.check_declared(exprs)
 
     factors = {**(catalog.default_weights() if apply_weights else {}), **(weights or {})}

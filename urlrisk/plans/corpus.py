@@ -17,11 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a table that was read in fewer pieces than there are cores, since
+    the work per row is heavy. A large input already has more and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def url_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row_id, k (shape), url, label."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("page_url"))
-    events = table(spark, sf_dir, "events").select("event_id", "event_type")
-    n_pages = pages.agg(F.count("*")).scalar()
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("page_url")))
+    events = spread(table(spark, sf_dir, "events").select("event_id", "event_type"))
+    n_pages = table(spark, sf_dir, "pages").agg(F.count("*")).scalar()
     picked = events.select(
         "event_id",
         "event_type",

@@ -1003,11 +1003,11 @@ def stream_scoring(spark, sf_dir):
 
 @query(
     f"WITH {fs.with_features(_NUM)}, long AS (UNPIVOT (SELECT {', '.join(_NUM)} FROM feats) ON COLUMNS(*) INTO NAME feature VALUE v)\n"
-    "SELECT feature, round(var_pop(v), 9) AS variance FROM long GROUP BY feature"
+    "SELECT feature, round(var_pop(v), 4) AS variance FROM long GROUP BY feature"
 )
 def feature_variance(spark, sf_dir):
     df = add_features(url_corpus(spark, sf_dir), apply_weights=False)
-    return se.variances(df, _NUM).withColumn("variance", F.round("variance", 9))
+    return se.variances(df, _NUM).withColumn("variance", F.round("variance", 4))
 
 
 _FLAGS = [n for g in catalog.GROUPS.values() for n, kind in g if kind == "binary"]
