@@ -155,3 +155,11 @@ def test_sinks_and_registry(spark, tmp_path):
     log = {r["url"]: (r["accuracy_score"], r["f1_score"])
            for r in spark.read.parquet(f"{root}/registry/prediction").collect()}
     assert log == {"u": (0.9, 0.2), "v": (0.8, 0.0)}
+
+
+def test_stored_uses_the_shared_folder(spark):
+    from urlrisk.sources.paths import shared_dir, stored
+
+    df = stored(spark.range(5), "numbers")
+    assert df.inputFiles() and all(shared_dir(spark) in f for f in df.inputFiles())
+    assert df.count() == 5

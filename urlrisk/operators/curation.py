@@ -59,7 +59,12 @@ def conflicts(df: DataFrame) -> DataFrame:
 
 
 def remove_conflicts(df: DataFrame) -> DataFrame:
-    """All rows whose URL has one label only; rows without URL stay."""
+    """All rows whose URL has one label only; rows without URL stay.
+
+    The other columns are kept, so this needs a join; the right side has one row
+    per URL, and adaptive execution splits the left partition of a hot URL. Use
+    `settle` when one row per URL is enough: it needs no join.
+    """
     bad = df.where("url IS NOT NULL").groupBy("url").agg(
         F.min("label").alias("lo"), F.max("label").alias("hi")
     ).where("lo <> hi").select("url")
