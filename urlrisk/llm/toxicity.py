@@ -29,15 +29,16 @@ class Settings:
     unlabelled: int = 8000
     vocabulary: int = 512
     min_documents: int = 5
-    steps: int = 300
+    min_z: float = 5.0  #: significance of the difference between positives and unlabelled
+    steps: int = 500
     rate: float = 0.1
-    l2: float = 1e-4
+    l2: float = 1e-5
     seed: int = 11
 
 
 @dataclass(frozen=True)
 class Model:
-    """A linear classifier on the presence of words."""
+    """A linear classifier on the presence of words and word beginnings."""
 
     weights: dict[bytes, float] = field(default_factory=dict)
     bias: float = -20.0
@@ -45,13 +46,15 @@ class Model:
     def score(self, text: bytes | None) -> float:
         import math
 
-        z = self.bias + sum(self.weights[w] for w in self.weights.keys() & word_set(text))
+        z = self.bias + sum(self.weights[w] for w in self.weights.keys() & features(text))
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
-def word_set(text: bytes | None) -> set[bytes]:
-    """Distinct words of a text, ASCII letters in lower case."""
-    return set((text or b"").lower().translate(_SPLIT).split())
+def features(text: bytes | None) -> set[bytes]:
+    """Distinct words of a text, ASCII letters in lower case, and the first four and five
+    bytes of each longer word, marked by a star."""
+    words = set((text or b"").lower().translate(_SPLIT).split())
+    return words | {w[:4] + b"*" for w in words if len(w) > 4} | {w[:5] + b"*" for w in words if len(w) > 5}
 
 
 def fit_nnpu(x, positive, prior: float, settings: Settings):
@@ -85,7 +88,8 @@ def _word_lists(batches: Iterator) -> Iterator:
 
     for whole in batches:
         for batch in slices(whole, 512):
-            words = [sorted(w.decode() for w in word_set(t)) for t in utf8(batch.column(1))]
+            # One character for each byte: a beginning may end within a letter.
+            words = [sorted(w.decode("latin-1") for w in features(t)) for t in utf8(batch.column(1))]
             yield pa.record_batch([batch.column(0), pa.array(words, pa.list_(pa.string()))], names=("positive", "words"))
 
 
@@ -121,7 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings
     counts = sample.select("positive", F.explode("words").alias("word")).groupBy("word").agg(in_p.alias("p"), in_u.alias("u"))
     share = (F.col("p") + F.col("u") + 1) / float(n_p + n_u + 2)
     z = (F.col("p") / float(n_p) - F.col("u") / float(n_u)) / F.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
-    chosen = counts.where(F.col("p") + F.col("u") >= settings.min_documents).orderBy(F.abs(z).desc(), "word").limit(settings.vocabulary)
+    clear = (F.col("p") + F.col("u") >= settings.min_documents) & (F.abs(z) >= settings.min_z)
+    chosen = counts.where(clear).orderBy(F.abs(z).desc(), "word").limit(settings.vocabulary)
     vocabulary = [r.word for r in chosen.collect()]
     if not vocabulary:
         return Model(bias=float(np.log(prior / (1 - prior))))
@@ -134,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings
         x[i, [index[w] for w in words]] = 1
     positive = np.array(kept.column("positive").to_pylist(), bool)
     weights, bias = fit_nnpu(x, positive, prior, settings)
-    return Model({w.encode(): float(a) for w, a in zip(vocabulary, weights, strict=True)}, bias)
+    return Model({w.encode("latin-1"): float(a) for w, a in zip(vocabulary, weights, strict=True)}, bias)
 
 
 def score(docs: DataFrame, model, carry: list[str] | None = None) -> DataFrame:
