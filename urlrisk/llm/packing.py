@@ -26,7 +26,14 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids binary"
 GROUP_ROWS = 8192
 
 #: Words whose ids a worker keeps; beyond, the cache starts anew (ids do not depend on it).
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
+
+
+#: Marks that stand alone after an ASCII letter.
+_MARKS = frozenset(b".,;:!?")
+
+#: Bytes of text whose words are held at once.
+PART_BYTES = 1 << 20
 
 
 class _Words(dict):
@@ -45,39 +52,59 @@ class _Words(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
 
-    def load(self, words: list[bytes]) -> None:
-        import numpy as np
-
-        if len(self) + len(words) > CACHE_WORDS:
+    def need(self, words: set[bytes]) -> None:
+        """Load what is missing of `words`."""
+        new = {w for w in words if w not in self}
+        if len(self) + len(new) > CACHE_WORDS:
             self.clear()
+            new = words
+        # A mark after a letter is a token of its own: such words follow from their parts.
+        marked = {w for w in new if len(w) > 1 and w[-1] in _MARKS and 97 <= w[-2] <= 122}
+        plain = (new - marked) | {w[:-1] for w in marked} | {w[-1:] for w in marked}
+        self._load([w for w in plain if w not in self])
+        for w in marked:
+            self[w] = self[w[:-1]] + self[w[-1:]]
+
+    def _load(self, words: list[bytes]) -> None:
+        from array import array
+
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         for w, e in zip(words, found, strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+            self[w] = array("I", e.ids).tobytes()
+
+
+_loaded: dict[tuple, _Words] = {}  # one per worker process
+
+
+def _words_of(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, part by part. The tokenizer ignores case, so words are taken
+    in lower case, but not where a special token may stand."""
+    text = text if b"<|" in text else text.lower()
+    at = 0
+    while at < len(text):
+        end = at + PART_BYTES
+        while end < len(text) and text[end] not in b" \t\n\v\f\r":
+            end += 1
+        yield text[at:end].split()
+        at = end
 
 
 def _tokenize(batches: Iterator, capacity: int, path: str | None, name: str) -> Iterator:
     import pyarrow as pa
 
-    cache, width = _Words(path, name), 4 * capacity
+    if (path, name) not in _loaded:
+        _loaded[path, name] = _Words(path, name)
+    cache, width = _loaded[path, name], 4 * capacity
     names = ("doc_id", "piece", "start", "length", "ids")
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
     for whole in batches:
         for batch in slices(whole, 256):
-            texts = [(t or b"").split() for t in utf8(batch.column(1))]
-            # Texts with many new words are loaded in parts, so that the cache stays bounded.
             rows = []
-            for doc, words in zip(batch.column(0).to_pylist(), texts, strict=True):
+            for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 parts = []
-                for a in range(0, max(len(words), 1), 50_000):
-                    part = words[a : a + 50_000]
-                    try:
-                        parts.append(b"".join([cache[w] for w in part]))
-                    except KeyError:
-                        new = list({w for w in part if w not in cache})
-                        cache.load(new)
-                        if any(w not in cache for w in part):  # the cache has started anew
-                            cache.load(list(set(part)))
-                        parts.append(b"".join([cache[w] for w in part]))
+                for words in _words_of(text or b""):
+                    cache.need(set(words))
+                    parts.append(b"".join([cache[w] for w in words]))
                 ids = b"".join([*parts, b"\0\0\0\0"])
                 for k, at in enumerate(range(0, len(ids), width)):
                     piece = ids[at : at + width]
@@ -94,7 +121,8 @@ def pieces(
     A document's ids end with id 0; longer ones are cut every `capacity` ids. `ids` are
     little-endian unsigned 32-bit numbers. Null and empty texts are the id 0 alone. The
     tokenizer's file is `tokenizer_path`, or the named public one as each worker finds it.
-    It must split at white space, as `word_bpe_49k.json` does.
+    It must split at white space and before a mark that follows a letter, and ignore
+    case, as `word_bpe_49k.json` does.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     return rows.mapInArrow(lambda it: _tokenize(it, capacity, tokenizer_path, tokenizer), PIECE_SCHEMA)
