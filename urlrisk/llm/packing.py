@@ -32,6 +32,20 @@ CACHE_WORDS = 600_000
 #: Marks that stand alone after an ASCII letter.
 _MARKS = frozenset(b".,;:!?")
 
+#: How byte-level vocabularies write a byte: visible Latin-1 characters as themselves, the
+#: others as the characters from 256 on, in order.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+
+
+def _plain(word: str) -> bool:
+    """Whether a word is lower-case Latin letters only, which the tokenizer's model gets
+    whole and as they are."""
+    from unicodedata import is_normalized
+
+    return word.isalpha() and word == word.lower() and max(word) < "\u0250" and is_normalized("NFC", word)
+
+
 #: Bytes of text whose words are held at once.
 PART_BYTES = 1 << 20
 
@@ -68,8 +82,15 @@ class _Words(dict):
     def _load(self, words: list[bytes]) -> None:
         from array import array
 
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        for w, e in zip(words, found, strict=True):
+        rest = []
+        for w in words:
+            if (w.isalpha() and w.islower()) or _plain(w.decode()):
+                tokens = self.tokenizer.model.tokenize(w.decode("latin-1").translate(_BYTE_LETTERS))
+                self[w] = array("I", [t.id for t in tokens]).tobytes()
+            else:
+                rest.append(w)
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
+        for w, e in zip(rest, found, strict=True):
             self[w] = array("I", e.ids).tobytes()
 
 
@@ -121,8 +142,8 @@ def pieces(
     A document's ids end with id 0; longer ones are cut every `capacity` ids. `ids` are
     little-endian unsigned 32-bit numbers. Null and empty texts are the id 0 alone. The
     tokenizer's file is `tokenizer_path`, or the named public one as each worker finds it.
-    It must split at white space and before a mark that follows a letter, and ignore
-    case, as `word_bpe_49k.json` does.
+    It must be byte-level, split at white space and before a mark that follows a letter,
+    take a run of letters whole and ignore case, as `word_bpe_49k.json` does.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     return rows.mapInArrow(lambda it: _tokenize(it, capacity, tokenizer_path, tokenizer), PIECE_SCHEMA)
