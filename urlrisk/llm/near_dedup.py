@@ -7,9 +7,10 @@
    form a region. A region of more than `crowd` classes is opened one level deeper, and
    so on: depth adapts to each region. In a region every class meets the neighbours with
    the longest common prefix first; pairs whose signatures agree too little to reach the
-   threshold are left out in place, so no region emits all its pairs. A region that is
-   still crowded at full depth is walked in sorted order in overlapping windows.
-3. Candidate pairs are confirmed on the full shingle sets, made anew from the texts.
+   threshold are left out in place. A region that is still crowded at full depth is walked
+   in sorted order in overlapping windows.
+3. Candidate pairs are confirmed on the full shingle sets, made anew from the texts: first
+   a spanning forest of each region, then all pairs that this left in two components.
 4. Connected components of the confirmed links; the smallest id of each stays.
 
 With 16 trees and depth 3, a pair at similarity 0.8 is missed with probability
@@ -40,7 +41,7 @@ _cache: dict[bytes, int] = {}
 class Forest:
     """Parameters. `words` per shingle; links need 100 * intersection >= percent * union.
     `estimate`: least share of equal signature values for a pair to be confirmed (at a
-    true similarity of 0.8 and 128 values it lies 5 standard deviations below)."""
+    true similarity of 0.8 and 128 values it lies 4 standard deviations below)."""
 
     words: int = 5
     percent: int = 80
@@ -48,7 +49,7 @@ class Forest:
     min_depth: int = 3
     max_depth: int = 8
     crowd: int = 1024
-    estimate: float = 0.62
+    estimate: float = 0.65
     seed: int = 7
 
 
@@ -154,50 +155,94 @@ def _regions(paths: DataFrame, forest: Forest, scratch: Scratch) -> tuple[DataFr
     return out
 
 
-def _pairs(batches: Iterator, forest: Forest) -> Iterator:
-    """Candidate pairs from rows (region, id, brief) sorted by region and path."""
+def _alike(region, values, group, forest: Forest):
+    """Places (i, j) and agreement of rows in one region, sorted by path, whose signatures
+    agree enough; rows with one `group` are left out. A row meets those that follow it as
+    far as its region goes, and at most `crowd` of them: only a region that is crowded at
+    full depth is longer."""
+    import numpy as np
+
+    left, right, agree = [], [], []
+    at = np.arange(len(region))
+    for lag in range(1, min(forest.crowd, len(region))):
+        at = at[at < len(region) - lag]
+        at = at[region[at] == region[at + lag]]
+        if not len(at):
+            break
+        apart = at if group is None else at[group[at] != group[at + lag]]
+        for part in np.array_split(apart, len(apart) // 20_000 + 1):
+            same = (values[part] == values[part + lag]).sum(1)
+            hit = same >= forest.estimate * values.shape[1]
+            left.append(part[hit])
+            right.append(part[hit] + lag)
+            agree.append(same[hit])
+    if not left:
+        return np.zeros((3, 0), np.int64)
+    return np.stack([np.concatenate(left), np.concatenate(right), np.concatenate(agree)])
+
+
+def _spanning(n: int, edges):
+    """A maximum spanning forest (Boruvka) of edges (i, j, weight) among n nodes: which
+    edges it takes. The edges' places break ties."""
+    import numpy as np
+
+    order = np.argsort(edges[2], kind="stable")
+    a, b, place = edges[0][order], edges[1][order], order
+    label, taken = np.arange(n), []
+    while True:
+        live = label[a] != label[b]
+        a, b, place = a[live], b[live], place[live]
+        if not len(a):
+            return np.concatenate(taken) if taken else np.zeros(0, np.int64)
+        best = np.full(n, -1)
+        index = np.arange(len(a))
+        np.maximum.at(best, label[a], index)
+        np.maximum.at(best, label[b], index)
+        chosen = np.unique(best[best >= 0])
+        taken.append(place[chosen])
+        x, y = label[a[chosen]], label[b[chosen]]
+        root = np.arange(n)
+        while True:  # the least label of each tree of chosen edges
+            low = np.minimum(root[x], root[y])
+            np.minimum.at(root, x, low)
+            np.minimum.at(root, y, low)
+            root = root[root]
+            if (root[x] == root[y]).all():
+                break
+        label = root[label]
+
+
+def _pairs(batches: Iterator, forest: Forest, across: bool) -> Iterator:
+    """Candidate pairs from rows (region, id, brief, group) sorted by region and path:
+    those of a maximum spanning forest of each region, or all between different groups."""
     import numpy as np
     import pyarrow as pa
 
-    names = ("a", "b")
     kept = None  # rows of the last region, which may go on in the next batch
 
-    def of(region, ids, values):
-        # A row meets those that follow it in sorted order, as far as its region goes, and
-        # at most `crowd` of them: only a region crowded at full depth is longer.
-        left, right = [], []
-        at = np.arange(len(ids))
-        for lag in range(1, min(forest.crowd, len(ids))):
-            at = at[at < len(ids) - lag]
-            at = at[region[at] == region[at + lag]]
-            if not len(at):
-                break
-            for part in np.array_split(at, len(at) // 20_000 + 1):
-                same = (values[part] == values[part + lag]).sum(1)
-                hit = part[same >= forest.estimate * values.shape[1]]
-                left.append(ids[hit])
-                right.append(ids[hit + lag])
-        if left:
-            a, b = np.concatenate(left), np.concatenate(right)
-            if len(a):
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=names)
+    def of(region, ids, values, group):
+        edges = _alike(region, values, group if across else None, forest)
+        if not across:
+            edges = edges[:, _spanning(len(ids), edges)]
+        if edges.shape[1]:
+            a, b = ids[edges[0]], ids[edges[1]]
+            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=("a", "b"))
 
     for whole in batches:
         for batch in slices(whole, 20_000):
-            region = batch.column(0).to_numpy(zero_copy_only=False)
-            ids = batch.column(1).to_numpy(zero_copy_only=False)
+            region, ids, group = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
             values = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
+            rows = (region, ids, values, group)
             if kept is not None:
-                region, ids = np.concatenate([kept[0], region]), np.concatenate([kept[1], ids])
-                values = np.concatenate([kept[2], values])
-            start = int(np.argmax(region == region[-1]))  # the open region waits
+                rows = tuple(np.concatenate(x) for x in zip(kept, rows, strict=True))
+            start = int(np.argmax(rows[0] == rows[0][-1]))  # the open region waits
             if start:
-                yield from of(region[:start], ids[:start], values[:start])
-                region, ids, values = region[start:], ids[start:], values[start:]
-            elif len(ids) > 4 * forest.crowd:  # crowded at full depth: windows that overlap by `crowd`
-                yield from of(region, ids, values)
-                region, ids, values = region[-forest.crowd :], ids[-forest.crowd :], values[-forest.crowd :]
-            kept = (region, ids, values)
+                yield from of(*(x[:start] for x in rows))
+                rows = tuple(x[start:] for x in rows)
+            elif len(rows[0]) > 4 * forest.crowd:  # crowded at full depth: windows that overlap by `crowd`
+                yield from of(*rows)
+                rows = tuple(x[-forest.crowd :] for x in rows)
+            kept = rows
     if kept is not None:
         yield from of(*kept)
 
@@ -222,14 +267,8 @@ def _confirm(batches: Iterator, forest: Forest) -> Iterator:
             yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=("a", "b"))
 
 
-def links(docs: DataFrame, classes: DataFrame, forest: Forest, scratch: Scratch) -> DataFrame:
-    """Confirmed links `a, b` between classes with different sets."""
-    paths = scratch.put(_paths(classes, forest), "paths")
-    regions = _regions(paths, forest, scratch)
-    region = F.xxhash64("tree", "depth", F.expr("substring(path, 1, 4 * depth)"))
-    rows = regions.withColumn("region", region).join(classes.select("id", "brief"), "id")
-    rows = rows.repartition("region").sortWithinPartitions("region", "path", "id").select("region", "id", "brief")
-    pairs = scratch.put(rows.mapInArrow(lambda it: _pairs(it, forest), "a long, b long").distinct(), "pairs")
+def _confirmed(docs: DataFrame, pairs: DataFrame, forest: Forest, scratch: Scratch) -> DataFrame:
+    """The pairs whose full shingle sets are similar enough."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
     texts = scratch.put(texts, "texts")  # of candidates only
@@ -237,10 +276,39 @@ def links(docs: DataFrame, classes: DataFrame, forest: Forest, scratch: Scratch)
     both = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     found = both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _confirm(it, forest), "a long, b long")
     found = scratch.put(found.distinct(), "confirmed")
-    scratch.drop(paths, pairs, texts)
+    scratch.drop(texts)
     return found
 
 
+def grouped(docs: DataFrame, classes: DataFrame, more: DataFrame, forest: Forest, scratch: Scratch) -> DataFrame:
+    """`node, component` of classes linked with others; `more` are links known already.
+
+    First each region yields a spanning forest of its most similar pairs, one pair per
+    class at most. What these connect needs no further look; then all candidate pairs
+    between different components are tried. So a large group of near copies costs about
+    one pair for each copy, and no candidate is left out.
+    """
+    paths = scratch.put(_paths(classes, forest), "paths")
+    region = F.xxhash64("tree", "depth", F.expr("substring(path, 1, 4 * depth)"))
+    members = _regions(paths, forest, scratch).withColumn("region", region).join(classes.select("id", "brief"), "id")
+    members = scratch.put(members.select("region", "path", "id", "brief"), "members")
+    scratch.drop(paths)
+
+    def candidates(rows: DataFrame, across: bool) -> DataFrame:
+        rows = rows.repartition("region").sortWithinPartitions("region", "path", "id").select("region", "id", "brief", "group")
+        return rows.mapInArrow(lambda it: _pairs(it, forest, across), "a long, b long").distinct()
+
+    first = scratch.put(candidates(members.withColumn("group", F.col("id")), False), "first")
+    linked = scratch.put(components(_confirmed(docs, first, forest, scratch).unionByName(more), scratch), "linked")
+    labelled = members.join(linked, members["id"] == linked["node"], "left").withColumn("group", F.coalesce("component", "id"))
+    second = scratch.put(candidates(labelled, True).join(first, ["a", "b"], "left_anti"), "second")
+    rest = _confirmed(docs, second, forest, scratch)
+    stars = linked.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    out = components(stars.unionByName(rest), scratch)
+    scratch.drop(members, first, second)
+    return out
+
+
 def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     """`doc_id, n_shingles, component_id, kept`, one row per row of `docs` (`doc_id, text`).
 
@@ -261,15 +329,13 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
         .agg(F.min(F.struct(F.col("doc_id").alias("id"), "signature", "brief")).alias("_c")).select("fingerprint", "_c.*"),
         "classes",
     )
-    pairs = links(docs, classes, forest, scratch)
     # A document whose rows hold several sets links these.
     several = sketches.where("fingerprint is not null").select("fingerprint", F.col("doc_id").alias("b")).distinct()
     repeated = sketches.where("doc_id is not null").groupBy("doc_id").agg(F.count_distinct("fingerprint").alias("_n")).where("_n > 1")
     several = several.join(repeated.select(F.col("doc_id").alias("b")), "b").join(classes.select("fingerprint", F.col("id").alias("a")), "fingerprint")
-    pairs = pairs.unionByName(several.select("a", "b").where("a <> b"))
-    grouped = scratch.put(components(pairs, scratch), "components")
+    found = scratch.put(grouped(docs, classes, several.select("a", "b").where("a <> b"), forest, scratch), "components")
     named = scratch.put(
-        classes.select("fingerprint", "id").join(grouped, F.col("id") == F.col("node"), "left")
+        classes.select("fingerprint", "id").join(found, F.col("id") == F.col("node"), "left")
         .select("fingerprint", F.coalesce("component", "id").alias("component")), "named",
     )
     out = sketches.select("doc_id", "n_shingles", "fingerprint").join(named, "fingerprint", "left")
