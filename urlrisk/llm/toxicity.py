@@ -58,7 +58,8 @@ def features(text: bytes | None) -> set[bytes]:
 
 
 def fit_nnpu(x, positive, prior: float, settings: Settings):
-    """Weights and bias of a logistic classifier under the non-negative risk. `x`: rows by
+    """Weights and bias of a linear classifier under the non-negative risk with the sigmoid
+    loss, which is bounded: a prior that is somewhat off moves it little. `x`: rows by
     features, `positive`: which rows are confirmed, the others are unlabelled."""
     import numpy as np
 
@@ -68,10 +69,10 @@ def fit_nnpu(x, positive, prior: float, settings: Settings):
     p, u = x[positive], x[~positive]
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
     for step in range(1, settings.steps + 1):
-        zp, zu = p @ theta[:n] + theta[n], u @ theta[:n] + theta[n]
-        negative_risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp = -prior * (1 - sigmoid(zp)) / len(zp)
-        gn_p, gn_u = -prior * sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)
+        sp, su = sigmoid(p @ theta[:n] + theta[n]), sigmoid(u @ theta[:n] + theta[n])
+        negative_risk = su.mean() - prior * sp.mean()
+        gp = gn_p = -prior * sp * (1 - sp) / len(sp)
+        gn_u = su * (1 - su) / len(su)
         if negative_risk >= 0:
             gp, gu = gp + gn_p, gn_u
         else:  # step back where the corrected risk has fallen below zero
