@@ -6,7 +6,6 @@ holds the equivalent text for those that SQL can express.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -214,27 +213,27 @@ _HOST = r"regexp_extract(url, '^[a-z]+://([^/?#.]*)', 1)"
 
 
 @query(
-    f"WITH {fs.CORPUS},\n{fs.PARTS},\nwords AS (SELECT DISTINCT {_HOST} AS w FROM pages WHERE length({_HOST}) >= 4)\n"
+    f"WITH {fs.CORPUS},\n{fs.PARTS},\nwords AS (SELECT DISTINCT {_HOST} AS w FROM pages WHERE {_HOST} <> '')\n"
     "SELECT DISTINCT lower(host) AS host FROM parts WHERE EXISTS "
     "(SELECT 1 FROM words WHERE contains(lower(parts.host), words.w))"
 )
 def dictionary_hosts(spark, sf_dir):
     """Hosts that contain a word of a large dictionary (here: labels of page hosts)."""
     label = F.regexp_extract("url", r"^[a-z]+://([^/?#.]*)", 1)
-    words = table(spark, sf_dir, "pages").select(label.alias("value")).where(F.length("value") >= 4)
+    words = table(spark, sf_dir, "pages").select(label.alias("value")).where("value <> ''")
     hosts = add_url_parts(url_corpus(spark, sf_dir)).select(F.lower("netloc").alias("host"))
     return matching_texts(hosts, "host", words).select(F.col("_text").alias("host"))
 
 
 @query(
-    f"WITH {fs.CORPUS},\n{fs.PARTS},\nwords AS (SELECT DISTINCT {_HOST} AS w FROM pages WHERE length({_HOST}) >= 4)\n"
+    f"WITH {fs.CORPUS},\n{fs.PARTS},\nwords AS (SELECT DISTINCT {_HOST} AS w FROM pages WHERE {_HOST} <> '')\n"
     "SELECT row_id, (CASE WHEN valid AND EXISTS (SELECT 1 FROM words WHERE contains(lower(parts.host), words.w)) "
     "THEN 1.0 ELSE 0.0 END)::DOUBLE AS free_hosting_domain_flag FROM parts"
 )
 def dictionary_flags(spark, sf_dir):
     """The dictionary flag per row when the dictionary is a table."""
     label = F.regexp_extract("url", r"^[a-z]+://([^/?#.]*)", 1)
-    words = table(spark, sf_dir, "pages").select(label.alias("value")).where(F.length("value") >= 4)
+    words = table(spark, sf_dir, "pages").select(label.alias("value")).where("value <> ''")
     d = wl.Dictionaries(free_hosting=words)
     df = add_features(url_corpus(spark, sf_dir), groups=["domain_level"], dictionaries=d)
     return df.select("row_id", "free_hosting_domain_flag")
@@ -980,7 +979,7 @@ def scratch(spark, name: str) -> str:
     """A new folder in the cluster's shared folder; a local one only if unset."""
     import uuid
 
-    root = shared_dir(spark) or tempfile.mkdtemp(prefix="urlrisk-")
+    root = shared_dir(spark)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

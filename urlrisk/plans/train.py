@@ -195,7 +195,7 @@ def _finish(spark, rows, featured, info, method, outcome, settings, out, run_id,
     reports = {}
     for algorithm, r in outcome["results"].items():
         if "error" in r:
-            registry.log_metrics(run_id, {f"error_algorithm_{algorithm}_failure": r["error"][:500]})
+            registry.log_metrics(run_id, {f"error_algorithm_{algorithm}_failure": r["error"]})
             continue
         reports[algorithm] = training_report(
             run_id, algorithm, outcome, info, method, sizes, seconds, artifacts={"model": path}
@@ -244,7 +244,7 @@ def train(labelled: DataFrame, out: str, settings: Settings | None = None, servi
         return _finish(spark, rows, featured, info, method, outcome, settings, out, run_id, started,
                        "malicious_url_detector_{algorithm}", {"service_conf_id": service_conf_id})
     except Exception as e:
-        registry.log_metrics(run_id, {"error_training_failure": str(e)[:500]})
+        registry.log_metrics(run_id, {"error_training_failure": str(e)})
         return {"status": "failed", "run_id": run_id, "error": str(e)}
 
 

@@ -61,6 +61,7 @@ def _members(path: str, content: bytes):
 
 def _records(stream):
     """(row number, url, raw label, label column exists) of one CSV member."""
+    csv.field_size_limit(2**31 - 1)  # a long URL is data
     text = io.TextIOWrapper(stream, encoding="utf-8", errors="replace", newline="")
     header_line = text.readline()
     sep = "," if len(next(csv.reader([header_line]), [])) > 1 else ";"

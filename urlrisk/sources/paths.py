@@ -30,21 +30,20 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().toString() for s in fs.listStatus(p) if s.isDirectory())
 
 
-def shared_dir(spark: SparkSession) -> str | None:
-    """The folder for intermediate tables, as the cluster names it."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for intermediate tables, as the cluster names it; where it names none,
+    a folder in the warehouse, which driver and executors share as well."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
 
 
 def stored(df, name: str):
     """`df` written below the shared folder and read back: lineage ends there, so
-    later jobs neither recompute it nor depend on any executor. Without a shared
-    folder the DataFrame is returned as it is."""
+    later jobs neither recompute it nor depend on any executor."""
     import uuid
 
     spark = df.sparkSession
     root = shared_dir(spark)
-    if not root:
-        return df
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
