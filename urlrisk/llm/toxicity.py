@@ -116,7 +116,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings
     prior = min(confirmed / total, 0.9)
     texts = docs.where(learn).select("doc_id", "text")
     toxic = bounded(known.where("toxic = 1"), settings.positives, settings.seed).select("doc_id")
-    positives = texts.join(toxic, "doc_id", "left_semi").select(F.lit(True).alias("positive"), "text")
+    # `positives` bounds the ids: they may be broadcast, and no text is shuffled.
+    positives = texts.join(F.broadcast(toxic), "doc_id", "left_semi").select(F.lit(True).alias("positive"), "text")
     unlabelled = bounded(texts, settings.unlabelled, settings.seed + 1).select(F.lit(False).alias("positive"), "text")
     sample = scratch.put(positives.unionByName(unlabelled).mapInArrow(_word_lists, "positive boolean, words array<string>"), "sample")
     n_p, n_u = sample.agg(F.sum(F.col("positive").cast("long")), F.sum((~F.col("positive")).cast("long"))).first()
