@@ -229,7 +229,7 @@ def test_trigram_vectors_bind_and_bundle():
     assert (got[0] == one).all() and not got[1:].any()
 
 
-@pytest.mark.parametrize("index", [topk.Index(), topk.Index(shard_rows=40, query_rows=3, levels=3, step=5, few=25)])
+@pytest.mark.parametrize("index", [topk.Index(), topk.Index(shard_values=300, query_rows=3, levels=3, step=5, few=0.1)])
 def test_top_k_equals_brute_force(spark, index):
     rng = np.random.default_rng(5)
     data = [(i, [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(150)] + [(200 + i, [0.3] * 8) for i in range(60)]

@@ -28,11 +28,11 @@ OUT_SCHEMA = "query_id long, vec_id long, score long"
 class Index:
     """Parameters of the index and the search."""
 
-    shard_rows: int = 4096
+    shard_values: int = 1 << 20  #: vector components in a shard, which bounds its memory
     query_rows: int = 2048
     levels: int = 12  #: segments in a dimension
-    step: int = 48  #: segments between two proofs
-    few: int = 64  #: candidates that are scored without further pruning
+    step: int = 192  #: segments between two proofs
+    few: float = 0.2  #: share of a shard that is scored without further pruning
 
 
 def quantise(embedding: Column, scale: float = 64.0) -> Column:
@@ -53,74 +53,74 @@ class Shard:
         import numpy as np
 
         self.ids, self.vectors, self.index = ids, vectors, index
-        n, d = vectors.shape
-        self.order = np.argsort(vectors, axis=0, kind="stable").T.copy()  # by dimension: rows from low to high
-        self.values = np.take_along_axis(vectors, self.order.T, axis=0).T.copy()
-        segments = []
-        for j in range(d):
-            v = self.values[j]
-            if n:
+        order = np.argsort(vectors, axis=0, kind="stable")  # by dimension: rows from low to high
+        values = np.take_along_axis(vectors, order, axis=0)
+        self.rows, self.values, segments = [], [], []
+        for j, v in enumerate(values.T):
+            if len(v):
                 width = max((int(v[-1]) - int(v[0])) // index.levels + 1, 1)
-                cuts = np.append(np.flatnonzero(np.diff((v - v[0]) // width, prepend=-1)), n)
-                segments += [(j, a, b, v[a], v[b - 1]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        self.segments = np.array(segments, np.int64).reshape(-1, 5)
+                cuts = np.append(np.flatnonzero(np.diff((v - v[0]) // width, prepend=-1)), len(v))
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    self.rows.append(order[a:b, j].copy())
+                    self.values.append(v[a:b].copy())
+                    segments.append((j, v[a], v[b - 1]))
+        self.segments = np.array(segments, np.int64).reshape(-1, 3)
 
     def search(self, own: int, query, k: int):
         """Positions and exact scores that hold the k best (all ties at the end included)."""
         import numpy as np
 
-        n = len(self.ids)
         alive = np.flatnonzero(self.ids != own)
-        if len(alive) <= max(k, self.index.few):
+        few = max(2 * k, int(self.index.few * len(alive)))
+        if len(alive) <= few:
             return alive, self.vectors[alive] @ query
-        dimension, start, end, low, high = self.segments.T
+        dimension, low, high = self.segments.T
         weight = query[dimension]
         impact = np.maximum(weight * low, weight * high)
         work = np.flatnonzero(weight != 0)  # the others add nothing
         work = work[np.argsort(-impact[work], kind="stable")]
-        top = np.full(len(query), np.iinfo(np.int64).min)
-        np.maximum.at(top, dimension, impact)
-        top[query == 0] = 0
-        total, seen = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        least = None
+        total, least, weights = np.zeros(len(self.ids), np.int64), None, weight.tolist()
         for at in range(0, len(work), self.index.step):
-            for s in work[at : at + self.index.step]:
-                rows = self.order[dimension[s], start[s] : end[s]]
-                total[rows] += weight[s] * self.values[dimension[s], start[s] : end[s]]
-                seen[rows] += 1
-            rest = at + self.index.step
-            if rest >= len(work):
-                break
-            # An unseen component adds at most `bound`, or its dimension's top where that is less.
-            bound = impact[work[rest]]
-            most = (total - bound * seen)[alive] + np.where(query != 0, np.minimum(bound, top), 0).sum()
-            if least is None or rest % (4 * self.index.step) == 0:
-                # The exact scores of the most promising vectors prove a lower limit.
-                best = alive[np.argpartition(most, -2 * k)[-2 * k :]] if len(alive) > 2 * k else alive
-                scores = np.sort(self.vectors[best] @ query)
-                limit = scores[-k]
-                least = limit if least is None else max(least, limit)
-            keep = most >= least
-            alive = alive[keep]
-            if len(alive) <= max(k, self.index.few):
+            for s in work[at : at + self.index.step].tolist():
+                total[self.rows[s]] += weights[s] * self.values[s]
+            rest = work[at + self.index.step :]
+            # What is unseen adds at most its dimension's greatest impact among the segments left.
+            more = np.zeros(len(query), np.int64)
+            np.maximum.at(more, dimension[rest], impact[rest])
+            most = total[alive]
+            # Exact scores of the most promising vectors prove a lower limit.
+            best = alive[np.argpartition(most, -2 * k)[-2 * k :]]
+            limit = np.partition(self.vectors[best] @ query, -k)[-k]
+            least = limit if least is None else max(least, limit)
+            alive = alive[most + more.sum() >= least]
+            if len(alive) <= few:
                 break
         return alive, self.vectors[alive] @ query
 
 
+def _matrix(column, width: int):
+    """Lists of integers as rows, padded with zeros."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    lengths = pc.list_value_length(column).to_numpy()
+    out = np.zeros((len(lengths), width), np.int64)
+    out[np.arange(width) < lengths[:, None]] = pc.list_flatten(column).to_numpy()
+    return out
+
+
 def _search(key, left, right, k: int, index: Index):
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     names = ("query_id", "vec_id", "score")
-    empty = pa.table([pa.array([], pa.int64())] * 3, names=names)
     if not left.num_rows or not right.num_rows:
-        return empty
-    rows, queries = left.column("v").to_pylist(), right.column("v").to_pylist()
-    d = max(map(len, [*rows, *queries]))
-    pad = lambda lists: np.array([x + [0] * (d - len(x)) for x in lists], np.int64).reshape(len(lists), d)
-    shard = Shard(left.column("vec_id").to_numpy(), pad(rows), index)
+        return pa.table([pa.array([], pa.int64())] * 3, names=names)
+    width = max(pc.max(pc.list_value_length(t.column("v"))).as_py() for t in (left, right))
+    shard = Shard(left.column("vec_id").to_numpy(), _matrix(left.column("v"), width), index)
     q, v, s = [], [], []
-    for own, query in zip(right.column("query_id").to_pylist(), pad(queries), strict=True):
+    for own, query in zip(right.column("query_id").to_pylist(), _matrix(right.column("v"), width), strict=True):
         at, score = shard.search(own, query, k)
         ids = shard.ids[at]
         order = np.lexsort((ids, -score))[:k]
@@ -144,7 +144,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     table = scratch.put(rows.select(F.col("vec_id").cast("long").alias("vec_id"), quantise(F.col("embedding"), scale).alias("v")), "vectors")
     queries = scratch.put(table.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v")), "queries")
-    shards, blocks = max(1, -(-table.count() // index.shard_rows)), max(1, -(-queries.count() // index.query_rows))
+    n, width = table.agg(F.count("*"), F.max(F.size("v"))).first()
+    shards, blocks = max(1, -(-n * (width or 1) // index.shard_values)), max(1, -(-queries.count() // index.query_rows))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = table.withColumn("_s", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")).withColumn("_b", spread(blocks))
     right = queries.withColumn("_b", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int")).withColumn("_s", spread(shards))
