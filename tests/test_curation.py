@@ -74,9 +74,12 @@ def test_validation(spark):
     df = spark.createDataFrame([("a", "benign"), (None, "weird"), ("b", None)], "url string, label string")
     found = {tuple(r) for r in c.validation_issues(df).collect()}
     assert found == {("null_values", "url", 1), ("null_values", "label", 1), ("invalid_label", "weird", 1)}
-    ok, messages = c.validate(df)
-    assert not ok and len(messages) == 3
-    assert c.validate(df.where("label = 'benign'")) == (True, [])
+    ok, findings = c.validate(df)
+    assert not ok and findings.count() == 3
+    ok, findings = c.validate(df.where("label = 'benign'"))
+    assert ok and findings.count() == 0
+    many = spark.createDataFrame([(str(i), f"odd{i}") for i in range(50)], "url string, label string")
+    assert c.validate(many)[1].count() == 50
     assert c.validate(spark.createDataFrame([("x",)], "other string"))[0] is False
 
 

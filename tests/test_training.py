@@ -119,6 +119,13 @@ def test_balance_train_only_keeps_the_test_part(spark, labelled):
     assert counts["benign"] == counts["malicious"] == 63
 
 
+def test_per_dataset_rows_count_a_repeated_url_once(spark):
+    rows = [("d", f"http://bad{i % 10}.example/", "malicious") for i in range(60)]
+    rows += [("d", f"http://good{i}.example/", "benign") for i in range(5)]
+    got = tr.per_dataset_rows(spark.createDataFrame(rows, "dataset string, url string, label string"), seed=3)
+    assert {r["label"]: r["count"] for r in got.groupBy("label").count().collect()} == {"malicious": 5, "benign": 5}
+
+
 def test_per_dataset(spark, labelled, tmp_path):
     two = labelled.withColumn("dataset", F.lit("two"))
     one = labelled.where("label = 'malicious'").withColumn("dataset", F.lit("one"))

@@ -49,7 +49,7 @@ def homograph_class() -> str:
 
 @dataclass(frozen=True)
 class Dictionaries:
-    """The six dictionaries. A tuple is matched inline; ``free_hosts`` may be a
+    """The six dictionaries. A tuple is matched inline; ``free_hosting`` may be a
     DataFrame with a ``value`` column when the list is large."""
 
     brand_keyword: tuple[str, ...] = BRAND_KEYWORDS

@@ -131,15 +131,10 @@ def validation_issues(df: DataFrame, classes=CLASSES, class_values=None) -> Data
     return found
 
 
-def validate(df: DataFrame, classes=CLASSES, show: int = 20) -> tuple[bool, list[str]]:
-    """(ok, messages); at most `show` findings are written out."""
-    rows = validation_issues(df, classes).orderBy("issue", "item").limit(show).collect()
-    text = {
-        "missing_column": "Missing '{item}' column",
-        "null_values": "Dataset contains null values: {item} ({n})",
-        "invalid_label": "Invalid label found: {item} ({n})",
-    }
-    return not rows, [text[r["issue"]].format(item=r["item"], n=r["n"]) for r in rows]
+def validate(df: DataFrame, classes=CLASSES) -> tuple[bool, DataFrame]:
+    """(ok, findings): the findings are a table, since wrong labels may be many."""
+    found = validation_issues(df, classes)
+    return found.isEmpty(), found
 
 
 def preprocess(df: DataFrame, order=None, classes=CLASSES, class_values=None) -> DataFrame:
@@ -171,12 +166,9 @@ def dataset_profile(df: DataFrame, dataset: str = "dataset") -> DataFrame:
 def benign_pool(df: DataFrame, dataset: str = "dataset", order=None) -> DataFrame:
     """Benign URLs of all two-class datasets, one row per URL (no order implied).
 
-    Whether a dataset has both classes comes from a per-dataset aggregate; it is
-    broadcast when it is small and shuffled otherwise.
+    Whether a dataset has both classes comes from a per-dataset aggregate.
     """
-    from .bounded import small_or_same
-
-    both = small_or_same(dataset_profile(df, dataset).where("has_both_classes").select(dataset))
+    both = dataset_profile(df, dataset).where("has_both_classes").select(dataset)
     benign = df.where(F.col("label") == "benign").join(both, dataset, "left_semi")
     if order is None:
         return benign.select("url", "label").distinct()

@@ -232,9 +232,11 @@ def train(labelled: DataFrame, out: str, settings: Settings | None = None, servi
     registry = Registry(spark, out)
     try:
         if strict:
-            ok, issues = validate(labelled)
+            ok, findings = validate(labelled)
             if not ok:
-                raise ValueError(f"Dataset validation failed: {issues}")
+                path = f"{out}/reports/validation_{run_id}"
+                findings.write.parquet(path)
+                raise ValueError(f"the training table is not valid, see {path}")
         featured = _feature_table(preprocess(labelled), f"{out}/extraction/{run_id}", dictionaries)
         rows, info, method = prepare(featured, settings)
         rows = stored(rows, "rows")
@@ -272,10 +274,13 @@ def evaluate(labelled: DataFrame, out: str, settings: Settings | None = None) ->
 
 def per_dataset_rows(df: DataFrame, seed: int, order=None) -> DataFrame:
     """Training rows of all datasets in one pass: equal classes for two-class
-    datasets, benign pool rows added to single-class ones."""
+    datasets, benign pool rows added to single-class ones. A dataset counts a URL
+    once: its first row by `order`, or its least label where there is no order."""
     keys = ["dataset", "url"]
     if order is not None:
         df = dedup_first_seen(df, order, keys)
+    else:
+        df = df.groupBy(*keys).agg(F.min("label").alias("label"))
     df = stored(df.select("dataset", "url", "label"), "datasets")
     pool = benign_pool(df)
     return equal_per_class(df, seed).withColumn("from_pool", F.lit(False)).unionByName(

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.wordlists import Dictionaries
-from ..operators.bounded import small_or_same
 from ..operators.curation import dedup_first_seen
 from .paths import exists
 
@@ -90,7 +89,7 @@ def migrate(
     rank = F.row_number().over(Window.partitionBy("_block").orderBy("_pos"))
     return (
         first.withColumn("_rank", rank)
-        .join(small_or_same(offsets), "_block")
+        .join(offsets, "_block")
         .select((F.col("_before") + F.col("_rank") - 1).cast("bigint").alias("id"), "value", "description")
     )
 

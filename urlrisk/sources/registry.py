@@ -81,16 +81,14 @@ def prediction_log(scored: DataFrame, models: DataFrame) -> DataFrame:
     """Log rows for scored URLs that have a user: metrics of the model's run, or
     the confidence as accuracy and 0 for the rest when the run is not registered.
 
-    `models` has one row per training run and no more, so it may be broadcast by
-    size; the join key is the run id, hot by nature, and AQE splits it otherwise.
+    `models` has one row per training run. The join key is the run id, hot by nature:
+    Spark broadcasts the models by their size, and AQE splits the hot run otherwise.
     """
     by_run = models.groupBy(F.col("run_id").alias("model_id")).agg(
         *[F.max_by(c, "version").alias(f"m_{c}") for c in ("accuracy", "recall", "precision", "f1")]
     )
-    from ..operators.bounded import small_or_same
-
     rows = scored.where("status = 'success' AND user_id IS NOT NULL").join(
-        small_or_same(by_run), "model_id", "left"
+        by_run, "model_id", "left"
     )
     zero = lambda c: F.coalesce(f"m_{c}", F.lit(0.0)).alias(f"{c}_score")
     return rows.select(
