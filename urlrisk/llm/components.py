@@ -15,14 +15,13 @@ from urlrisk.llm.scratch import Scratch
 
 def _stars(arcs: DataFrame, keep, scratch: Scratch, name: str) -> DataFrame:
     """Every neighbour v of u gets linked to the least id around u. `arcs` (u, v)."""
-    arcs = scratch.put(arcs, f"{name}-arcs")
     least = scratch.put(arcs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-least")
     linked = arcs.join(least, "u")
     out = linked.where(keep).select(F.col("v").alias("a"), F.col("m").alias("b"))
     if name == "small":  # u itself hangs below the least one as well
         out = out.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     out = scratch.put(out.where("a <> b").distinct(), name)
-    scratch.drop(arcs, least)
+    scratch.drop(least)
     return out
 
 
@@ -52,3 +51,17 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component"))
     )
+
+
+def merged(known: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
+    """`node, component` after the links `more` (a, b) join components of `known`. Only
+    the components that they touch are gone through again."""
+    if more.isEmpty():
+        return known
+    name = known.select("node", "component")
+    ends = more.join(name.toDF("a", "_a"), "a", "left").join(name.toDF("b", "_b"), "b", "left")
+    ends = ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    moved = scratch.put(components(ends, scratch).toDF("component", "_now"), "moved")
+    kept = known.join(moved, "component", "left").select("node", F.coalesce("_now", "component").alias("component"))
+    fresh = moved.join(name.select(F.col("node").alias("component")), "component", "left_anti")
+    return kept.unionByName(fresh.toDF("node", "component"))

@@ -1,20 +1,23 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
 1. One pass over whole texts yields a document's shingle set as its size, a 128-bit
-   fingerprint and a signature: for each tree a path of minimum hashes. Documents with
-   equal sets are one class from here on; its smallest id stands for it.
+   fingerprint, a signature (for each tree a path of minimum hashes) and a brief (the
+   least hash of each of 512 ranges, one byte each). Documents with equal sets are one
+   class from here on; its smallest id stands for it.
 2. Each tree sorts the classes by path. Classes that share the first `min_depth` values
    form a region. A region of more than `crowd` classes is opened one level deeper, and
    so on: depth adapts to each region. In a region every class meets the neighbours with
-   the longest common prefix first; pairs whose signatures agree too little to reach the
-   threshold are left out in place. A region that is still crowded at full depth is walked
-   in sorted order in overlapping windows.
+   the longest common prefix first; pairs whose set sizes or briefs lie too far apart to reach
+   the threshold are left out in place. A region that is still crowded at full depth is
+   walked in sorted order in overlapping windows.
 3. Candidate pairs are confirmed on the full shingle sets, made anew from the texts: first
    a spanning forest of each region, then all pairs that this left in two components.
 4. Connected components of the confirmed links; the smallest id of each stays.
 
 With 16 trees and depth 3, a pair at similarity 0.8 is missed with probability
-(1 - 0.8^3)^16, about 1e-5, and less above.
+(1 - 0.8^3)^16, about 1e-5, and less above. A brief samples the union of two sets without
+replacement, so small sets are compared almost exactly and large ones with a standard
+deviation of 0.018; pairs are left out from 4 deviations below the threshold on.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urlrisk.llm.components import components
+from urlrisk.llm.components import components, merged
 from urlrisk.llm.scratch import Scratch
 from urlrisk.llm.texts import slices, utf8
 
@@ -40,8 +43,8 @@ _cache: dict[bytes, int] = {}
 @dataclass(frozen=True)
 class Forest:
     """Parameters. `words` per shingle; links need 100 * intersection >= percent * union.
-    `estimate`: least share of equal signature values for a pair to be confirmed (at a
-    true similarity of 0.8 and 128 values it lies 4 standard deviations below)."""
+    `bins`: ranges of a brief. `deviations`: a pair is confirmed unless its estimate lies
+    further below the threshold than this many standard deviations."""
 
     words: int = 5
     percent: int = 80
@@ -49,7 +52,8 @@ class Forest:
     min_depth: int = 3
     max_depth: int = 8
     crowd: int = 1024
-    estimate: float = 0.65
+    bins: int = 512
+    deviations: float = 4.0
     seed: int = 7
 
 
@@ -105,6 +109,17 @@ def signature(values, forest: Forest, factors) -> bytes:
     return (low >> np.uint64(32)).astype(">u4").tobytes()
 
 
+def brief(values, forest: Forest) -> bytes:
+    """One byte for each of `bins` equal ranges of hashes: the low byte (1 to 255) of the
+    least hash of a sorted set in that range, 0 where the range is empty."""
+    import numpy as np
+
+    at, first = np.unique((values >> np.uint64(32)) * np.uint64(forest.bins) >> np.uint64(32), return_index=True)
+    out = np.zeros(forest.bins, np.uint8)
+    out[at.astype(np.int64)] = (values[first] % np.uint64(256)) % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
 def _sketch(batches: Iterator, forest: Forest) -> Iterator:
     import pyarrow as pa
     import xxhash
@@ -118,9 +133,7 @@ def _sketch(batches: Iterator, forest: Forest) -> Iterator:
             for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 s = shingles(text, forest.words)
                 if len(s):
-                    values = signature(s, forest, factors)
-                    # The low byte of each value is enough to estimate similarity.
-                    rows.append((doc, len(s), xxhash.xxh128_digest(s.tobytes()), values, values[3::4]))
+                    rows.append((doc, len(s), xxhash.xxh128_digest(s.tobytes()), signature(s, forest, factors), brief(s, forest)))
                 else:
                     rows.append((doc, 0, None, None, None))
             columns = zip(*rows, strict=True)
@@ -155,11 +168,28 @@ def _regions(paths: DataFrame, forest: Forest, scratch: Scratch) -> tuple[DataFr
     return out
 
 
-def _alike(region, values, group, forest: Forest):
-    """Places (i, j) and agreement of rows in one region, sorted by path, whose signatures
-    agree enough; rows with one `group` are left out. A row meets those that follow it as
-    far as its region goes, and at most `crowd` of them: only a region that is crowded at
-    full depth is longer."""
+def _near(x, y, total, forest: Forest):
+    """Estimated similarity (in 1/10000) of rows of briefs, and whether it leaves the
+    threshold possible. `total`: sum of the two set sizes.
+
+    The m ranges that are not empty in both hold a sample of m from the union's f members,
+    without replacement: variance p (1 - p) (f - m) / (m (f - 1)).
+    """
+    import numpy as np
+
+    p = forest.percent / 100
+    same = ((x == y) & (x != 0)).sum(1)
+    m = np.maximum(((x | y) != 0).sum(1), 1)
+    f = np.maximum(total / (1 + p), m)  # of a pair at the threshold
+    deviation = np.sqrt(p * (1 - p) * (f - m) / (m * np.maximum(f - 1, 1)))
+    return same * 10_000 // m, same / m >= p - forest.deviations * deviation - 1e-9
+
+
+def _alike(region, values, sizes, group, forest: Forest):
+    """Places (i, j) and estimated similarity of rows in one region, sorted by path, that
+    may be similar enough; rows with one `group` are left out. A row meets those that
+    follow it as far as its region goes, and at most `crowd` of them: only a region that
+    is crowded at full depth is longer."""
     import numpy as np
 
     left, right, agree = [], [], []
@@ -170,12 +200,15 @@ def _alike(region, values, group, forest: Forest):
         if not len(at):
             break
         apart = at if group is None else at[group[at] != group[at + lag]]
+        one, two = sizes[apart], sizes[apart + lag]
+        apart = apart[100 * np.minimum(one, two) >= forest.percent * np.maximum(one, two)]
         for part in np.array_split(apart, len(apart) // 20_000 + 1):
-            same = (values[part] == values[part + lag]).sum(1)
-            hit = same >= forest.estimate * values.shape[1]
-            left.append(part[hit])
-            right.append(part[hit] + lag)
-            agree.append(same[hit])
+            for width in (forest.bins // 4, forest.bins):  # most pairs fall to a quarter of the ranges
+                similar, near = _near(values[part, :width], values[part + lag, :width], sizes[part] + sizes[part + lag], forest)
+                part, similar = part[near], similar[near]
+            left.append(part)
+            right.append(part + lag)
+            agree.append(similar)
     if not left:
         return np.zeros((3, 0), np.int64)
     return np.stack([np.concatenate(left), np.concatenate(right), np.concatenate(agree)])
@@ -213,15 +246,15 @@ def _spanning(n: int, edges):
 
 
 def _pairs(batches: Iterator, forest: Forest, across: bool) -> Iterator:
-    """Candidate pairs from rows (region, id, brief, group) sorted by region and path:
+    """Candidate pairs from rows (region, id, brief, group, n_shingles) sorted by region and path:
     those of a maximum spanning forest of each region, or all between different groups."""
     import numpy as np
     import pyarrow as pa
 
     kept = None  # rows of the last region, which may go on in the next batch
 
-    def of(region, ids, values, group):
-        edges = _alike(region, values, group if across else None, forest)
+    def of(region, ids, values, group, sizes):
+        edges = _alike(region, values, sizes, group if across else None, forest)
         if not across:
             edges = edges[:, _spanning(len(ids), edges)]
         if edges.shape[1]:
@@ -230,9 +263,9 @@ def _pairs(batches: Iterator, forest: Forest, across: bool) -> Iterator:
 
     for whole in batches:
         for batch in slices(whole, 20_000):
-            region, ids, group = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
+            region, ids, group, sizes = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3, 4))
             values = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
-            rows = (region, ids, values, group)
+            rows = (region, ids, values, group, sizes)
             if kept is not None:
                 rows = tuple(np.concatenate(x) for x in zip(kept, rows, strict=True))
             start = int(np.argmax(rows[0] == rows[0][-1]))  # the open region waits
@@ -288,14 +321,13 @@ def grouped(docs: DataFrame, classes: DataFrame, more: DataFrame, forest: Forest
     between different components are tried. So a large group of near copies costs about
     one pair for each copy, and no candidate is left out.
     """
-    paths = scratch.put(_paths(classes, forest), "paths")
+    paths = _paths(classes, forest)
     region = F.xxhash64("tree", "depth", F.expr("substring(path, 1, 4 * depth)"))
-    members = _regions(paths, forest, scratch).withColumn("region", region).join(classes.select("id", "brief"), "id")
-    members = scratch.put(members.select("region", "path", "id", "brief"), "members")
-    scratch.drop(paths)
+    members = _regions(paths, forest, scratch).withColumn("region", region).join(classes.select("id", "n_shingles", "brief"), "id")
+    members = scratch.put(members.select("region", "path", "id", "brief", "n_shingles"), "members")
 
     def candidates(rows: DataFrame, across: bool) -> DataFrame:
-        rows = rows.repartition("region").sortWithinPartitions("region", "path", "id").select("region", "id", "brief", "group")
+        rows = rows.repartition("region").sortWithinPartitions("region", "path", "id").select("region", "id", "brief", "group", "n_shingles")
         return rows.mapInArrow(lambda it: _pairs(it, forest, across), "a long, b long").distinct()
 
     first = scratch.put(candidates(members.withColumn("group", F.col("id")), False), "first")
@@ -303,8 +335,7 @@ def grouped(docs: DataFrame, classes: DataFrame, more: DataFrame, forest: Forest
     labelled = members.join(linked, members["id"] == linked["node"], "left").withColumn("group", F.coalesce("component", "id"))
     second = scratch.put(candidates(labelled, True).join(first, ["a", "b"], "left_anti"), "second")
     rest = _confirmed(docs, second, forest, scratch)
-    stars = linked.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    out = components(stars.unionByName(rest), scratch)
+    out = merged(linked, rest, scratch)
     scratch.drop(members, first, second)
     return out
 
@@ -326,7 +357,7 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     # The least id of each distinct set; partial aggregation collapses a hot set before the shuffle.
     classes = scratch.put(
         sketches.where("doc_id is not null and fingerprint is not null").groupBy("fingerprint")
-        .agg(F.min(F.struct(F.col("doc_id").alias("id"), "signature", "brief")).alias("_c")).select("fingerprint", "_c.*"),
+        .agg(F.min(F.struct(F.col("doc_id").alias("id"), "n_shingles", "signature", "brief")).alias("_c")).select("fingerprint", "_c.*"),
         "classes",
     )
     # A document whose rows hold several sets links these.
