@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from urlrisk.llm import language, line_rules, mixing, near_dedup, packing, quality, queries, scratch, topk, toxicity, url_filter, warc
-from urlrisk.llm.components import components
+from urlrisk.llm.components import components, merged
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, _text string"
 
@@ -159,6 +159,40 @@ def test_near_duplicates_equal_brute_force(spark, crowd):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def brief_pairs(n, union, common):
+    """Briefs of n pairs of random sets with `union` members, `common` of them in both."""
+    rng, forest, one, two = np.random.default_rng(union), near_dedup.Forest(), [], []
+    for _ in range(n):
+        values = rng.integers(0, 2**64, union, dtype=np.uint64)
+        half = common + (union - common) // 2
+        one.append(near_dedup.brief(np.sort(values[:half]), forest))
+        two.append(near_dedup.brief(np.sort(np.concatenate([values[:common], values[half:]])), forest))
+    return [np.frombuffer(b"".join(x), np.uint8).reshape(n, -1) for x in (one, two)]
+
+
+@pytest.mark.parametrize("union", [1, 2, 5, 10, 45, 150, 500, 3000, 20_000])
+def test_briefs_lose_no_pair_at_the_threshold_and_drop_distant_ones(union):
+    forest, n = near_dedup.Forest(), 400
+    for width in (forest.bins // 4, forest.bins):
+        common = -(-8 * union // 10)
+        x, y = (b[:, :width] for b in brief_pairs(n, union, common))
+        assert near_dedup._near(x, y, np.full(n, union + common), forest)[1].sum() >= n - 1
+    if union >= 150:
+        common = union * 65 // 100
+        x, y = brief_pairs(n, union, common)
+        similar, near = near_dedup._near(x, y, np.full(n, union + common), forest)
+        assert not near.any() and abs(similar.mean() - 6500) < 100
+
+
+def test_merged_renames_only_touched_components(spark):
+    known = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "node long, component long")
+    more = spark.createDataFrame([(6, 2), (20, 9), (30, 31), (1, 2)], "a long, b long")
+    out = merged(known, more, scratch.Scratch(spark, "t")).collect()
+    assert {r.node: r.component for r in out} == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8, 20: 8, 30: 30, 31: 30}
+    assert len(out) == 9
+    assert merged(known, more.limit(0), scratch.Scratch(spark, "t")).count() == 6
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = near_dedup.near_duplicates(odd(spark), near_dedup.Forest(words=4)).collect()
     by = collections.defaultdict(set)

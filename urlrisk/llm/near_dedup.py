@@ -179,10 +179,12 @@ def _near(x, y, total, forest: Forest):
 
     p = forest.percent / 100
     same = ((x == y) & (x != 0)).sum(1)
-    m = np.maximum(((x | y) != 0).sum(1), 1)
+    seen = ((x | y) != 0).sum(1)
+    m = np.maximum(seen, 1)
     f = np.maximum(total / (1 + p), m)  # of a pair at the threshold
     deviation = np.sqrt(p * (1 - p) * (f - m) / (m * np.maximum(f - 1, 1)))
-    return same * 10_000 // m, same / m >= p - forest.deviations * deviation - 1e-9
+    near = same / m >= p - forest.deviations * deviation - 1e-9
+    return same * 10_000 // m, near | (seen == 0)  # without a sample nothing is ruled out
 
 
 def _alike(region, values, sizes, group, forest: Forest):
