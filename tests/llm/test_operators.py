@@ -159,6 +159,25 @@ def test_near_duplicates_equal_brute_force(spark, crowd):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def crowded_pairs(pairs=150, seed=5):
+    """Documents that share a passage (similarity about 0.7), far too many for a `crowd` of
+    8; document i and i + `pairs` are linked at about 0.81 and nothing else is."""
+    rng = np.random.default_rng(seed)
+    draw = lambda name, n: " ".join(f"{name}{x}" for x in rng.integers(0, 10**9, n))
+    passage, own = draw("p", 264), [draw(f"g{i}w", 22) for i in range(pairs)]
+    return [(k * pairs + i, f"{passage} {own[i]} {draw(f'd{k}w{i}x', 33)}") for k in range(2) for i in range(pairs)]
+
+
+@pytest.mark.parametrize("words", [4, 5])
+def test_crowded_regions_equal_brute_force_with_the_shipped_forest(spark, words):
+    docs = crowded_pairs()
+    want = brute_near(docs, words)
+    assert len(docs) > 4 * 8 and len(set(want.values())) == len(docs) // 2
+    forest = near_dedup.Forest(words=words, crowd=8)
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), forest).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def brief_pairs(n, union, common):
     """Briefs of n pairs of random sets with `union` members, `common` of them in both."""
     rng, forest, one, two = np.random.default_rng(union), near_dedup.Forest(), [], []

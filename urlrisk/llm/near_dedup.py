@@ -5,17 +5,18 @@
    least hash of each of 512 ranges, one byte each). Documents with equal sets are one
    class from here on; its smallest id stands for it.
 2. Each tree sorts the classes by path. Classes that share the first `min_depth` values
-   form a region. A region of more than `crowd` classes is opened one level deeper, and
-   so on: depth adapts to each region. In a region every class meets the neighbours with
-   the longest common prefix first; pairs whose set sizes or briefs lie too far apart to reach
-   the threshold are left out in place. A region that is still crowded at full depth is
-   walked in sorted order in overlapping windows.
+   form a region, and every two classes of a region are candidates; pairs whose set sizes
+   or briefs lie too far apart to reach the threshold are left out in place.
 3. Candidate pairs are confirmed on the full shingle sets, made anew from the texts: first
-   a spanning forest of each region, then all pairs that this left in two components.
+   a spanning forest of each region, then all pairs that this left in two components. For
+   the forest only, a region of more than `crowd` classes is opened one level deeper, and
+   so on, and walked in sorted order in overlapping windows where it is still crowded at
+   full depth. The pairs between components are tried in the whole region of `min_depth`,
+   a crowded one in blocks that each two meet.
 4. Connected components of the confirmed links; the smallest id of each stays.
 
 With 16 trees and depth 3, a pair at similarity 0.8 is missed with probability
-(1 - 0.8^3)^16, about 1e-5, and less above. A brief samples the union of two sets without
+(1 - 0.8^3)^16, about 1e-5, and less above, whatever the size of its regions. A brief samples the union of two sets without
 replacement, so small sets are compared almost exactly and large ones with a standard
 deviation of 0.018; pairs are left out from 4 deviations below the threshold on.
 """
@@ -148,26 +149,75 @@ def _paths(classes: DataFrame, forest: Forest) -> DataFrame:
     return rows.select("id", "tree", F.substring("signature", F.col("tree") * width + 1, F.lit(width)).alias("path"))
 
 
-def _regions(paths: DataFrame, forest: Forest, scratch: Scratch) -> tuple[DataFrame, bool]:
-    """Rows of `paths` that share a region with others: `id, tree, path, depth`."""
-    found, current, depth = [], paths, forest.min_depth
-    while True:
+def _shared(paths: DataFrame, forest: Forest, scratch: Scratch) -> DataFrame:
+    """Rows of `paths` that share their first `min_depth` values with others:
+    `id, tree, path, region, rows` (the rows of that region)."""
+    keyed = paths.withColumn("region", F.xxhash64("tree", F.substring("path", 1, 4 * forest.min_depth)))
+    counts = scratch.put(keyed.groupBy("region").agg(F.count("*").alias("rows")).where("rows > 1"), "counts")
+    return scratch.put(keyed.join(counts, "region"), "shared")
+
+
+def _regions(shared: DataFrame, forest: Forest, scratch: Scratch) -> DataFrame:
+    """`id, tree, path, depth`: rows in regions that are opened deeper while crowded. Rows
+    that are alone at a deeper level are left out here and met in `_meetings`."""
+    depth, crowded = forest.min_depth, F.col("rows") > forest.crowd
+    out = shared.where(~crowded).select("id", "tree", "path", F.lit(depth).alias("depth"))
+    current = shared.where(crowded).select("id", "tree", "path")
+    while depth < forest.max_depth and not current.isEmpty():
+        depth += 1
         keyed = current.withColumn("_k", F.xxhash64("tree", F.substring("path", 1, 4 * depth)))
         counts = scratch.put(keyed.groupBy("_k").agg(F.count("*").alias("_n")).where("_n > 1"), "counts")
-        last = depth == forest.max_depth
-        settled = counts if last else counts.where(F.col("_n") <= forest.crowd)
-        found.append(keyed.join(settled, "_k").select("id", "tree", "path", F.lit(depth).alias("depth")))
-        crowded = counts.where(F.col("_n") > forest.crowd)
-        if last or crowded.isEmpty():
-            break
-        current = scratch.put(keyed.join(crowded, "_k").drop("_k", "_n"), "crowded")
-        depth += 1
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+        settled = counts if depth == forest.max_depth else counts.where(F.col("_n") <= forest.crowd)
+        out = out.unionByName(keyed.join(settled, "_k").select("id", "tree", "path", F.lit(depth).alias("depth")))
+        current = scratch.put(keyed.join(counts.where(F.col("_n") > forest.crowd), "_k").drop("_k", "_n"), "crowded")
     return out
 
 
+def _meetings(shared: DataFrame, linked: DataFrame, forest: Forest, scratch: Scratch, crowded_only: bool) -> DataFrame:
+    """`part, side, id, group`: parts in which all rows of a region (by `min_depth` values)
+    that are in different components (`group`) meet, whatever the size of the region.
+
+    A region of up to `crowd` rows is one part. A larger one is cut into blocks of about
+    `crowd` rows, and each two blocks are a part (sides 1 and 2), each block with itself
+    another (side 0). A component of more than `crowd` rows has blocks of its own, which
+    need not meet each other. Regions within one component are left out.
+    """
+    crowded = F.col("rows") > forest.crowd
+    rows = shared.where(crowded) if crowded_only else shared
+    rows = rows.select("region", "rows", "id").join(linked, F.col("id") == F.col("node"), "left")
+    rows = scratch.put(rows.select("region", "rows", "id", F.coalesce("component", "id").alias("group")), "labelled")
+    small = rows.where(~crowded)
+    mixed = small.groupBy("region").agg(F.min("group").alias("_a"), F.max("group").alias("_b")).where("_a <> _b").select("region")
+    small = small.join(mixed, "region", "left_semi")
+    out = small.select(F.col("region").alias("part"), F.lit(0).alias("side"), "id", "group")
+    rows = rows.where(crowded).drop("rows")
+    if rows.isEmpty():
+        return out
+    slices = F.ceil(F.col("own") / forest.crowd).alias("slices")
+    groups = scratch.put(rows.groupBy("region", "group").agg(F.count("*").alias("own")), "groups")
+    large = scratch.put(groups.where(F.col("own") > forest.crowd).select("region", "group", slices), "large")
+    rest = groups.where(F.col("own") <= forest.crowd).groupBy("region").agg(F.sum("own").alias("own"))
+    rest = scratch.put(rest.select("region", slices), "rest")
+    every = large.select("region", F.col("group").alias("owner"), "slices").unionByName(
+        rest.select("region", F.lit(None).cast("long").alias("owner"), "slices")
+    )
+    block = F.xxhash64("region", F.col("owner").isNull(), F.coalesce("owner", F.lit(0)), "slice").alias("block")
+    blocks = every.select("region", "owner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
+    blocks = scratch.put(blocks.select("region", "owner", block), "blocks")
+    two = blocks.toDF("region", "owner_x", "x").join(blocks.toDF("region", "owner_y", "y"), "region")
+    two = two.where("x <= y and (owner_x is null or owner_y is null or owner_x <> owner_y)")
+    part = F.xxhash64("x", "y").alias("part")
+    meets = F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("block"), F.lit(0).alias("side")))).otherwise(
+        F.array(F.struct(F.col("x").alias("block"), F.lit(1).alias("side")), F.struct(F.col("y").alias("block"), F.lit(2).alias("side")))
+    )
+    two = two.select(part, F.explode(meets).alias("m")).select("part", "m.block", "m.side")
+    own = rows.join(large.withColumnRenamed("slices", "_own"), ["region", "group"], "left")
+    own = own.join(rest.withColumnRenamed("slices", "_rest"), "region", "left")
+    own = own.withColumn("owner", F.when(F.col("_own").isNotNull(), F.col("group")))
+    own = own.withColumn("slice", F.pmod(F.xxhash64("id"), F.coalesce("_own", "_rest")))
+    return out.unionByName(own.select("id", "group", block).join(two, "block").select("part", "side", "id", "group"))
+
+
 def _near(x, y, total, forest: Forest):
     """Estimated similarity (in 1/10000) of rows of briefs, and whether it leaves the
     threshold possible. `total`: sum of the two set sizes.
@@ -187,21 +237,20 @@ def _near(x, y, total, forest: Forest):
     return same * 10_000 // m, near | (seen == 0)  # without a sample nothing is ruled out
 
 
-def _alike(region, values, sizes, group, forest: Forest):
-    """Places (i, j) and estimated similarity of rows in one region, sorted by path, that
-    may be similar enough; rows with one `group` are left out. A row meets those that
-    follow it as far as its region goes, and at most `crowd` of them: only a region that
-    is crowded at full depth is longer."""
+def _alike(region, values, sizes, group, side, forest: Forest, reach: int):
+    """Places (i, j) and estimated similarity of rows in one region that may be similar
+    enough; rows with one `group` are left out, and of two blocks those on one `side`. A
+    row meets those that follow it as far as its region goes, up to the distance `reach`."""
     import numpy as np
 
     left, right, agree = [], [], []
     at = np.arange(len(region))
-    for lag in range(1, min(forest.crowd, len(region))):
+    for lag in range(1, min(reach, len(region))):
         at = at[at < len(region) - lag]
         at = at[region[at] == region[at + lag]]
         if not len(at):
             break
-        apart = at if group is None else at[group[at] != group[at + lag]]
+        apart = at[(group[at] != group[at + lag]) & ((side[at] + side[at + lag]) % 3 == 0)]
         one, two = sizes[apart], sizes[apart + lag]
         apart = apart[100 * np.minimum(one, two) >= forest.percent * np.maximum(one, two)]
         for part in np.array_split(apart, len(apart) // 20_000 + 1):
@@ -247,34 +296,39 @@ def _spanning(n: int, edges):
         label = root[label]
 
 
-def _pairs(batches: Iterator, forest: Forest, across: bool) -> Iterator:
-    """Candidate pairs from rows (region, id, brief, group, n_shingles) sorted by region and path:
-    those of a maximum spanning forest of each region, or all between different groups."""
+def _pairs(batches: Iterator, forest: Forest, across: bool, spanning: bool) -> Iterator:
+    """Candidate pairs from rows (region, id, brief, group, n_shingles, side) sorted by region:
+    all between different groups, or those of a maximum spanning forest.
+
+    Without `across`, rows are sorted by path as well and each is its own group; a region
+    that is crowded at full depth is then walked in windows, which only finds links early.
+    """
     import numpy as np
     import pyarrow as pa
 
     kept = None  # rows of the last region, which may go on in the next batch
 
-    def of(region, ids, values, group, sizes):
-        edges = _alike(region, values, sizes, group if across else None, forest)
-        if not across:
-            edges = edges[:, _spanning(len(ids), edges)]
+    def of(region, ids, values, group, sizes, side):
+        edges = _alike(region, values, sizes, group, side, forest, len(ids) if across else forest.crowd)
+        if spanning:
+            nodes = np.unique(group, return_inverse=True)[1] if across else np.arange(len(ids))
+            edges = edges[:, _spanning(len(ids), (nodes[edges[0]], nodes[edges[1]], edges[2]))]
         if edges.shape[1]:
             a, b = ids[edges[0]], ids[edges[1]]
             yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=("a", "b"))
 
     for whole in batches:
         for batch in slices(whole, 20_000):
-            region, ids, group, sizes = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3, 4))
+            region, ids, group, sizes, side = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3, 4, 5))
             values = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
-            rows = (region, ids, values, group, sizes)
+            rows = (region, ids, values, group, sizes, side)
             if kept is not None:
                 rows = tuple(np.concatenate(x) for x in zip(kept, rows, strict=True))
             start = int(np.argmax(rows[0] == rows[0][-1]))  # the open region waits
             if start:
                 yield from of(*(x[:start] for x in rows))
                 rows = tuple(x[start:] for x in rows)
-            elif len(rows[0]) > 4 * forest.crowd:  # crowded at full depth: windows that overlap by `crowd`
+            elif not across and len(rows[0]) > 4 * forest.crowd:  # windows that overlap by `crowd`
                 yield from of(*rows)
                 rows = tuple(x[-forest.crowd :] for x in rows)
             kept = rows
@@ -318,27 +372,36 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, forest: Forest, scratch: Scrat
 def grouped(docs: DataFrame, classes: DataFrame, more: DataFrame, forest: Forest, scratch: Scratch) -> DataFrame:
     """`node, component` of classes linked with others; `more` are links known already.
 
-    First each region yields a spanning forest of its most similar pairs, one pair per
-    class at most. What these connect needs no further look; then all candidate pairs
-    between different components are tried. So a large group of near copies costs about
-    one pair for each copy, and no candidate is left out.
+    First each region, opened deeper while crowded, yields a spanning forest of its most
+    similar pairs, one pair per class at most. What these connect needs no further look.
+    Then all candidate pairs between different components are tried in the regions of
+    `min_depth`, crowded ones block by block, after one more spanning forest there. So a
+    large group of near copies costs about one pair for each copy, and no candidate is
+    left out.
     """
-    paths = _paths(classes, forest)
-    region = F.xxhash64("tree", "depth", F.expr("substring(path, 1, 4 * depth)"))
-    members = _regions(paths, forest, scratch).withColumn("region", region).join(classes.select("id", "n_shingles", "brief"), "id")
-    members = scratch.put(members.select("region", "path", "id", "brief", "n_shingles"), "members")
-
-    def candidates(rows: DataFrame, across: bool) -> DataFrame:
-        rows = rows.repartition("region").sortWithinPartitions("region", "path", "id").select("region", "id", "brief", "group", "n_shingles")
-        return rows.mapInArrow(lambda it: _pairs(it, forest, across), "a long, b long").distinct()
-
-    first = scratch.put(candidates(members.withColumn("group", F.col("id")), False), "first")
-    linked = scratch.put(components(_confirmed(docs, first, forest, scratch).unionByName(more), scratch), "linked")
-    labelled = members.join(linked, members["id"] == linked["node"], "left").withColumn("group", F.coalesce("component", "id"))
-    second = scratch.put(candidates(labelled, True).join(first, ["a", "b"], "left_anti"), "second")
-    rest = _confirmed(docs, second, forest, scratch)
-    out = merged(linked, rest, scratch)
-    scratch.drop(members, first, second)
+    shared = _shared(_paths(classes, forest), forest, scratch)
+    briefs = classes.select("id", "n_shingles", "brief")
+    columns = ["region", "id", "brief", "group", "n_shingles", "side"]
+
+    def candidates(rows: DataFrame, order: list[str], across: bool, spanning: bool) -> DataFrame:
+        rows = rows.join(briefs, "id").repartition("region").sortWithinPartitions("region", *order).select(*columns)
+        return rows.mapInArrow(lambda it: _pairs(it, forest, across, spanning), "a long, b long").distinct()
+
+    def between(crowded_only: bool) -> DataFrame:
+        rows = _meetings(shared, linked, forest, scratch, crowded_only).withColumnRenamed("part", "region")
+        return candidates(rows, ["id"], True, crowded_only).join(tried, ["a", "b"], "left_anti")
+
+    region = F.xxhash64("tree", "depth", F.expr("substring(path, 1, 4 * depth)")).alias("region")
+    deep = _regions(shared, forest, scratch).select(region, "path", "id", F.col("id").alias("group"), F.lit(0).alias("side"))
+    tried = scratch.put(candidates(deep, ["path", "id"], False, True), "first")
+    linked = scratch.put(components(_confirmed(docs, tried, forest, scratch).unionByName(more), scratch), "linked")
+    if not shared.where(F.col("rows") > forest.crowd).isEmpty():
+        joining = scratch.put(between(True), "joining")
+        linked = scratch.put(merged(linked, _confirmed(docs, joining, forest, scratch), scratch), "linked")
+        tried = tried.unionByName(joining)
+    second = scratch.put(between(False), "second")
+    out = merged(linked, _confirmed(docs, second, forest, scratch), scratch)
+    scratch.drop(shared, second)
     return out
 
 
