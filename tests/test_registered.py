@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle_check import compare, connect
+from urlrisk.config import ALGORITHMS, Settings
 from urlrisk.plans import registered
 
 QUICK = (
@@ -44,3 +45,18 @@ def test_feature_plan_has_no_shuffle_and_prunes_columns(spark, small):
     plan = add_features(pages).select("high_entropy", "path_length")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
     assert "ReadSchema: struct<url:string>" in plan
+
+
+def test_registered_search_is_the_full_one(spark, small, monkeypatch):
+    asked = []
+
+    def search(rows, settings):
+        asked.append(settings)
+        tables = {a: spark.createDataFrame([("p", 0.5)], "params string, mean_test_score double") for a in settings.algorithms}
+        return {"results": {a: {"cv_score": 0.5, "cv_results": t, "metrics": {"f1": 0.5, "accuracy": 0.5}} for a, t in tables.items()}}
+
+    monkeypatch.setattr(registered.tr, "train_and_compare", search)
+    for name in ("train_compare", "cv_candidates"):
+        got = registered.QUERIES[name](spark, small)
+        assert {r.algorithm for r in got.collect()} == set(ALGORITHMS)
+    assert asked == [Settings(), Settings()]
