@@ -59,3 +59,21 @@ def test_pipeline_of_an_empty_table(spark, small):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, small)
         assert out.count() == 0
+
+
+def test_near_duplicates_stage_keeps_what_brute_force_keeps(spark, small):
+    """The stage as shipped, on documents of one planted chain of near copies as well."""
+    from test_operators import brute_near
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    words = [f"w{i}" for i in range(90)]
+    planted = []
+    for k in range(30):  # neighbours at about 0.81, ends of the chain far apart
+        planted.append((10**9 + (7 * k) % 30, " ".join(words), "en", "planted", 0))
+        words[7 * k % 86] = f"n{k}"
+        words[7 * k % 86 + 4] = f"m{k}"
+    docs = docs.unionByName(spark.createDataFrame(planted, docs.schema))
+    least = brute_near([(r.doc_id, r.text) for r in docs.collect()], 5)
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    got = sorted(r.doc_id for r in stage(spark, docs, small).collect())
+    assert got == sorted(i for i, c in least.items() if i == c) and len(got) < len(least) - 20
