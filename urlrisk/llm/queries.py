@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlrisk.llm import language, line_rules, mixing, near_dedup, packing, quality, topk, toxicity, url_filter, warc
+from urlrisk.llm import bisector, chat, divergence, language, line_rules, mixing, near_dedup, packing, quality, topk, toxicity, url_filter, warc
 from urlrisk.llm.scratch import Scratch
 from urlrisk.llm.texts import fold
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+#: Both texts of conversation -1.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,11 +79,26 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_bisector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bisector.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, t, role, CONTROL_TEXT) for t, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_conversations(turns.unionByName(extra)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_warc_revisits, op3_best_fit_packing, op4_near_duplicates, op5_toxicity, op6_language,
-        op7_quality, op8_top_k, op9_source_mix, op10_line_rules,
+        op7_quality, op8_top_k, op9_source_mix, op10_line_rules, op11_bisector_clusters, op12_source_divergence,
+        op13_chat_format,
     )
 }
 
@@ -195,6 +212,84 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM counts"""
 
 
+def _op11_sql() -> str:
+    s = bisector.Settings()
+
+    def nearest(c: str) -> str:
+        away = f"list_sum(list_transform(range(1, {s.dims + 1}), lambda j: (r.v[j] - c.v[j]) * (r.v[j] - c.v[j])))::BIGINT"
+        return f"SELECT i, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT r.i, c.c, {away} AS d FROM r, {c} c) GROUP BY i"
+
+    steps = []
+    for n in range(s.rounds):
+        steps.append(f"""
+a{n} AS ({nearest(f"c{n}")}),
+m{n} AS (
+  SELECT c, list(((s - ((s % n + n) % n)) // n)::BIGINT ORDER BY j) AS v FROM (
+    SELECT c, j, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n
+    FROM (SELECT c, unnest(range(1, {s.dims + 1})) AS j, unnest(v) AS x FROM a{n} JOIN r USING (i)) GROUP BY c, j) GROUP BY c),
+c{n + 1} AS MATERIALIZED (SELECT c0.c, coalesce(m{n}.v, p.v) AS v FROM c0 JOIN c{n} p USING (c) LEFT JOIN m{n} USING (c))""")
+    return f"""
+WITH r AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: floor({s.scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = {s.dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{s.seed}:' || vec_id), v) - 1 AS c, v FROM r
+  QUALIFY row_number() OVER (ORDER BY sha256('{s.seed}:' || vec_id), v) <= {s.clusters}),{",".join(steps)},
+last AS ({nearest(f"c{s.rounds}")})
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c{s.rounds}.v, ',')) AS centroid_sha256
+FROM last JOIN r USING (i) JOIN c{s.rounds} USING (c)"""
+
+
+def _op12_sql() -> str:
+    s = divergence.Settings()
+    unit, prior = divergence.UNIT, divergence.PRIOR
+    p = f"(1 + ({unit}::HUGEINT * ({{}} + {prior})) // ({{}} + {prior} * v))::BIGINT"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+terms AS (
+  SELECT d, lang, source, unnest(regexp_extract_all({_ASCII_LOWER.format("text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS all_n FROM terms GROUP BY lang, term HAVING count(DISTINCT d) >= {s.least_documents}),
+langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(all_n)::HUGEINT AS lang_total FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM terms GROUP BY lang, source, term),
+grps AS (SELECT DISTINCT lang, source FROM docs),
+grid AS (
+  SELECT lang, source, term, coalesce(n, 0)::HUGEINT AS n, all_n, v, lang_total, (sum(coalesce(n, 0)) OVER (PARTITION BY lang, source))::HUGEINT AS total
+  FROM grps JOIN kept USING (lang) JOIN langs USING (lang) LEFT JOIN counts USING (lang, source, term)),
+ps AS (SELECT lang, source, term, n, {p.format("n", "total")} AS p, {p.format("all_n", "lang_total")} AS q FROM grid),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS f
+  FROM ps a JOIN ps b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value
+  FROM grps a JOIN grps b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM ps WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {s.top_terms}"""
+
+
+def _op13_sql() -> str:
+    escape = "{}"
+    for control in ("\\", *chat.CONTROLS):
+        into = control * 2 if control == "\\" else control[0] + "\\" + control[1:]
+        escape = f"replace({escape}, '{control}', '{into}')"
+    marks = len(chat.BEGIN) + len(chat.MIDDLE) + len(chat.END)
+    return f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{CONTROL_TEXT}'), (-1, 1, 'assistant', '{CONTROL_TEXT}')),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+         length({escape.format("role")}) + length({escape.format("text")}) + {marks} AS chars FROM turns),
+running AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM placed)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (sum(upto) FILTER (role = 'assistant' OR i = n))::BIGINT AS formatted_chars
+FROM running GROUP BY conv_id"""
+
+
 #: Tokenization (3), trained models (5, 6, 7) and hashed draws (9) are beyond SQL; tests
 #: hold them against brute force or held-out labels.
 SQL: dict[str, str] = {
@@ -203,4 +298,7 @@ SQL: dict[str, str] = {
     "op4_near_duplicates": _OP4_SQL,
     "op8_top_k": _OP8_SQL,
     "op10_line_rules": _op10_sql(),
+    "op11_bisector_clusters": _op11_sql(),
+    "op12_source_divergence": _op12_sql(),
+    "op13_chat_format": _op13_sql(),
 }
