@@ -4,11 +4,14 @@ Documents are cut at white space into chunks, which are counted per document. Ea
 globally distinct chunk is cut into terms once; its terms are joined back to the counts,
 and distinct documents and occurrences are aggregated by term.
 
-A task counts its documents in blocks. A block's row per (lang, source, chunk) holds the
-numbers of the documents that have the chunk and how often it occurs, so a chunk that
-every document has is one row per block, not one per document, and the join back on the
-chunk stays even. Documents that have a term by several chunks are counted once where a
-block's rows of one term meet.
+Most chunks are rare, so the texts are gone through twice. The first pass counts documents
+per (lang, chunk). A term's documents are at least those of its most frequent chunk and at
+most the sum over its chunks: only terms whose sum reaches the least number can be kept,
+and only those whose maximum does not reach it need distinct documents. The second pass
+sends occurrences of chunks with such terms, and document numbers of the undecided ones.
+Which chunks these are is told to the tasks by a bitmap of hashes of fixed size; what
+passes it by chance falls in the join. Both passes add up a block of documents before
+anything is shuffled, so a chunk that every document has is one row per block and group.
 """
 
 from __future__ import annotations
@@ -27,8 +30,10 @@ from urlrisk.llm.texts import slices, utf8
 TERM = rb"[A-Za-z\x80-\xFF]+"
 #: p is 1 + floor(UNIT * (count + PRIOR) / (N + PRIOR * V)).
 UNIT, PRIOR = 1_000_000_000, 5
-#: (document, chunk) pairs that a block holds before its rows leave the worker.
-BLOCK_PAIRS = 400_000
+#: Characters that a block of documents gathers before its counts leave the worker.
+BLOCK_CHARS = 16_000_000
+#: Bits of the bitmap, in pieces of one Spark bitmap each: 16 MB at most.
+BITS, PIECE = 2**27, 2**15
 #: Sources on a side, and terms, of one tile of the pairwise sums.
 TILE_SOURCES, TILE_TERMS = 128, 4096
 
@@ -39,58 +44,139 @@ class Settings:
     top_terms: int = 50
 
 
-_CHUNKS = "lang string, source string, block long, chunk string, docs array<int>, n long"
+def _blocks(batches: Iterator) -> Iterator:
+    """Documents (text, lang, source) in blocks; a document is in one block."""
+    import pyarrow as pa
+
+    held, chars = [], 0
+    for whole in batches:
+        for batch in slices(whole, 256):
+            held.append(batch)
+            chars += batch.nbytes
+            if chars >= BLOCK_CHARS:
+                yield pa.Table.from_batches(held)
+                held, chars = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _counted(block):
+    """(distinct chunks, chunk and document number of each pair, occurrences of the pair)."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    parts, documents, first = [], [], 0
+    for text in block.column(0).chunks:
+        split = pc.ascii_split_whitespace(text)
+        parts.append(split.flatten())
+        documents.append(np.repeat(np.arange(first, first + len(text)), pc.list_value_length(split).to_numpy(zero_copy_only=False)))
+        first += len(text)
+    coded = pa.chunked_array(parts).combine_chunks().dictionary_encode()
+    codes, documents = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate(documents)
+    filled = np.flatnonzero(np.diff(_starts(coded.dictionary))[codes]) if len(codes) else codes  # no empty piece at an end
+    pairs, n = np.unique(codes[filled] * max(first, 1) + documents[filled], return_counts=True)
+    return coded.dictionary, pairs // max(first, 1), pairs % max(first, 1), n
+
+
+def _starts(strings):
+    import numpy as np
+
+    kind = np.int64 if str(strings.type).startswith("large") else np.int32
+    return np.frombuffer(strings.buffers()[1], kind)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, kind)
 
 
-def _block_rows(block: int, table: dict, rows: int = 20_000) -> Iterator:
-    """Rows of _CHUNKS from {(lang, source): {chunk: [documents, occurrences]}}."""
+def _coded(column):
+    """(distinct values, code of each row)"""
+    import numpy as np
+
+    coded = column.combine_chunks().dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _count_documents(batches: Iterator) -> Iterator:
+    """lang, chunk, documents of each block."""
     import numpy as np
     import pyarrow as pa
 
-    for (lang, source), chunks in table.items():
-        items = list(chunks.items())
-        for start in range(0, len(items), rows):
-            part = items[start : start + rows]
-            ends = np.cumsum([0, *(len(e[0]) for _, e in part)], dtype=np.int32)
-            flat = np.fromiter((d for _, e in part for d in e[0]), np.int32, ends[-1])
-            same = lambda value, kind: pa.array([value] * len(part), kind)  # noqa: E731, B023
+    for block in _blocks(batches):
+        chunks, code, document, _ = _counted(block)
+        langs, lang = _coded(block.column(1))
+        key, documents = np.unique(code * len(langs) + lang[document], return_counts=True)
+        for at in range(0, len(key), 50_000):
+            k = key[at : at + 50_000]
             yield pa.record_batch(
-                [same(lang, pa.string()), same(source, pa.string()), same(block, pa.int64()),
-                 pa.array([c for c, _ in part], pa.binary()).cast(pa.string()),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([e[1] for _, e in part], pa.int64())],
-                names=("lang", "source", "block", "chunk", "docs", "n"),
+                [langs.take(pa.array(k % len(langs))), chunks.take(pa.array(k // len(langs))), pa.array(documents[at : at + 50_000])],
+                names=("lang", "chunk", "documents"),
             )
 
 
-def _count_chunks(batches: Iterator) -> Iterator:
-    """Counts of white-space chunks; input columns text, lang, source."""
-    from collections import Counter
+class Bitmap:
+    """Set bits of hashes, kept in pieces; `has` may be true by chance, never false by it."""
 
-    from pyspark import TaskContext
+    def __init__(self, pieces: dict[int, bytes]):
+        self.pieces = pieces
 
-    block = TaskContext.get().partitionId() << 33
-    table, number, pairs = {}, 0, 0
-    for whole in batches:
-        for batch in slices(whole, 64):
-            for text, lang, source in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                chunks = table.setdefault((lang, source), {})
-                counted = Counter(text.split())
-                for chunk, n in counted.items():
-                    entry = chunks.get(chunk)
-                    if entry is None:
-                        chunks[chunk] = [[number], n]
-                    else:
-                        entry[0].append(number)
-                        entry[1] += n
-                number, pairs = number + 1, pairs + len(counted)
-                if pairs >= BLOCK_PAIRS:
-                    yield from _block_rows(block, table)
-                    block, table, number, pairs = block + 1, {}, 0, 0
-    yield from _block_rows(block, table)
+    def has(self, chunks):
+        import zlib
+
+        import numpy as np
+
+        bits = np.zeros(BITS // 8, np.uint8)
+        for number, piece in self.pieces.items():
+            bits[number * PIECE // 8 : (number + 1) * PIECE // 8] = np.frombuffer(piece, np.uint8)
+        at = np.fromiter(map(zlib.crc32, utf8(chunks)), np.int64, len(chunks)) % BITS
+        return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def bitmap(chunks: DataFrame) -> Bitmap:
+    """Of a column `chunk`; its pieces, at most BITS / PIECE, reach the driver."""
+    at = F.crc32(F.col("chunk").cast("binary")) % BITS
+    rows = chunks.select(F.floor(at / PIECE).alias("k"), (at % PIECE).alias("bit")).groupBy("k").agg(F.bitmap_construct_agg("bit").alias("b"))
+    return Bitmap({r["k"]: bytes(r["b"]) for r in rows.collect()})
+
+
+_OCCURRENCES = "lang string, source string, chunk string, n long, document long"
+
+
+def _occurrences(wanted: Bitmap, undecided: Bitmap):
+    """Rows of _OCCURRENCES: occurrences of wanted chunks by group (no document), and the
+    documents of undecided ones (no source)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << 33
+        for block in _blocks(batches):
+            chunks, code, document, n = _counted(block)
+            (langs, lang), (sources, source) = _coded(block.column(1)), _coded(block.column(2))
+            has = wanted.has(chunks)[code]
+            code, document, n = code[has], document[has], n[has]
+            spread = len(langs) * len(sources)
+            key, back = np.unique(code * spread + lang[document] * len(sources) + source[document], return_inverse=True)
+            total = np.bincount(back, n, len(key)).astype(np.int64)  # whole numbers below 2**53
+            open_ = undecided.has(chunks)[code]
+            code, document = code[open_], document[open_]
+            columns = [
+                (langs, key % spread // len(sources), lang[document]), (sources, key % len(sources), None), (chunks, key // spread, code),
+            ]
+            none = lambda rows, kind: pa.nulls(rows, kind)
+            sums = [values.take(pa.array(k)) for values, k, _ in columns] + [pa.array(total), none(len(key), pa.int64())]
+            singles = [none(len(code), pa.string()) if k is None else values.take(pa.array(k)) for values, _, k in columns]
+            singles += [none(len(code), pa.int64()), pa.array(first + document)]
+            first += block.num_rows
+            for rows in (sums, singles):
+                batch = pa.record_batch(rows, names=("lang", "source", "chunk", "n", "document"))
+                yield from slices(batch, 50_000)
+
+    return run
 
 
 def _tokenize(batches: Iterator) -> Iterator:
-    """Terms of distinct chunks with their counts; input column chunk."""
+    """Terms of distinct chunks with their counts; input columns chunk, langs (with the
+    documents that have the chunk). A chunk is cut once, whatever its languages."""
     import re
     from collections import Counter
 
@@ -99,33 +185,40 @@ def _tokenize(batches: Iterator) -> Iterator:
     find = re.compile(TERM).findall
     for whole in batches:
         for batch in slices(whole, 4096):
-            chunks, terms, counts = [], [], []
-            for chunk in utf8(batch.column(0)):
-                for term, n in Counter(find(chunk.lower())).items():  # bytes.lower() is A-Z only
-                    chunks.append(chunk)
-                    terms.append(term)
-                    counts.append(n)
+            out = [], [], [], [], []
+            for chunk, langs in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                terms = Counter(find(chunk.lower()))  # bytes.lower() is A-Z only
+                for x in langs:
+                    for term, times in terms.items():
+                        for column, value in zip(out, (x["lang"], term, chunk, times, x["documents"]), strict=True):
+                            column.append(value)
+            text = lambda c: pa.array(c, pa.binary()).cast(pa.string())
             yield pa.record_batch(
-                [pa.array(chunks, pa.binary()).cast(pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())],
-                names=("chunk", "term", "times"),
+                [pa.array(out[0], pa.string()), text(out[1]), text(out[2]), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64())],
+                names=("lang", "term", "chunk", "times", "documents"),
             )
 
 
-def term_counts(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """`lang, source, term, documents, n`: documents that have the term, and occurrences.
-    `docs` has `text, lang, source` without nulls."""
-    chunks = scratch.put(docs.select("text", "lang", "source").mapInArrow(_count_chunks, _CHUNKS), "chunks")
-    distinct = chunks.select("chunk").distinct()
-    terms = scratch.put(distinct.mapInArrow(_tokenize, "chunk string, term string, times long"), "terms")
-    joined = chunks.join(terms, "chunk").select("lang", "source", "block", "term", "docs", (F.col("n") * F.col("times")).alias("n"))
-    # A group is at most what one block holds.
-    lists = F.collect_list("docs")
-    several = F.size(F.array_distinct(F.flatten(lists)))
-    in_block = joined.groupBy("lang", "source", "block", "term").agg(
-        F.when(F.size(lists) > 1, several).otherwise(F.size(lists[0])).cast("long").alias("documents"), F.sum("n").alias("n")
-    )
-    counts = scratch.put(in_block.groupBy("lang", "source", "term").agg(F.sum("documents").alias("documents"), F.sum("n").alias("n")), "counts")
-    scratch.drop(chunks, terms)
+def kept_terms(docs: DataFrame, least: int, scratch: Scratch) -> DataFrame:
+    """`lang, source, term, n`: occurrences of the terms that at least `least` documents of
+    the language have, by source. `docs` has `text, lang, source` without nulls."""
+    docs = docs.select("text", "lang", "source")
+    blocks = docs.mapInArrow(_count_documents, "lang string, chunk string, documents long")
+    by_lang = blocks.repartition("chunk").groupBy("chunk", "lang").agg(F.sum("documents").alias("documents"))
+    distinct = by_lang.groupBy("chunk").agg(F.collect_list(F.struct("lang", "documents")).alias("langs"))  # one per language
+    cut = scratch.put(distinct.mapInArrow(_tokenize, "lang string, term string, chunk string, times long, documents long"), "terms")
+    bounds = cut.groupBy("lang", "term").agg(F.sum("documents").alias("most"), F.max("documents").alias("surely"))
+    possible = bounds.where(F.col("most") >= least).select("lang", "term", (F.col("surely") >= least).alias("sure"))
+    terms = scratch.put(cut.join(possible, ["lang", "term"]).select("lang", "chunk", "term", "times", "sure"), "possible")
+    wanted, undecided = bitmap(terms), bitmap(terms.where("NOT sure"))
+    found = scratch.put(docs.mapInArrow(_occurrences(wanted, undecided), _OCCURRENCES), "found")
+    documents = found.where("document IS NOT NULL").join(terms.where("NOT sure"), ["lang", "chunk"]).select("lang", "term", "document").distinct()
+    proven = documents.groupBy("lang", "term").count().where(F.col("count") >= least).select("lang", "term")
+    kept = terms.where("sure").select("lang", "term").distinct().unionByName(proven)
+    by_chunk = found.where("document IS NULL").groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"))
+    by_term = by_chunk.join(terms.drop("sure"), ["lang", "chunk"]).groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+    counts = scratch.put(by_term.join(kept, ["lang", "term"], "left_semi"), "counts")
+    scratch.drop(cut, terms, found)
     return counts
 
 
@@ -195,9 +288,8 @@ def audit(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "divergence")
     clean = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    counts = term_counts(clean, scratch)
-    kept = counts.groupBy("lang", "term").agg(F.sum("documents").alias("documents"), F.sum("n").alias("all_n"))
-    kept = scratch.put(kept.where(F.col("documents") >= settings.least_documents).drop("documents"), "kept")
+    counts = kept_terms(clean, settings.least_documents, scratch)
+    kept = scratch.put(counts.groupBy("lang", "term").agg(F.sum("n").alias("all_n")), "kept")
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("all_n").alias("lang_total"))
     found = scratch.put(counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "all_n"), "found")
     totals = found.groupBy("lang", "source").agg(F.sum("n").alias("total"))
