@@ -1,17 +1,15 @@
 """How the sources of a language differ in their terms, by chunk factorization.
 
 Documents are cut at white space into chunks, which are counted per document. Each
-globally distinct chunk is cut into terms once; its terms are joined back to the counts,
-and distinct documents and occurrences are aggregated by term.
-
-Most chunks are rare, so the texts are gone through twice. The first pass counts documents
-per (lang, chunk). A term's documents are at least those of its most frequent chunk and at
-most the sum over its chunks: only terms whose sum reaches the least number can be kept,
-and only those whose maximum does not reach it need distinct documents. The second pass
-sends occurrences of chunks with such terms, and document numbers of the undecided ones.
-Which chunks these are is told to the tasks by a bitmap of hashes of fixed size; what
-passes it by chance falls in the join. Both passes add up a block of documents before
-anything is shuffled, so a chunk that every document has is one row per block and group.
+globally distinct chunk is cut into terms once; its counts are joined to its terms, and
+distinct documents and occurrences are aggregated by term.
+
+A task counts its documents in blocks. A block hands on one row per (lang, chunk): how
+many documents have it, their numbers as long as they are fewer than a kept term needs,
+and occurrences by source. Rows then meet twice, by chunk and by (lang, term), each time
+sorted and merged as a stream, so no key needs memory of its own size. Tasks add up what
+they can before either shuffle: a chunk that every document has is one row per block, a
+term of very many chunks a few rows per task.
 """
 
 from __future__ import annotations
@@ -30,10 +28,10 @@ from urlrisk.llm.texts import slices, utf8
 TERM = rb"[A-Za-z\x80-\xFF]+"
 #: p is 1 + floor(UNIT * (count + PRIOR) / (N + PRIOR * V)).
 UNIT, PRIOR = 1_000_000_000, 5
-#: Characters that a block of documents gathers before its counts leave the worker.
-BLOCK_CHARS = 16_000_000
-#: Bits of the bitmap, in pieces of one Spark bitmap each: 16 MB at most.
-BITS, PIECE = 2**27, 2**15
+#: Bytes of text that a block of documents gathers before its counts leave the worker.
+BLOCK_BYTES = 12_000_000
+#: Terms that a task adds up before it hands them on.
+HELD_TERMS = 100_000
 #: Sources on a side, and terms, of one tile of the pairwise sums.
 TILE_SOURCES, TILE_TERMS = 128, 4096
 
@@ -45,23 +43,30 @@ class Settings:
 
 
 def _blocks(batches: Iterator) -> Iterator:
-    """Documents (text, lang, source) in blocks; a document is in one block."""
+    """Documents (text, lang, source_id) in blocks; a document is in one block."""
     import pyarrow as pa
 
-    held, chars = [], 0
+    held, size = [], 0
     for whole in batches:
         for batch in slices(whole, 256):
             held.append(batch)
-            chars += batch.nbytes
-            if chars >= BLOCK_CHARS:
+            size += batch.nbytes
+            if size >= BLOCK_BYTES:
                 yield pa.Table.from_batches(held)
-                held, chars = [], 0
+                held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
 
 
-def _counted(block):
-    """(distinct chunks, chunk and document number of each pair, occurrences of the pair)."""
+def _coded(column):
+    """(distinct values, code of each row)"""
+    coded = column.combine_chunks().dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+
+
+def _pairs(block):
+    """(distinct chunks, chunk and document number of each pair, occurrences of the pair),
+    by chunk and document."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -70,156 +75,226 @@ def _counted(block):
     for text in block.column(0).chunks:
         split = pc.ascii_split_whitespace(text)
         parts.append(split.flatten())
-        documents.append(np.repeat(np.arange(first, first + len(text)), pc.list_value_length(split).to_numpy(zero_copy_only=False)))
+        documents.append(np.repeat(np.arange(first, first + len(text), dtype=np.int64), pc.list_value_length(split).to_numpy(zero_copy_only=False)))
         first += len(text)
-    coded = pa.chunked_array(parts).combine_chunks().dictionary_encode()
-    codes, documents = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate(documents)
-    filled = np.flatnonzero(np.diff(_starts(coded.dictionary))[codes]) if len(codes) else codes  # no empty piece at an end
-    pairs, n = np.unique(codes[filled] * max(first, 1) + documents[filled], return_counts=True)
-    return coded.dictionary, pairs // max(first, 1), pairs % max(first, 1), n
+    chunks, code = _coded(pa.chunked_array(parts))
+    pair, n = np.unique(code * np.int64(max(first, 1)) + np.concatenate(documents), return_counts=True)
+    code, document = np.divmod(pair, max(first, 1))
+    # Splitting leaves an empty piece where a text starts or ends with white space.
+    filled = pc.binary_length(chunks).to_numpy(zero_copy_only=False)[code] > 0 if len(code) else np.zeros(0, bool)
+    return chunks, code[filled], document[filled], n[filled]
 
 
-def _starts(strings):
+def _packed(values, lengths):
+    """Binary cells of `lengths` values each, from one flat array of 8-byte values."""
     import numpy as np
+    import pyarrow as pa
 
-    kind = np.int64 if str(strings.type).startswith("large") else np.int32
-    return np.frombuffer(strings.buffers()[1], kind)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, kind)
+    ends = np.concatenate([[0], np.cumsum(lengths)]) * 8
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
 
 
-def _coded(column):
-    """(distinct values, code of each row)"""
-    import numpy as np
-
-    coded = column.combine_chunks().dictionary_encode()
-    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+#: docs: document numbers, none for `least` documents or more; counts: (source_id, n) ...
+_CHUNKS = "lang string, chunk string, documents long, docs binary, counts binary"
 
 
-def _count_documents(batches: Iterator) -> Iterator:
-    """lang, chunk, documents of each block."""
-    import numpy as np
-    import pyarrow as pa
+def _count_chunks(least: int):
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
 
-    for block in _blocks(batches):
-        chunks, code, document, _ = _counted(block)
-        langs, lang = _coded(block.column(1))
-        key, documents = np.unique(code * len(langs) + lang[document], return_counts=True)
-        for at in range(0, len(key), 50_000):
-            k = key[at : at + 50_000]
-            yield pa.record_batch(
-                [langs.take(pa.array(k % len(langs))), chunks.take(pa.array(k // len(langs))), pa.array(documents[at : at + 50_000])],
-                names=("lang", "chunk", "documents"),
+        first = TaskContext.get().partitionId() << 33
+        for block in _blocks(batches):
+            chunks, code, document, n = _pairs(block)
+            langs, lang = _coded(block.column(1))
+            sources, source = _coded(block.column(2))
+            group = lang.astype(np.int64) * len(sources) + source
+            key = code * (len(langs) * len(sources)) + group[document]
+            order = np.argsort(key, kind="stable")
+            key, document, n = key[order], document[order], n[order]
+            entry = np.flatnonzero(np.diff(key, prepend=-1))  # starts of (chunk, lang, source)
+            own = key // len(sources)
+            row = np.flatnonzero(np.diff(own, prepend=-1))  # starts of (chunk, lang)
+            if not len(row):
+                continue
+            documents = np.diff(row, append=len(key))
+            counts = np.stack([sources.to_numpy(zero_copy_only=False)[key[entry] % len(sources)], np.add.reduceat(n, entry)], axis=1)
+            few = documents < least
+            docs = first + document[np.repeat(few, documents)]
+            first += block.num_rows
+            batch = pa.record_batch(
+                [langs.take(pa.array(own[row] % len(langs))), chunks.take(pa.array(own[row] // len(langs))), pa.array(documents),
+                 _packed(docs, np.where(few, documents, 0)), _packed(counts, 2 * np.diff(np.searchsorted(entry, row), append=len(entry)))],
+                names=("lang", "chunk", "documents", "docs", "counts"),
             )
+            yield from slices(batch, 20_000)
 
+    return run
 
-class Bitmap:
-    """Set bits of hashes, kept in pieces; `has` may be true by chance, never false by it."""
 
-    def __init__(self, pieces: dict[int, bytes]):
-        self.pieces = pieces
+class _Tally:
+    """Documents and occurrences by source of one term, or chunk, of a language. Packed
+    cells are strung together and summed up when they get long."""
 
-    def has(self, chunks):
-        import zlib
+    __slots__ = ("counts", "docs", "most", "sure")
 
-        import numpy as np
+    def __init__(self):
+        self.most, self.sure, self.docs, self.counts = 0, False, b"", b""
 
-        bits = np.zeros(BITS // 8, np.uint8)
-        for number, piece in self.pieces.items():
-            bits[number * PIECE // 8 : (number + 1) * PIECE // 8] = np.frombuffer(piece, np.uint8)
-        at = np.fromiter(map(zlib.crc32, utf8(chunks)), np.int64, len(chunks)) % BITS
-        return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    def add(self, most: int, sure: bool, docs: bytes, counts: bytes, least: int) -> None:
+        self.most += most
+        self.counts = self.counts + counts if self.counts else counts
+        if len(self.counts) > 1 << 16:
+            self.counts = _summed(self.counts)
+        if self.sure or sure:
+            self.sure, self.docs = True, b""
+        else:
+            self.docs = self.docs + docs if self.docs else docs
+            if len(self.docs) > 64 * least:
+                self.settle(least)
 
+    def settle(self, least: int) -> bool:
+        """Whether at least `least` distinct documents are known."""
+        if not self.sure and len(self.docs) >= 8 * least:
+            import numpy as np
 
-def bitmap(chunks: DataFrame) -> Bitmap:
-    """Of a column `chunk`; its pieces, at most BITS / PIECE, reach the driver."""
-    at = F.crc32(F.col("chunk").cast("binary")) % BITS
-    rows = chunks.select(F.floor(at / PIECE).alias("k"), (at % PIECE).alias("bit")).groupBy("k").agg(F.bitmap_construct_agg("bit").alias("b"))
-    return Bitmap({r["k"]: bytes(r["b"]) for r in rows.collect()})
+            distinct = np.unique(np.frombuffer(self.docs, np.int64))
+            self.sure = len(distinct) >= least
+            self.docs = b"" if self.sure else distinct.tobytes()
+        return self.sure
 
 
-_OCCURRENCES = "lang string, source string, chunk string, n long, document long"
+def _summed(counts: bytes, times: int = 1) -> bytes:
+    import numpy as np
 
+    pairs = np.frombuffer(counts, np.int64).reshape(-1, 2)
+    source, back = np.unique(pairs[:, 0], return_inverse=True)
+    total = np.zeros(len(source), np.int64)
+    np.add.at(total, back, pairs[:, 1] * times)
+    return np.stack([source, total], axis=1).tobytes()
 
-def _occurrences(wanted: Bitmap, undecided: Bitmap):
-    """Rows of _OCCURRENCES: occurrences of wanted chunks by group (no document), and the
-    documents of undecided ones (no source)."""
 
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-        from pyspark import TaskContext
+_TERMS = "lang string, term string, most long, sure boolean, docs binary, counts binary"
 
-        first = TaskContext.get().partitionId() << 33
-        for block in _blocks(batches):
-            chunks, code, document, n = _counted(block)
-            (langs, lang), (sources, source) = _coded(block.column(1)), _coded(block.column(2))
-            has = wanted.has(chunks)[code]
-            code, document, n = code[has], document[has], n[has]
-            spread = len(langs) * len(sources)
-            key, back = np.unique(code * spread + lang[document] * len(sources) + source[document], return_inverse=True)
-            total = np.bincount(back, n, len(key)).astype(np.int64)  # whole numbers below 2**53
-            open_ = undecided.has(chunks)[code]
-            code, document = code[open_], document[open_]
-            columns = [
-                (langs, key % spread // len(sources), lang[document]), (sources, key % len(sources), None), (chunks, key // spread, code),
-            ]
-            none = lambda rows, kind: pa.nulls(rows, kind)
-            sums = [values.take(pa.array(k)) for values, k, _ in columns] + [pa.array(total), none(len(key), pa.int64())]
-            singles = [none(len(code), pa.string()) if k is None else values.take(pa.array(k)) for values, _, k in columns]
-            singles += [none(len(code), pa.int64()), pa.array(first + document)]
-            first += block.num_rows
-            for rows in (sums, singles):
-                batch = pa.record_batch(rows, names=("lang", "source", "chunk", "n", "document"))
-                yield from slices(batch, 50_000)
+
+def _term_batch(table: dict):
+    import pyarrow as pa
+
+    of = list(table.values())
+    return pa.record_batch(
+        [pa.array([k[0] for k in table], pa.binary()).cast(pa.string()), pa.array([k[1] for k in table], pa.binary()).cast(pa.string()),
+         pa.array([t.most for t in of], pa.int64()), pa.array([t.sure for t in of]), pa.array([t.docs for t in of], pa.binary()),
+         pa.array([t.counts for t in of], pa.binary())],
+        names=("lang", "term", "most", "sure", "docs", "counts"),
+    )
+
+
+def _cut_chunks(least: int):
+    """Rows of _CHUNKS, sorted by chunk and lang, to rows of _TERMS."""
+
+    def run(batches: Iterator) -> Iterator:
+        import re
+        from collections import Counter
+
+        find, table, chunk, langs = re.compile(TERM).findall, {}, None, {}
+
+        def close():
+            for term, times in Counter(find(chunk.lower())).items():  # bytes.lower() is A-Z only
+                for lang, (documents, docs, counts) in langs.items():
+                    of = table.get((lang, term))
+                    if of is None:
+                        of = table[lang, term] = _Tally()
+                    of.add(documents, documents >= least, docs, counts if times == 1 else _summed(counts, times), least)
+
+        for whole in batches:
+            for batch in slices(whole, 10_000):
+                columns = utf8(batch.column(1)), utf8(batch.column(0)), *(batch.column(i).to_pylist() for i in (2, 3, 4))
+                for now, lang, documents, docs, counts in zip(*columns, strict=True):
+                    if now != chunk:
+                        if langs:
+                            close()
+                        chunk, langs = now, {}
+                    if lang in langs:
+                        had = langs[lang]
+                        counts = had[2] + counts
+                        counts = _summed(counts) if len(counts) > 1 << 16 else counts
+                        documents += had[0]  # a document is in one block: all of these differ
+                        langs[lang] = documents, b"" if documents >= least else had[1] + docs, counts
+                    else:
+                        langs[lang] = documents, docs, counts
+                if len(table) >= HELD_TERMS:
+                    yield _term_batch(table)
+                    table.clear()
+        if langs:
+            close()
+        if table:
+            yield _term_batch(table)
 
     return run
 
 
-def _tokenize(batches: Iterator) -> Iterator:
-    """Terms of distinct chunks with their counts; input columns chunk, langs (with the
-    documents that have the chunk). A chunk is cut once, whatever its languages."""
-    import re
-    from collections import Counter
+def _sum_terms(least: int):
+    """Rows of _TERMS, sorted by lang and term, to occurrences by source of kept terms."""
 
-    import pyarrow as pa
+    def run(batches: Iterator) -> Iterator:
+        import struct
 
-    find = re.compile(TERM).findall
-    for whole in batches:
-        for batch in slices(whole, 4096):
-            out = [], [], [], [], []
-            for chunk, langs in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                terms = Counter(find(chunk.lower()))  # bytes.lower() is A-Z only
-                for x in langs:
-                    for term, times in terms.items():
-                        for column, value in zip(out, (x["lang"], term, chunk, times, x["documents"]), strict=True):
-                            column.append(value)
+        import pyarrow as pa
+
+        key, tally, out = None, _Tally(), ([], [], [], [])
+
+        def close():
+            if tally.most >= least and tally.settle(least):
+                sums = {}
+                for source, n in struct.iter_unpack("=qq", tally.counts):
+                    sums[source] = sums.get(source, 0) + n
+                for column, values in zip(out, ([key[0]] * len(sums), sums, [key[1]] * len(sums), sums.values()), strict=True):
+                    column.extend(values)
+
+        def batch_of():
             text = lambda c: pa.array(c, pa.binary()).cast(pa.string())
-            yield pa.record_batch(
-                [pa.array(out[0], pa.string()), text(out[1]), text(out[2]), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64())],
-                names=("lang", "term", "chunk", "times", "documents"),
-            )
+            done = pa.record_batch([text(out[0]), pa.array(out[1], pa.int64()), text(out[2]), pa.array(out[3], pa.int64())], names=("lang", "source_id", "term", "n"))
+            for column in out:
+                column.clear()
+            return done
+
+        for whole in batches:
+            for batch in slices(whole, 10_000):
+                columns = utf8(batch.column(0)), utf8(batch.column(1)), *(batch.column(i).to_pylist() for i in (2, 3, 4, 5))
+                for lang, term, most, sure, docs, counts in zip(*columns, strict=True):
+                    if key != (lang, term):
+                        if key is not None:
+                            close()
+                        key, tally = (lang, term), _Tally()
+                    tally.add(most, sure, docs, counts, least)
+                if len(out[0]) >= 20_000:
+                    yield batch_of()
+        if key is not None:
+            close()
+        yield batch_of()
+
+    return run
+
+
+def source_ids(sources: DataFrame) -> Column:
+    """A 64-bit hash of the column `source` that differs for all of `sources`."""
+    for seed in range(100):
+        made = F.xxhash64(F.lit(seed), F.col("source"))
+        n, ids = sources.agg(F.count("*"), F.count_distinct(made)).first()
+        if n == ids:
+            return made
+    raise ValueError("no hash tells these sources apart")
 
 
-def kept_terms(docs: DataFrame, least: int, scratch: Scratch) -> DataFrame:
-    """`lang, source, term, n`: occurrences of the terms that at least `least` documents of
-    the language have, by source. `docs` has `text, lang, source` without nulls."""
-    docs = docs.select("text", "lang", "source")
-    blocks = docs.mapInArrow(_count_documents, "lang string, chunk string, documents long")
-    by_lang = blocks.repartition("chunk").groupBy("chunk", "lang").agg(F.sum("documents").alias("documents"))
-    distinct = by_lang.groupBy("chunk").agg(F.collect_list(F.struct("lang", "documents")).alias("langs"))  # one per language
-    cut = scratch.put(distinct.mapInArrow(_tokenize, "lang string, term string, chunk string, times long, documents long"), "terms")
-    bounds = cut.groupBy("lang", "term").agg(F.sum("documents").alias("most"), F.max("documents").alias("surely"))
-    possible = bounds.where(F.col("most") >= least).select("lang", "term", (F.col("surely") >= least).alias("sure"))
-    terms = scratch.put(cut.join(possible, ["lang", "term"]).select("lang", "chunk", "term", "times", "sure"), "possible")
-    wanted, undecided = bitmap(terms), bitmap(terms.where("NOT sure"))
-    found = scratch.put(docs.mapInArrow(_occurrences(wanted, undecided), _OCCURRENCES), "found")
-    documents = found.where("document IS NOT NULL").join(terms.where("NOT sure"), ["lang", "chunk"]).select("lang", "term", "document").distinct()
-    proven = documents.groupBy("lang", "term").count().where(F.col("count") >= least).select("lang", "term")
-    kept = terms.where("sure").select("lang", "term").distinct().unionByName(proven)
-    by_chunk = found.where("document IS NULL").groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"))
-    by_term = by_chunk.join(terms.drop("sure"), ["lang", "chunk"]).groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
-    counts = scratch.put(by_term.join(kept, ["lang", "term"], "left_semi"), "counts")
-    scratch.drop(cut, terms, found)
-    return counts
+def kept_terms(docs: DataFrame, least: int) -> DataFrame:
+    """`lang, source_id, term, n`: occurrences by source of the terms that at least `least`
+    documents of the language have. `docs` has `text, lang, source_id` without nulls."""
+    chunks = docs.select("text", "lang", "source_id").mapInArrow(_count_chunks(least), _CHUNKS)
+    chunks = chunks.repartition("chunk").sortWithinPartitions("chunk")
+    terms = chunks.mapInArrow(_cut_chunks(least), _TERMS)
+    terms = terms.repartition("lang", "term").sortWithinPartitions("lang", "term")
+    return terms.mapInArrow(_sum_terms(least), "lang string, source_id long, term string, n long")
 
 
 def probability(count: Column, total: Column, terms: Column) -> Column:
@@ -288,21 +363,22 @@ def audit(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "divergence")
     clean = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    counts = kept_terms(clean, settings.least_documents, scratch)
+    named = scratch.put(clean.select("lang", "source").distinct(), "sources")
+    ids = source_ids(named.select("source").distinct())
+    named = named.withColumn("source_id", ids)
+    counts = scratch.put(kept_terms(clean.withColumn("source_id", ids), settings.least_documents), "counts")
     kept = scratch.put(counts.groupBy("lang", "term").agg(F.sum("n").alias("all_n")), "kept")
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("all_n").alias("lang_total"))
-    found = scratch.put(counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "all_n"), "found")
-    totals = found.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = clean.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
-    groups = groups.na.fill(0, ["total", "v", "lang_total"])
+    totals = counts.groupBy("lang", "source_id").agg(F.sum("n").alias("total"))
+    groups = named.join(totals, ["lang", "source_id"], "left").join(langs, "lang", "left").na.fill(0, ["total", "v", "lang_total"])
     number = (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("long")
     p0 = F.when(F.col("v") > 0, probability(F.lit(0).cast("long"), F.col("total"), F.col("v")))
-    groups = scratch.put(groups.select("lang", "source", "total", "v", "lang_total", number.alias("number"), p0.alias("p0")), "groups")
-    grid = found.join(groups, ["lang", "source"])
+    groups = scratch.put(groups.select("lang", "source", "source_id", "total", "v", "lang_total", number.alias("number"), p0.alias("p0")), "groups")
+    grid = counts.join(kept, ["lang", "term"]).join(groups, ["lang", "source_id"])
     p = probability(F.col("n"), F.col("total"), F.col("v"))
     q = probability(F.col("all_n"), F.col("lang_total"), F.col("v"))
     grid = scratch.put(grid.select("lang", "source", "number", "term", "v", p.alias("p"), q.alias("q")), "grid")
-    scratch.drop(counts, kept, found)
+    scratch.drop(counts, kept)
 
     def ranked(rows: DataFrame, part: str) -> DataFrame:
         order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
