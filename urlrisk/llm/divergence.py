@@ -28,21 +28,19 @@ from urlrisk.llm.texts import slices, utf8
 TERM = rb"[A-Za-z\x80-\xFF]+"
 #: p is 1 + floor(UNIT * (count + PRIOR) / (N + PRIOR * V)).
 UNIT, PRIOR = 1_000_000_000, 5
-#: Bytes of text that a block of documents gathers before its counts leave the worker.
-BLOCK_BYTES = 12_000_000
-#: Terms that a task adds up before it hands them on.
-HELD_TERMS = 100_000
-#: Sources on a side, and terms, of one tile of the pairwise sums.
-TILE_SOURCES, TILE_TERMS = 128, 4096
 
 
 @dataclass(frozen=True)
 class Settings:
     least_documents: int = 30
     top_terms: int = 50
+    block_bytes: int = 12_000_000  #: text that a block gathers before its counts leave the worker
+    held_terms: int = 100_000  #: terms that a task adds up before it hands them on
+    tile_sources: int = 128  #: on a side of one tile of the pairwise sums
+    tile_terms: int = 4096
 
 
-def _blocks(batches: Iterator) -> Iterator:
+def _blocks(batches: Iterator, most: int) -> Iterator:
     """Documents (text, lang, source_id) in blocks; a document is in one block."""
     import pyarrow as pa
 
@@ -51,7 +49,7 @@ def _blocks(batches: Iterator) -> Iterator:
         for batch in slices(whole, 256):
             held.append(batch)
             size += batch.nbytes
-            if size >= BLOCK_BYTES:
+            if size >= most:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
     if held:
@@ -98,14 +96,16 @@ def _packed(values, lengths):
 _CHUNKS = "lang string, chunk string, documents long, docs binary, counts binary"
 
 
-def _count_chunks(least: int):
+def _count_chunks(settings: Settings):
+    least = settings.least_documents
+
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 33
-        for block in _blocks(batches):
+        for block in _blocks(batches, settings.block_bytes):
             chunks, code, document, n = _pairs(block)
             langs, lang = _coded(block.column(1))
             sources, source = _coded(block.column(2))
@@ -133,39 +133,8 @@ def _count_chunks(least: int):
     return run
 
 
-class _Tally:
-    """Documents and occurrences by source of one term, or chunk, of a language. Packed
-    cells are strung together and summed up when they get long."""
-
-    __slots__ = ("counts", "docs", "most", "sure")
-
-    def __init__(self):
-        self.most, self.sure, self.docs, self.counts = 0, False, b"", b""
-
-    def add(self, most: int, sure: bool, docs: bytes, counts: bytes, least: int) -> None:
-        self.most += most
-        self.counts = self.counts + counts if self.counts else counts
-        if len(self.counts) > 1 << 16:
-            self.counts = _summed(self.counts)
-        if self.sure or sure:
-            self.sure, self.docs = True, b""
-        else:
-            self.docs = self.docs + docs if self.docs else docs
-            if len(self.docs) > 64 * least:
-                self.settle(least)
-
-    def settle(self, least: int) -> bool:
-        """Whether at least `least` distinct documents are known."""
-        if not self.sure and len(self.docs) >= 8 * least:
-            import numpy as np
-
-            distinct = np.unique(np.frombuffer(self.docs, np.int64))
-            self.sure = len(distinct) >= least
-            self.docs = b"" if self.sure else distinct.tobytes()
-        return self.sure
-
-
 def _summed(counts: bytes, times: int = 1) -> bytes:
+    """Packed (source_id, n) with one n per source, times `times`."""
     import numpy as np
 
     pairs = np.frombuffer(counts, np.int64).reshape(-1, 2)
@@ -175,61 +144,88 @@ def _summed(counts: bytes, times: int = 1) -> bytes:
     return np.stack([source, total], axis=1).tobytes()
 
 
-_TERMS = "lang string, term string, most long, sure boolean, docs binary, counts binary"
+def _distinct(docs: bytes, least: int) -> bytes:
+    """Packed distinct document numbers; `least` of them at most."""
+    import numpy as np
+
+    return np.unique(np.frombuffer(docs, np.int64))[:least].tobytes()
 
 
-def _term_batch(table: dict):
+def _runs(batches: Iterator, least: int) -> Iterator:
+    """Rows (key, key, most, surely, docs, counts), sorted by their keys, merged where the
+    keys are equal: sums, maxima, cells strung together. Yields lists of columns. A run
+    that goes on in the next batch is held back, and summed up when it gets long."""
+    import numpy as np
     import pyarrow as pa
 
-    of = list(table.values())
-    return pa.record_batch(
-        [pa.array([k[0] for k in table], pa.binary()).cast(pa.string()), pa.array([k[1] for k in table], pa.binary()).cast(pa.string()),
-         pa.array([t.most for t in of], pa.int64()), pa.array([t.sure for t in of]), pa.array([t.docs for t in of], pa.binary()),
-         pa.array([t.counts for t in of], pa.binary())],
-        names=("lang", "term", "most", "sure", "docs", "counts"),
-    )
+    def strung(cells, starts):
+        ends = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1]
+        ends = np.append(ends[starts], ends[-1])
+        return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), cells.buffers()[2] or pa.py_buffer(b"")])
 
+    held = None
+    for whole in batches:
+        for batch in slices(whole, 20_000):
+            if not batch.num_rows:
+                continue
+            now = [c if held is None else pa.concat_arrays([h, c]) for h, c in zip(held or batch.columns, batch.columns, strict=True)]
+            keys = [c.dictionary_encode().indices.to_numpy(zero_copy_only=False) for c in now[:2]]
+            starts = np.flatnonzero((np.diff(keys[0], prepend=-1) != 0) | (np.diff(keys[1], prepend=-1) != 0))
+            most = np.add.reduceat(now[2].to_numpy(zero_copy_only=False), starts)
+            surely = np.maximum.reduceat(now[3].to_numpy(zero_copy_only=False), starts)
+            merged = [c.take(pa.array(starts)) for c in now[:2]] + [pa.array(most), pa.array(surely)] + [strung(c, starts) for c in now[4:]]
+            if len(starts) > 1:
+                yield [utf8(c.slice(0, len(starts) - 1)) for c in merged[:2]] + [c.slice(0, len(starts) - 1).to_pylist() for c in merged[2:]]
+            held = [c.slice(len(starts) - 1) for c in merged]
+            docs, counts = held[4][0].as_py(), held[5][0].as_py()
+            if len(docs) > 64 * least or len(counts) > 1 << 16:
+                held[4:] = [pa.array([_distinct(docs, least)], pa.binary()), pa.array([_summed(counts)], pa.binary())]
+    if held is not None:
+        yield [utf8(c) for c in held[:2]] + [c.to_pylist() for c in held[2:]]
+
+
+#: most: sum of documents over the chunks of a term; surely: of its most frequent chunk.
+_TERMS = "lang string, term string, most long, surely long, docs binary, counts binary"
+
+
+def _cut_chunks(settings: Settings):
+    """Rows (chunk, lang, documents, documents, docs, counts), sorted, to rows of _TERMS."""
+    least = settings.least_documents
+
+    def term_batch(table: dict):
+        import pyarrow as pa
 
-def _cut_chunks(least: int):
-    """Rows of _CHUNKS, sorted by chunk and lang, to rows of _TERMS."""
+        columns = [[k[0] for k in table], [k[1] for k in table], *zip(*table.values(), strict=True)]
+        kinds = pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()
+        made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        return pa.record_batch([made[0].cast(pa.string()), made[1].cast(pa.string()), *made[2:]], names=("lang", "term", "most", "surely", "docs", "counts"))
 
     def run(batches: Iterator) -> Iterator:
         import re
         from collections import Counter
 
-        find, table, chunk, langs = re.compile(TERM).findall, {}, None, {}
-
-        def close():
-            for term, times in Counter(find(chunk.lower())).items():  # bytes.lower() is A-Z only
-                for lang, (documents, docs, counts) in langs.items():
-                    of = table.get((lang, term))
-                    if of is None:
-                        of = table[lang, term] = _Tally()
-                    of.add(documents, documents >= least, docs, counts if times == 1 else _summed(counts, times), least)
-
-        for whole in batches:
-            for batch in slices(whole, 10_000):
-                columns = utf8(batch.column(1)), utf8(batch.column(0)), *(batch.column(i).to_pylist() for i in (2, 3, 4))
-                for now, lang, documents, docs, counts in zip(*columns, strict=True):
-                    if now != chunk:
-                        if langs:
-                            close()
-                        chunk, langs = now, {}
-                    if lang in langs:
-                        had = langs[lang]
-                        counts = had[2] + counts
-                        counts = _summed(counts) if len(counts) > 1 << 16 else counts
-                        documents += had[0]  # a document is in one block: all of these differ
-                        langs[lang] = documents, b"" if documents >= least else had[1] + docs, counts
+        find, table, last, terms = re.compile(TERM).findall, {}, None, {}
+        for columns in _runs(batches, least):
+            for chunk, lang, documents, _, docs, counts in zip(*columns, strict=True):
+                if chunk != last:
+                    last, terms = chunk, Counter(find(chunk.lower()))  # bytes.lower() is A-Z only
+                if documents >= least:
+                    docs = b""  # enough are known; a document is in one block, so all differ
+                for term, times in terms.items():
+                    own = counts if times == 1 else _summed(counts, times)
+                    had = table.get((lang, term))
+                    if had is None:
+                        table[lang, term] = documents, documents, docs, own
                     else:
-                        langs[lang] = documents, docs, counts
-                if len(table) >= HELD_TERMS:
-                    yield _term_batch(table)
-                    table.clear()
-        if langs:
-            close()
+                        both, own = had[2] + docs, had[3] + own
+                        both = _distinct(both, least) if len(both) > 64 * least else both
+                        own = _summed(own) if len(own) > 1 << 16 else own
+                        table[lang, term] = had[0] + documents, max(had[1], documents), both, own
+            if len(table) >= settings.held_terms:
+                yield term_batch(table)
+                table.clear()
         if table:
-            yield _term_batch(table)
+            yield term_batch(table)
 
     return run
 
@@ -242,37 +238,18 @@ def _sum_terms(least: int):
 
         import pyarrow as pa
 
-        key, tally, out = None, _Tally(), ([], [], [], [])
-
-        def close():
-            if tally.most >= least and tally.settle(least):
+        for columns in _runs(batches, least):
+            out = [], [], [], []
+            for lang, term, most, surely, docs, counts in zip(*columns, strict=True):
+                if most < least or surely < least and len(_distinct(docs, least)) < 8 * least:
+                    continue
                 sums = {}
-                for source, n in struct.iter_unpack("=qq", tally.counts):
+                for source, n in struct.iter_unpack("=qq", counts):
                     sums[source] = sums.get(source, 0) + n
-                for column, values in zip(out, ([key[0]] * len(sums), sums, [key[1]] * len(sums), sums.values()), strict=True):
+                for column, values in zip(out, ([lang] * len(sums), sums, [term] * len(sums), sums.values()), strict=True):
                     column.extend(values)
-
-        def batch_of():
             text = lambda c: pa.array(c, pa.binary()).cast(pa.string())
-            done = pa.record_batch([text(out[0]), pa.array(out[1], pa.int64()), text(out[2]), pa.array(out[3], pa.int64())], names=("lang", "source_id", "term", "n"))
-            for column in out:
-                column.clear()
-            return done
-
-        for whole in batches:
-            for batch in slices(whole, 10_000):
-                columns = utf8(batch.column(0)), utf8(batch.column(1)), *(batch.column(i).to_pylist() for i in (2, 3, 4, 5))
-                for lang, term, most, sure, docs, counts in zip(*columns, strict=True):
-                    if key != (lang, term):
-                        if key is not None:
-                            close()
-                        key, tally = (lang, term), _Tally()
-                    tally.add(most, sure, docs, counts, least)
-                if len(out[0]) >= 20_000:
-                    yield batch_of()
-        if key is not None:
-            close()
-        yield batch_of()
+            yield pa.record_batch([text(out[0]), pa.array(out[1], pa.int64()), text(out[2]), pa.array(out[3], pa.int64())], names=("lang", "source_id", "term", "n"))
 
     return run
 
@@ -287,14 +264,15 @@ def source_ids(sources: DataFrame) -> Column:
     raise ValueError("no hash tells these sources apart")
 
 
-def kept_terms(docs: DataFrame, least: int) -> DataFrame:
-    """`lang, source_id, term, n`: occurrences by source of the terms that at least `least`
-    documents of the language have. `docs` has `text, lang, source_id` without nulls."""
-    chunks = docs.select("text", "lang", "source_id").mapInArrow(_count_chunks(least), _CHUNKS)
-    chunks = chunks.repartition("chunk").sortWithinPartitions("chunk")
-    terms = chunks.mapInArrow(_cut_chunks(least), _TERMS)
+def kept_terms(docs: DataFrame, settings: Settings) -> DataFrame:
+    """`lang, source_id, term, n`: occurrences by source of the terms that at least
+    `least_documents` documents of the language have. `docs` has `text, lang, source_id` without nulls."""
+    chunks = docs.select("text", "lang", "source_id").mapInArrow(_count_chunks(settings), _CHUNKS)
+    chunks = chunks.repartition("chunk").sortWithinPartitions("chunk", "lang")
+    chunks = chunks.select("chunk", "lang", "documents", F.col("documents").alias("surely"), "docs", "counts")
+    terms = chunks.mapInArrow(_cut_chunks(settings), _TERMS)
     terms = terms.repartition("lang", "term").sortWithinPartitions("lang", "term")
-    return terms.mapInArrow(_sum_terms(least), "lang string, source_id long, term string, n long")
+    return terms.mapInArrow(_sum_terms(settings.least_documents), "lang string, source_id long, term string, n long")
 
 
 def probability(count: Column, total: Column, terms: Column) -> Column:
@@ -304,35 +282,40 @@ def probability(count: Column, total: Column, terms: Column) -> Column:
     return (F.call_function("div", above, below) + 1).cast("long")
 
 
-def _tile_sums(frame):
+def _tile_sums(side: int):
     """Sums of |p - q| over the terms of one tile, for pairs a <> b of its sources. Rows
     with a null term carry a source's p of terms that it lacks."""
-    import numpy as np
-    import pandas as pd
-
-    lang, ta, tb = frame["lang"].iloc[0], frame["ta"].iloc[0], frame["tb"].iloc[0]
-    own = frame["term"].isna()
-    base, rows = frame[own], frame[~own]
-    numbers = np.sort(base["number"].to_numpy())
-    codes, names = pd.factorize(rows["term"])
-    p = np.repeat(base.set_index("number")["p"].loc[numbers].to_numpy(np.int64)[:, None], len(names), axis=1)
-    p[np.searchsorted(numbers, rows["number"].to_numpy()), codes] = rows["p"].to_numpy(np.int64)
-    left, right = np.flatnonzero(numbers // TILE_SOURCES == ta), np.flatnonzero(numbers // TILE_SOURCES == tb)
-    out = []
-    for i in left:
-        total = np.abs(p[right] - p[i]).sum(1)
-        out += [(lang, numbers[i], numbers[j], t, len(names)) for j, t in zip(right, total, strict=True) if ta != tb or j > i]
-    return pd.DataFrame(out, columns=["lang", "a", "b", "part_sum", "part_terms"])
-
-
-def pair_sums(groups: DataFrame, grid: DataFrame) -> DataFrame:
+
+    def run(frame):
+        import numpy as np
+        import pandas as pd
+
+        lang, ta, tb = frame["lang"].iloc[0], frame["ta"].iloc[0], frame["tb"].iloc[0]
+        own = frame["term"].isna()
+        base, rows = frame[own], frame[~own]
+        numbers = np.sort(base["number"].to_numpy())
+        codes, names = pd.factorize(rows["term"])
+        p = np.repeat(base.set_index("number")["p"].loc[numbers].to_numpy(np.int64)[:, None], len(names), axis=1)
+        p[np.searchsorted(numbers, rows["number"].to_numpy()), codes] = rows["p"].to_numpy(np.int64)
+        left, right = np.flatnonzero(numbers // side == ta), np.flatnonzero(numbers // side == tb)
+        out = []
+        for i in left:
+            total = np.abs(p[right] - p[i]).sum(1)
+            out += [(lang, numbers[i], numbers[j], t, len(names)) for j, t in zip(right, total, strict=True) if ta != tb or j > i]
+        return pd.DataFrame(out, columns=["lang", "a", "b", "part_sum", "part_terms"])
+
+    return run
+
+
+def pair_sums(groups: DataFrame, grid: DataFrame, settings: Settings) -> DataFrame:
     """`lang, a, b, value` for pairs of source numbers a < b of a language: the sum of
     |p - q| over all its kept terms. `groups`: `lang, number, v, p0` (p of a term that the
     source lacks), `grid`: `lang, number, term, v, p` of terms that it has. Sources and
     terms meet in tiles, so a task holds a bounded matrix however many there are."""
-    tile = F.floor(F.col("number") / TILE_SOURCES)
-    blocks = F.ceil(F.col("v") / TILE_TERMS)
-    tiles = groups.groupBy("lang").agg((F.floor(F.max("number") / TILE_SOURCES) + 1).alias("tiles"))
+    side = settings.tile_sources
+    tile = F.floor(F.col("number") / side)
+    blocks = F.ceil(F.col("v") / settings.tile_terms)
+    tiles = groups.groupBy("lang").agg((F.floor(F.max("number") / side) + 1).alias("tiles"))
     # A source's rows go to every pair of tiles that has its own tile.
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other")
     columns = ["lang", "number", "term", "p", "block"]
@@ -342,7 +325,7 @@ def pair_sums(groups: DataFrame, grid: DataFrame) -> DataFrame:
     dealt = has.unionByName(lacks).join(tiles, "lang").select(*columns, other, tile.alias("own"))
     dealt = dealt.select(*columns, F.least("own", "other").alias("ta"), F.greatest("own", "other").alias("tb"))
     sums = dealt.groupBy("lang", "ta", "tb", "block").applyInPandas(
-        _tile_sums, "lang string, a long, b long, part_sum long, part_terms long"
+        _tile_sums(side), "lang string, a long, b long, part_sum long, part_terms long"
     )
     sums = sums.groupBy("lang", "a", "b").agg(F.sum("part_sum").alias("s"), F.sum("part_terms").alias("t"))
     sides = [groups.select("lang", F.col("number").alias(x), F.col("p0").alias(f"p0_{x}"), F.col("v").alias(f"v_{x}")) for x in "ab"]
@@ -366,7 +349,7 @@ def audit(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     named = scratch.put(clean.select("lang", "source").distinct(), "sources")
     ids = source_ids(named.select("source").distinct())
     named = named.withColumn("source_id", ids)
-    counts = scratch.put(kept_terms(clean.withColumn("source_id", ids), settings.least_documents), "counts")
+    counts = scratch.put(kept_terms(clean.withColumn("source_id", ids), settings), "counts")
     kept = scratch.put(counts.groupBy("lang", "term").agg(F.sum("n").alias("all_n")), "kept")
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("all_n").alias("lang_total"))
     totals = counts.groupBy("lang", "source_id").agg(F.sum("n").alias("total"))
@@ -386,7 +369,7 @@ def audit(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     terms = grid.where("p > q").select("lang", "source", F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     terms = ranked(terms, "term").where(F.col("rank") <= settings.top_terms)
-    sums = pair_sums(groups.select("lang", "number", "v", "p0"), grid.select("lang", "number", "term", "v", "p"))
+    sums = pair_sums(groups.select("lang", "number", "v", "p0"), grid.select("lang", "number", "term", "v", "p"), settings)
     name = groups.select("lang", "number", "source")
     both = sums.unionByName(sums.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value"))
     both = both.join(name.toDF("lang", "a", "source"), ["lang", "a"]).join(name.toDF("lang", "b", "item"), ["lang", "b"])
