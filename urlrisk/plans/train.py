@@ -87,18 +87,20 @@ def train_and_compare(rows: DataFrame, settings: Settings, features=FEATURES) ->
     train = stored(train, "train").persist()
     test = rows.where("is_test")
     results: dict = {}
-    for algorithm in settings.algorithms:
+    plan = {
+        a: m.sample_candidates(settings.grids.get(a, m.GRIDS.get(a)), settings.candidates, settings.seed) for a in settings.algorithms
+    }
+    found = m.search_all(train, plan, settings, features)
+    prepared = m.preparation(train, features)
+    for algorithm, candidates in plan.items():
         try:
-            grid = settings.grids.get(algorithm, m.GRIDS.get(algorithm))
-            candidates = m.sample_candidates(grid, settings.candidates, settings.seed)
-            scores = m.cross_validate(
-                train, algorithm, candidates, settings.folds, settings.seed,
-                settings.parallelism, features,
-            )
-            table = m.cv_results(rows.sparkSession, candidates, scores)
+            if "error" in found[algorithm]:
+                raise ValueError(found[algorithm]["error"])
+            scores = found[algorithm]["scores"]
+            table = m.cv_results(rows.sparkSession, candidates, scores, found[algorithm].get("seconds"))
             means = [sum(s) / len(s) for s in scores]
             best = max(range(len(candidates)), key=lambda i: means[i])
-            model = m.pipeline(algorithm, candidates[best], settings.seed, features).fit(train)
+            model = m.fit_best(train, algorithm, candidates[best], found, prepared, settings.seed, features)
             results[algorithm] = {
                 "model": model,
                 "params": candidates[best],
