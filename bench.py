@@ -1,6 +1,8 @@
-"""Headline queries, timed: one JSON line.
+"""Headline queries, timed. The line of figures is printed anew after every query, so
+that the last line holds all of them, or all that ended if a run is stopped.
 
-Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default all).
+Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default all),
+BENCH_SHARED_DIR (warehouse and intermediate tables; default spark-warehouse).
 Every query is written in full to the no-op sink, so nothing is pruned away by
 counting.
 """
@@ -10,7 +12,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -22,7 +23,7 @@ from urlrisk.plans import registered as r  # noqa: E402
 HEADLINE = (
     "feat_weighted", "url_parts", "class_profile", "merged_dataset", "dedup_first", "undersample",
     "oversample", "stratified_split", "stratified_folds", "equal_per_class", "classification_report",
-    "dictionary_flags", "batch_summary", "prediction_log", "smote_balance", "train_compare", "score_urls",
+    "dictionary_flags", "batch_summary", "prediction_log", "smote_balance", "score_urls", "train_compare",
 )
 
 
@@ -41,27 +42,27 @@ def main() -> None:
         # Feature work is heavy per byte: do not merge small partitions into one task.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="urlrisk-bench-"))
+        .config("spark.sql.warehouse.dir", os.path.abspath(os.environ.get("BENCH_SHARED_DIR", "spark-warehouse")))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     names = sys.argv[1:] or HEADLINE
-    spark.read.parquet(f"{sf_dir}/events.parquet").count()  # start the executors
+    urls = spark.read.parquet(f"{sf_dir}/events.parquet").count()  # starts the executors as well
+    settled = r.settled_corpus(spark, sf_dir).count() if "train_compare" in names else None
     seconds = {}
     for name in names:
         started = time.time()
         r.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - started, 3)
-    urls = spark.read.parquet(f"{sf_dir}/events.parquet").count()
-    result = {
-        "metric": "total_time", "value": round(sum(seconds.values()), 3), "unit": "sec",
-        "queries": seconds, "sf": sf_dir.rsplit("/sf", 1)[-1], "urls": urls,
-    }
-    if "feat_weighted" in seconds:
-        result["feature_urls_per_sec"] = round(urls / seconds["feat_weighted"])
-    if "train_compare" in seconds:
-        result["train_urls_per_sec"] = round(urls / seconds["train_compare"])
-    print(json.dumps(result))
+        result = {
+            "metric": "total_time", "value": round(sum(seconds.values()), 3), "unit": "sec",
+            "queries": seconds, "sf": sf_dir.rsplit("/sf", 1)[-1], "urls": urls,
+        }
+        if "feat_weighted" in seconds:
+            result["feature_urls_per_sec"] = round(urls / seconds["feat_weighted"])
+        if "train_compare" in seconds:  # what is trained on: one row per settled URL
+            result |= {"settled_urls": settled, "train_urls_per_sec": round(settled / seconds["train_compare"], 1)}
+        print(json.dumps(result), flush=True)
     spark.stop()
 
 

@@ -1,6 +1,8 @@
 """Registered queries against their SQL on the smallest tables (the quick ones;
 oracle_check.py runs all of them at any scale)."""
 
+from collections import Counter
+
 import pytest
 
 import __spark_entry__ as entry
@@ -47,16 +49,16 @@ def test_feature_plan_has_no_shuffle_and_prunes_columns(spark, small):
     assert "ReadSchema: struct<url:string>" in plan
 
 
-def test_registered_search_is_the_full_one(spark, small, monkeypatch):
-    asked = []
-
-    def search(rows, settings):
-        asked.append(settings)
-        tables = {a: spark.createDataFrame([("p", 0.5)], "params string, mean_test_score double") for a in settings.algorithms}
-        return {"results": {a: {"cv_score": 0.5, "cv_results": t, "metrics": {"f1": 0.5, "accuracy": 0.5}} for a, t in tables.items()}}
-
-    monkeypatch.setattr(registered.tr, "train_and_compare", search)
-    for name in ("train_compare", "cv_candidates"):
-        got = registered.QUERIES[name](spark, small)
-        assert {r.algorithm for r in got.collect()} == set(ALGORITHMS)
-    assert asked == [Settings(), Settings()]
+def test_registered_search_is_the_full_one_and_ends(spark, small):
+    """All four algorithms, 20 candidates (9 is a decision tree's whole grid), 5 folds."""
+    compared = {r.algorithm: r for r in registered.QUERIES["train_compare"](spark, small).collect()}
+    assert set(compared) == set(ALGORITHMS) and all(0 < r.cv_score <= 1 and 0 < r.test_f1 <= 1 for r in compared.values())
+    table = registered.QUERIES["cv_candidates"](spark, small).collect()
+    assert Counter(r.algorithm for r in table) == {"decision_tree": 9, "random_forest": 20, "xgboost": 20, "svm": 20}
+    for r in table:
+        scores = [r[f"split{i}_test_score"] for i in range(Settings().folds)]
+        assert abs(sum(scores) / 5 - r.mean_test_score) < 1e-12 and r.mean_fit_time > 0
+        assert r.param_maxDepth is not None or r.algorithm == "svm"
+    for name, r in compared.items():
+        best = [t for t in table if t.algorithm == name and t.rank_test_score == 1]
+        assert best and best[0].mean_test_score == r.cv_score

@@ -19,6 +19,7 @@ from ..functions import wordlists as wl
 from ..functions.labels import CLASS_VALUES, normalize_label
 from ..functions.urlparts import add_url_parts, query_fields
 from ..operators import curation as cu
+from ..operators import logistic_search
 from ..operators import metrics as me
 from ..operators import models as mo
 from ..operators import sampling as sa
@@ -518,14 +519,18 @@ def split_sizes(spark, sf_dir):
     )
 
 
-@query(
-    f"WITH {_SETTLED}, c AS (SELECT label, count(*) AS n, sum(count(*)) OVER (ORDER BY label) - count(*) AS o FROM settled GROUP BY label), "
+#: From `settled` to `folded` (url, label, fold).
+_FOLDS = (
+    "c AS (SELECT label, count(*) AS n, sum(count(*)) OVER (ORDER BY label) - count(*) AS o FROM settled GROUP BY label), "
     "s AS (SELECT label, i, CAST(floor((o + n - 1 - i)::DOUBLE / 5) - floor((o - 1 - i)::DOUBLE / 5) AS BIGINT) AS size "
     "FROM c, range(5) AS g(i)), "
     "e AS (SELECT label, i, sum(size) OVER (PARTITION BY label ORDER BY i) AS hi, sum(size) OVER (PARTITION BY label ORDER BY i) - size AS lo FROM s), "
-    f"r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_KEY}) AS rn FROM settled)\n"
-    "SELECT r.url, r.label, e.i::INTEGER AS fold FROM r JOIN e ON r.label = e.label AND rn > lo AND rn <= hi"
+    f"r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_KEY}) AS rn FROM settled), "
+    "folded AS (SELECT r.url, r.label, e.i::INTEGER AS fold FROM r JOIN e ON r.label = e.label AND rn > lo AND rn <= hi)"
 )
+
+
+@query(f"WITH {_SETTLED}, {_FOLDS}\nSELECT * FROM folded")
 def stratified_folds(spark, sf_dir):
     return sa.stratified_folds(stored(settled_corpus(spark, sf_dir), "settled"), SEED)
 
@@ -666,31 +671,57 @@ def _feature_rows(spark, sf_dir) -> DataFrame:
     return stored(add_features(settled_corpus(spark, sf_dir)).drop("is_valid_url"), "features")
 
 
-def _search(spark, sf_dir) -> dict:
-    """The full search: default Settings, so every algorithm, all candidates and folds."""
-    settings = Settings()
-    rows, _, _ = tr.prepare(_feature_rows(spark, sf_dir), settings)
-    outcome = tr.train_and_compare(stored(rows, "rows"), settings)
-    failed = {a: r["error"] for a, r in outcome["results"].items() if "error" in r}
-    if failed:  # a table without them would look like the whole comparison
-        raise ValueError(f"Algorithms failed to train: {failed}")
-    return outcome
+#: Comparison and cross-validation tables of the searches this session has run.
+_SEARCHES: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+
+
+def _search(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The full search: default Settings, so every algorithm, all candidates and folds.
+    Both of its tables are stored, so that one search serves both queries of a session."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _SEARCHES:
+        settings = Settings()
+        rows, _, _ = tr.prepare(_feature_rows(spark, sf_dir), settings)
+        found = tr.train_and_compare(stored(rows, "rows"), settings)["results"]
+        failed = {a: r["error"] for a, r in found.items() if "error" in r}
+        if failed:  # a table without them would look like the whole comparison
+            raise ValueError(f"Algorithms failed to train: {failed}")
+        tables = [r["cv_results"].select(F.lit(name).alias("algorithm"), "*") for name, r in found.items()]
+        candidates = functools.reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), tables)
+        _SEARCHES[key] = stored(tr.comparison_table(spark, found), "compared"), stored(candidates, "candidates")
+    return _SEARCHES[key]
 
 
 @query()
 def train_compare(spark, sf_dir):
     """Tune, fit and compare all algorithms; comparison table."""
-    return tr.comparison_table(spark, _search(spark, sf_dir)["results"])
+    return _search(spark, sf_dir)[0]
 
 
 @query()
 def cv_candidates(spark, sf_dir):
-    """Cross-validation tables of all algorithms: split scores, mean, std, rank."""
-    tables = [
-        r["cv_results"].select(F.lit(name).alias("algorithm"), "*")
-        for name, r in _search(spark, sf_dir)["results"].items()
-    ]
-    return functools.reduce(lambda x, y: x.unionByName(y), tables)
+    """Cross-validation tables of all algorithms: split scores, mean, std, rank, times."""
+    return _search(spark, sf_dir)[1]
+
+
+@query(
+    f"WITH {fs.with_features(_NUM)},\n"
+    f"lab AS (SELECT url, {_normal('label')} AS label FROM feats),\n"
+    "settled AS (SELECT url, min(label) AS label FROM lab GROUP BY url HAVING min(label) = max(label)),\n"
+    f"one AS (SELECT DISTINCT url, {', '.join(_NUM)} FROM feats),\n{_FOLDS},\n"
+    f"x AS (SELECT folded.fold AS own, {', '.join(_NUM)} FROM folded JOIN one USING (url)),\n"
+    f"long AS (UNPIVOT x ON {', '.join(_NUM)} INTO NAME feature VALUE v)\n"
+    "SELECT i::INTEGER AS fold, feature, count(*) AS n, round(avg(v), 6) AS mean, "
+    "CASE WHEN max(v) = min(v) THEN 0.0 ELSE round(stddev_samp(v), 6) END AS std FROM long, range(5) AS g(i) WHERE own <> i GROUP BY i, feature"
+)
+def fold_scaling(spark, sf_dir):
+    """What the scaler of each fold's fits holds: moments of all other folds, merged."""
+    rows = add_features(settled_corpus(spark, sf_dir), apply_weights=False)
+    folded = stored(sa.stratified_folds(stored(rows, "featured"), SEED), "folded")
+    scales = logistic_search.training_scales(logistic_search.fold_moments(folded, _NUM))
+    found = [(int(k), name, int(n), round(float(mu), 6), round(1 / float(f), 6) if f else 0.0)
+             for k, (n, mean, factor) in scales.items() for name, mu, f in zip(_NUM, mean, factor)]
+    return spark.createDataFrame(found, "fold int, feature string, n long, mean double, std double")
 
 
 def _quick_model(spark, sf_dir):
@@ -715,13 +746,6 @@ def score_urls(spark, sf_dir):
                          "suggested_desc", "model_id")
 
 
-@query()
-def score_summary(spark, sf_dir):
-    model, classes = _quick_model(spark, sf_dir)
-    scored = sc.score(url_corpus(spark, sf_dir), model, classes)
-    return sc.batch_summary(scored, by=["k"])
-
-
 # ---------------------------------------------------------------- scoring
 
 # A scored table whose class and confidence come from features, so SQL can follow.
@@ -767,17 +791,28 @@ def advice_text(spark, sf_dir):
     )
 
 
-@query(
+_SUMMARY = (
     f"WITH {_SCORED}\nSELECT k, count(*) AS total, count(*) FILTER (WHERE status = 'success') AS successful, "
     "count(*) FILTER (WHERE status <> 'success') AS failed, "
     "round(count(*) FILTER (WHERE status = 'success')::DOUBLE / count(*) * 100, 2) AS success_rate, "
     "CASE WHEN count(*) FILTER (WHERE status <> 'success') = 0 THEN 'success' "
     "WHEN count(*) FILTER (WHERE status = 'success') > 0 THEN 'partial_success' ELSE 'failed' END AS status FROM sc GROUP BY k"
 )
+
+
+@query(_SUMMARY)
 def batch_summary(spark, sf_dir):
     return sc.batch_summary(scored_corpus(spark, sf_dir), by=["k"])
 
 
+@query(_SUMMARY)
+def score_summary(spark, sf_dir):
+    """Counts of a scored corpus; they do not depend on the model."""
+    model, classes = _quick_model(spark, sf_dir)
+    scored = sc.score(url_corpus(spark, sf_dir), model, classes)
+    return sc.batch_summary(scored, by=["k"])
+
+
 @query(f"WITH {_SCORED}, c AS (SELECT class, count(*) AS n FROM sc WHERE status = 'success' GROUP BY class)\n"
        "SELECT class, n, round(n::DOUBLE / sum(n) OVER () * 100, 1) AS percent FROM c")
 def class_distribution(spark, sf_dir):
