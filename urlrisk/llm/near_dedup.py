@@ -5,18 +5,24 @@
    least hash of each of 512 ranges, one byte each). Documents with equal sets are one
    class from here on; its smallest id stands for it.
 2. Each tree sorts the classes by path. Classes that share the first `min_depth` values
-   form a region, and every two classes of a region are candidates; pairs whose set sizes
-   or briefs lie too far apart to reach the threshold are left out in place.
-3. Candidate pairs are confirmed on the full shingle sets, made anew from the texts: first
-   a spanning forest of each region, then all pairs that this left in two components. For
-   the forest only, a region of more than `crowd` classes is opened one level deeper, and
-   so on, and walked in sorted order in overlapping windows where it is still crowded at
-   full depth. The pairs between components are tried in the whole region of `min_depth`,
-   a crowded one in blocks that each two meet.
-4. Connected components of the confirmed links; the smallest id of each stays.
+   form a region. Pairs of a region are candidates; those whose set sizes or briefs lie too
+   far apart to reach the threshold are left out in place.
+3. First come neighbours with long common prefixes: a region of more than `crowd` classes
+   is opened one level deeper, and so on, and walked in sorted order. What a few trees find
+   is confirmed on the full shingle sets, made anew from the texts, and joined into
+   components; the other trees then look only where components meet. A region hands on a
+   spanning forest of its most similar pairs.
+4. Then all pairs between components of a region are candidates. A pair is handed on by the
+   first tree in which it meets. A region with more than `most_pairs` of them is left to
+   the next forest: longer paths (`next_depths`), and as many more sorted orders as keep
+   the chance to miss a pair at the threshold where it was. The last forest tries whole
+   regions, crowded ones in blocks that each two meet.
+5. Connected components of the confirmed links; the smallest id of each stays.
 
 With 16 trees and depth 3, a pair at similarity 0.8 is missed with probability
-(1 - 0.8^3)^16, about 1e-5, and less above, whatever the size of its regions. A brief samples the union of two sets without
+(1 - 0.8^3)^16, about 1e-5, and less above; with 29 trees of depth 5 and 63 of depth 8 as
+well. A pair that only meets in crowded regions goes through all three, so it is missed
+with at most the sum. A brief samples the union of two sets without
 replacement, so small sets are compared almost exactly and large ones with a standard
 deviation of 0.018; pairs are left out from 4 deviations below the threshold on.
 """
@@ -24,7 +30,7 @@ deviation of 0.018; pairs are left out from 4 deviations below the threshold on.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,10 +59,24 @@ class Forest:
     min_depth: int = 3
     max_depth: int = 8
     crowd: int = 1024
+    most_pairs: int = 4_000_000  #: of one region that are tried before a deeper forest
+    next_depths: tuple[int, ...] = (5, 8)
     bins: int = 512
     deviations: float = 4.0
     seed: int = 7
 
+    def deeper(self) -> Forest | None:
+        """The forest for what this one leaves: each row shares a longer path with fewer
+        others, in so many trees that a pair at the threshold is missed as rarely."""
+        import math
+
+        if not self.next_depths:
+            return None
+        depth = self.next_depths[0]
+        miss = lambda d: math.log1p(-((self.percent / 100) ** d))
+        trees = math.ceil(self.trees * miss(self.min_depth) / miss(depth) - 1e-9)
+        return replace(self, trees=trees, min_depth=depth, max_depth=max(depth, self.max_depth), next_depths=self.next_depths[1:], seed=self.seed + 1)
+
 
 def shingles(text: bytes | None, k: int):
     """Sorted distinct 64-bit hashes of the k-word shingles of a text, A-Z lower-cased; of
@@ -173,9 +193,19 @@ def _regions(shared: DataFrame, forest: Forest, scratch: Scratch) -> DataFrame:
     return out
 
 
-def _meetings(shared: DataFrame, linked: DataFrame, forest: Forest, scratch: Scratch, crowded_only: bool) -> DataFrame:
-    """`part, side, id, group`: parts in which all rows of a region (by `min_depth` values)
-    that are in different components (`group`) meet, whatever the size of the region.
+def _labelled(rows: DataFrame, linked: DataFrame, region: str = "region") -> DataFrame:
+    """`rows` (with id) in regions that hold more than one component, with `group`: a
+    class's component, or itself."""
+    rows = rows.join(linked.select(F.col("node").alias("id"), "component"), "id", "left")
+    rows = rows.withColumn("group", F.coalesce("component", "id")).drop("component")
+    mixed = rows.groupBy(region).agg(F.min("group").alias("_a"), F.max("group").alias("_b")).where("_a <> _b").select(region)
+    return rows.join(mixed, region, "left_semi")
+
+
+def _meetings(shared: DataFrame, linked: DataFrame, forest: Forest, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Parts in which all rows of a region (by `min_depth` values) that are in different
+    components (`group`) meet: `part, side, tree, id, group`, first of crowded regions, then
+    of the others; and the ids of rows in regions that are left to a deeper forest.
 
     A region of up to `crowd` rows is one part. A larger one is cut into blocks of about
     `crowd` rows, and each two blocks are a part (sides 1 and 2), each block with itself
@@ -183,18 +213,20 @@ def _meetings(shared: DataFrame, linked: DataFrame, forest: Forest, scratch: Scr
     need not meet each other. Regions within one component are left out.
     """
     crowded = F.col("rows") > forest.crowd
-    rows = shared.where(crowded) if crowded_only else shared
-    rows = rows.select("region", "rows", "id").join(linked, F.col("id") == F.col("node"), "left")
-    rows = scratch.put(rows.select("region", "rows", "id", F.coalesce("component", "id").alias("group")), "labelled")
-    small = rows.where(~crowded)
-    mixed = small.groupBy("region").agg(F.min("group").alias("_a"), F.max("group").alias("_b")).where("_a <> _b").select("region")
-    small = small.join(mixed, "region", "left_semi")
-    out = small.select(F.col("region").alias("part"), F.lit(0).alias("side"), "id", "group")
+    rows = scratch.put(_labelled(shared.select("region", "rows", "tree", "id"), linked), "labelled")
+    small = rows.where(~crowded).select(F.col("region").alias("part"), F.lit(0).alias("side"), "tree", "id", "group")
     rows = rows.where(crowded).drop("rows")
     if rows.isEmpty():
-        return out
+        return small.limit(0), small, None
     slices = F.ceil(F.col("own") / forest.crowd).alias("slices")
     groups = scratch.put(rows.groupBy("region", "group").agg(F.count("*").alias("own")), "groups")
+    left = None
+    if forest.next_depths:
+        own = F.col("own").cast("double")
+        work = groups.groupBy("region").agg(((F.sum(own) * F.sum(own) - F.sum(own * own)) / 2).alias("pairs"))
+        heavy = scratch.put(work.where(F.col("pairs") > forest.most_pairs).select("region"), "heavy")
+        left = scratch.put(rows.join(heavy, "region", "left_semi").select("id").distinct(), "left")
+        rows, groups = rows.join(heavy, "region", "left_anti"), groups.join(heavy, "region", "left_anti")
     large = scratch.put(groups.where(F.col("own") > forest.crowd).select("region", "group", slices), "large")
     rest = groups.where(F.col("own") <= forest.crowd).groupBy("region").agg(F.sum("own").alias("own"))
     rest = scratch.put(rest.select("region", slices), "rest")
@@ -215,7 +247,7 @@ def _meetings(shared: DataFrame, linked: DataFrame, forest: Forest, scratch: Scr
     own = own.join(rest.withColumnRenamed("slices", "_rest"), "region", "left")
     own = own.withColumn("owner", F.when(F.col("_own").isNotNull(), F.col("group")))
     own = own.withColumn("slice", F.pmod(F.xxhash64("id"), F.coalesce("_own", "_rest")))
-    return out.unionByName(own.select("id", "group", block).join(two, "block").select("part", "side", "id", "group"))
+    return own.select("tree", "id", "group", block).join(two, "block").select("part", "side", "tree", "id", "group"), small, left
 
 
 def _near(x, y, total, forest: Forest):
@@ -296,39 +328,45 @@ def _spanning(n: int, edges):
         label = root[label]
 
 
-def _pairs(batches: Iterator, forest: Forest, across: bool, spanning: bool) -> Iterator:
-    """Candidate pairs from rows (region, id, brief, group, n_shingles, side) sorted by region:
-    all between different groups, or those of a maximum spanning forest.
+def _pairs(batches: Iterator, forest: Forest, whole_regions: bool, spanning: bool) -> Iterator:
+    """Candidate pairs from rows (region, id, brief, group, n_shingles, side, tree, keys)
+    sorted by region: those of a maximum spanning forest of the groups, or all between
+    different groups that do not meet in an earlier tree (`keys`: one number per tree, equal
+    where two rows meet).
 
-    Without `across`, rows are sorted by path as well and each is its own group; a region
-    that is crowded at full depth is then walked in windows, which only finds links early.
+    Without `whole_regions`, rows are sorted by path as well; a region that is crowded at
+    full depth is then walked in windows, which only finds links early.
     """
     import numpy as np
     import pyarrow as pa
 
     kept = None  # rows of the last region, which may go on in the next batch
 
-    def of(region, ids, values, group, sizes, side):
-        edges = _alike(region, values, sizes, group, side, forest, len(ids) if across else forest.crowd)
+    def of(region, ids, values, group, sizes, side, tree, keys):
+        edges = _alike(region, values, sizes, group, side, forest, len(ids) if whole_regions else forest.crowd)
         if spanning:
-            nodes = np.unique(group, return_inverse=True)[1] if across else np.arange(len(ids))
+            nodes = np.unique(group, return_inverse=True)[1]
             edges = edges[:, _spanning(len(ids), (nodes[edges[0]], nodes[edges[1]], edges[2]))]
+        elif edges.shape[1]:
+            first = (keys[edges[0]] == keys[edges[1]]).argmax(1)
+            edges = edges[:, first == tree[edges[0]]]
         if edges.shape[1]:
             a, b = ids[edges[0]], ids[edges[1]]
             yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=("a", "b"))
 
     for whole in batches:
         for batch in slices(whole, 20_000):
-            region, ids, group, sizes, side = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3, 4, 5))
+            region, ids, group, sizes, side, tree = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3, 4, 5, 6))
             values = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
-            rows = (region, ids, values, group, sizes, side)
+            keys = batch.column(7).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            rows = (region, ids, values, group, sizes, side, tree, keys)
             if kept is not None:
                 rows = tuple(np.concatenate(x) for x in zip(kept, rows, strict=True))
             start = int(np.argmax(rows[0] == rows[0][-1]))  # the open region waits
             if start:
                 yield from of(*(x[:start] for x in rows))
                 rows = tuple(x[start:] for x in rows)
-            elif not across and len(rows[0]) > 4 * forest.crowd:  # windows that overlap by `crowd`
+            elif not whole_regions and len(rows[0]) > 4 * forest.crowd:  # windows that overlap by `crowd`
                 yield from of(*rows)
                 rows = tuple(x[-forest.crowd :] for x in rows)
             kept = rows
@@ -372,37 +410,56 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, forest: Forest, scratch: Scrat
 def grouped(docs: DataFrame, classes: DataFrame, more: DataFrame, forest: Forest, scratch: Scratch) -> DataFrame:
     """`node, component` of classes linked with others; `more` are links known already.
 
-    First each region, opened deeper while crowded, yields a spanning forest of its most
-    similar pairs, one pair per class at most. What these connect needs no further look.
-    Then all candidate pairs between different components are tried in the regions of
-    `min_depth`, crowded ones block by block, after one more spanning forest there. So a
-    large group of near copies costs about one pair for each copy, and no candidate is
-    left out.
+    A large group of near copies costs about one pair for each copy: the first trees join
+    nearly all of it, and later ones look only between components.
     """
     shared = _shared(_paths(classes, forest), forest, scratch)
     briefs = classes.select("id", "n_shingles", "brief")
-    columns = ["region", "id", "brief", "group", "n_shingles", "side"]
-
-    def candidates(rows: DataFrame, order: list[str], across: bool, spanning: bool) -> DataFrame:
-        rows = rows.join(briefs, "id").repartition("region").sortWithinPartitions("region", *order).select(*columns)
-        return rows.mapInArrow(lambda it: _pairs(it, forest, across, spanning), "a long, b long").distinct()
+    columns = ["region", "id", "brief", "group", "n_shingles", "side", "tree", "keys"]
+    width = 4 * forest.max_depth
+    meets = F.transform(
+        F.sequence(F.lit(0), F.lit(forest.trees - 1)),
+        lambda t: F.shiftrightunsigned(F.xxhash64(t, F.substring("signature", t * width + 1, F.lit(4 * forest.min_depth))), 33).cast("int"),
+    )
+    keys = classes.select("id", meets.alias("keys"))
+    none = F.array().cast("array<int>").alias("keys")
 
-    def between(crowded_only: bool) -> DataFrame:
-        rows = _meetings(shared, linked, forest, scratch, crowded_only).withColumnRenamed("part", "region")
-        return candidates(rows, ["id"], True, crowded_only).join(tried, ["a", "b"], "left_anti")
+    def candidates(rows: DataFrame, order: list[str], whole_regions: bool, spanning: bool) -> DataFrame:
+        rows = rows.join(briefs, "id")
+        rows = rows.withColumn("keys", none) if spanning else rows.join(keys, "id")
+        rows = rows.repartition("region").sortWithinPartitions("region", *order).select(*columns)
+        return rows.mapInArrow(lambda it: _pairs(it, forest, whole_regions, spanning), "a long, b long").distinct()
 
+    linked = scratch.put(components(more, scratch), "linked")
+    tried = more.limit(0)
     region = F.xxhash64("tree", "depth", F.expr("substring(path, 1, 4 * depth)")).alias("region")
-    deep = _regions(shared, forest, scratch).select(region, "path", "id", F.col("id").alias("group"), F.lit(0).alias("side"))
-    tried = scratch.put(candidates(deep, ["path", "id"], False, True), "first")
-    linked = scratch.put(components(_confirmed(docs, tried, forest, scratch).unionByName(more), scratch), "linked")
-    if not shared.where(F.col("rows") > forest.crowd).isEmpty():
-        joining = scratch.put(between(True), "joining")
+    deep = _regions(shared, forest, scratch).select(region, "path", "tree", "id", F.lit(0).alias("side"))
+    early = F.col("tree") < max(1, forest.trees // 8)
+    for trees in (early, ~early):
+        near = scratch.put(candidates(_labelled(deep.where(trees), linked), ["path", "id"], False, True).join(tried, ["a", "b"], "left_anti"), "near")
+        linked = scratch.put(merged(linked, _confirmed(docs, near, forest, scratch), scratch), "linked")
+        tried = tried.unionByName(near)
+    crowded, small, left = _meetings(shared, linked, forest, scratch)
+    joining = scratch.put(
+        candidates(crowded.withColumnRenamed("part", "region"), ["id"], True, True).join(tried, ["a", "b"], "left_anti"), "joining"
+    )
+    if not joining.isEmpty():
         linked = scratch.put(merged(linked, _confirmed(docs, joining, forest, scratch), scratch), "linked")
         tried = tried.unionByName(joining)
-    second = scratch.put(between(False), "second")
-    out = merged(linked, _confirmed(docs, second, forest, scratch), scratch)
+        crowded, small, left = _meetings(shared, linked, forest, scratch)
+    rest = crowded.unionByName(small).withColumnRenamed("part", "region")
+    second = scratch.put(candidates(rest, ["id"], True, False).join(tried, ["a", "b"], "left_anti"), "second")
+    linked = scratch.put(merged(linked, _confirmed(docs, second, forest, scratch), scratch), "linked")
     scratch.drop(shared, second)
-    return out
+    if left is None or left.isEmpty():
+        return linked
+    # What crowded regions leave goes through a deeper forest, signed anew from its texts.
+    below = forest.deeper()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(left.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    signed = texts.mapInArrow(lambda it: _sketch(it, below), SKETCH_SCHEMA).select(F.col("doc_id").alias("id"), "fingerprint", "signature")
+    own = classes.select("id", "fingerprint", "n_shingles", "brief").join(left, "id", "left_semi")
+    signed = scratch.put(own.join(signed.dropDuplicates(["id", "fingerprint"]), ["id", "fingerprint"]), "signed")
+    return grouped(docs, signed, linked.select(F.col("node").alias("a"), F.col("component").alias("b")), below, scratch)
 
 
 def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
