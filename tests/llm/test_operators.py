@@ -152,7 +152,7 @@ def test_near_duplicates_equal_brute_force(spark, crowd):
             words = list(words)
             words[int(rng.integers(60))] = f"n{len(docs)}"
     docs += [(500, "a b"), (501, "A  b"), (502, "a b c"), (503, None), (504, ""), (505, " ")]
-    forest = near_dedup.Forest(words=4, crowd=crowd, trees=24)
+    forest = near_dedup.Forest(words=4, crowd=crowd)
     got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").withColumn("id", F.lit(0)), forest).collect()
     want = brute_near(docs, 4)
     assert {r.doc_id: r.component_id for r in got} == want
@@ -178,6 +178,55 @@ def test_crowded_regions_equal_brute_force_with_the_shipped_forest(spark, words)
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+@pytest.mark.parametrize("most_pairs", [40, 0])
+def test_deeper_forests_take_what_crowded_regions_leave(spark, most_pairs):
+    docs = crowded_pairs(pairs=60, seed=8)
+    forest = near_dedup.Forest(words=4, crowd=8, most_pairs=most_pairs)
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), forest).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_near(docs, 4)
+
+
+def test_deeper_forests_miss_a_pair_as_rarely():
+    forest, seen = near_dedup.Forest(), []
+    while forest:
+        seen.append((forest.min_depth, forest.trees, (1 - 0.8**forest.min_depth) ** forest.trees))
+        forest = forest.deeper()
+    assert [x[:2] for x in seen] == [(3, 16), (5, 29), (8, 63)] and all(x[2] < 1.2e-5 for x in seen)
+
+
+def test_a_large_group_of_near_copies_with_the_shipped_forest(spark):
+    """3,000 different copies of one text with one or two words changed, and 3,000 texts
+    that share a passage with it; links by exact counts of common shingles."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(6_000):
+        words = list(base) if i % 2 else base[:80] + [f"o{i}x{j}" for j in range(40)]
+        for at in rng.integers(0, 120, int(rng.integers(1, 3))):
+            words[at] = f"n{i}x{at}"
+        docs.append((i, " ".join(words)))
+    shared, cells = {}, []
+    for i, text in docs:
+        w = text.split()
+        cells.append({shared.setdefault(tuple(w[j : j + 4]), len(shared)) for j in range(117)})
+    common = [x for x, n in collections.Counter(x for c in cells for x in c).items() if n > 1]
+    place = {x: k for k, x in enumerate(common)}
+    has = np.zeros((len(docs), len(common)), np.float32)
+    for i, c in enumerate(cells):
+        has[i, [place[x] for x in c if x in place]] = 1
+    size = np.array([len(c) for c in cells], np.float32)
+    least = np.arange(len(docs))
+    links = [np.flatnonzero(100 * (both := has[i] @ has.T) >= 80 * (size[i] + size - both)) for i in range(len(docs))]
+    while True:
+        low = np.array([least[x].min() if len(x) else least[i] for i, x in enumerate(links)])
+        if (low == least).all():
+            break
+        least = low
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), near_dedup.Forest(words=4)).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(least.tolist()))
+    assert len(set(least.tolist())) > 3_000 and collections.Counter(least.tolist()).most_common(1)[0][1] > 2_900
+
+
 def brief_pairs(n, union, common):
     """Briefs of n pairs of random sets with `union` members, `common` of them in both."""
     rng, forest, one, two = np.random.default_rng(union), near_dedup.Forest(), [], []
