@@ -37,12 +37,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     shingles, similarity 0.8 or more). Rows that share an id are one document, of which
     the least row stays; rows without an id all stay."""
     judged = near_dedup.near_duplicates(docs, near_dedup.Forest(words=5, percent=80))
-    gone = judged.where(~F.col("kept")).select("doc_id").distinct()
-    rows = docs.select(*COLUMNS)
-    rest = [c for c in COLUMNS if c != "doc_id"]
-    named = rows.where("doc_id is not null").join(gone, "doc_id", "left_anti")
-    one = named.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_r")).select("doc_id", "_r.*").select(*COLUMNS)
-    return one.unionByName(rows.where("doc_id is null"))
+    decided = judged.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("kept"))
+    decided = Scratch(spark, "near-duplicates").put(decided.where("kept"), "kept")  # ids only
+    rows, rest = docs.select(*COLUMNS), [c for c in COLUMNS if c != "doc_id"]
+    single = rows.join(decided.where("n = 1"), "doc_id", "left_semi")
+    repeated = rows.join(decided.where("n > 1"), "doc_id", "left_semi")  # only these texts are compared
+    one = repeated.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_r")).select("doc_id", "_r.*").select(*COLUMNS)
+    return single.unionByName(one).unionByName(rows.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
