@@ -1,3 +1,4 @@
+import dataclasses
 import math
 import random
 
@@ -206,3 +207,23 @@ def test_dictionary_tables_equal_inline_lists(spark, small):
     joined = add_features(corpus, dictionaries=d).select(names)
     inline = add_features(corpus).select(names)
     assert joined.exceptAll(inline).isEmpty() and inline.exceptAll(joined).isEmpty()
+
+
+def test_all_six_dictionaries_as_tables_equal_inline_lists(spark, small):
+    """Lists above any inline size, with words of the default lists among them."""
+    from urlrisk.plans.corpus import url_corpus
+
+    corpus = url_corpus(spark, small).select("row_id", "url").unionByName(
+        spark.createDataFrame([(-1, None), (-2, ""), (-3, "http://h.tk:8081/?Download=1&x=2"), (-4, "http://a.tk:81"), (-5, "http://h/?" + "q" * 5_000)],
+                              "row_id long, url string")
+    )
+    filler = spark.range(150_000).select(F.concat(F.lit("zq"), F.hex("id"), F.lit("jx")).alias("value"))
+    defaults = Dictionaries()
+    as_table = lambda words: filler.unionByName(spark.createDataFrame([(w.upper(),) for w in (*words, words[0], "")], "value string"))
+    d = Dictionaries(**{f.name: as_table(getattr(defaults, f.name)) for f in dataclasses.fields(Dictionaries)})
+    names = ["row_id", "url", "free_hosting_domain_flag", "shortening_service_flag", "brand_keyword_flag", "tld_suspicious_flag",
+             "non_standard_port_flag", "auto_download_param_flag", "url_length"]
+    joined, inline = add_features(corpus, dictionaries=d).select(names), add_features(corpus).select(names)
+    assert joined.columns == inline.columns
+    assert joined.exceptAll(inline).isEmpty() and inline.exceptAll(joined).isEmpty()
+    assert inline.agg(*[F.sum(n) for n in names[2:8]]).first()[4] > 0

@@ -129,6 +129,10 @@ def test_dictionaries(spark, tmp_path):
     assert d.brand_keyword == ("apple", "banana") and d.suspicious_tld == ("icu", "tk")
     assert d.sorted_url == ("bit.ly", "t.co") and len(d.auto_download_params) == 4
     assert load_dictionaries(spark, str(tmp_path / "none")).brand_keyword == BRAND_KEYWORDS
+    large = tmp_path / "large"
+    large.mkdir()
+    put(large, "suspicious_tld.csv", "id,value\n" + "".join(f"{i},*.t{i}\n" for i in range(5_000)))
+    assert load_dictionaries(spark, str(large)).suspicious_tld.count() == 5_000
 
 
 def test_sinks_and_registry(spark, tmp_path):

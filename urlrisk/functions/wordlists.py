@@ -49,12 +49,12 @@ def homograph_class() -> str:
 
 @dataclass(frozen=True)
 class Dictionaries:
-    """The six dictionaries. A tuple is matched inline; ``free_hosting`` may be a
-    DataFrame with a ``value`` column when the list is large."""
+    """The six dictionaries. A tuple is matched inline; any list may be a DataFrame with a
+    ``value`` column when it is large."""
 
-    brand_keyword: tuple[str, ...] = BRAND_KEYWORDS
-    suspicious_tld: tuple[str, ...] = SUSPICIOUS_TLDS
+    brand_keyword: tuple[str, ...] | DataFrame = BRAND_KEYWORDS
+    suspicious_tld: tuple[str, ...] | DataFrame = SUSPICIOUS_TLDS
     free_hosting: tuple[str, ...] | DataFrame = FREE_HOSTS
-    non_standard_port: tuple[str, ...] = NON_STANDARD_PORTS
+    non_standard_port: tuple[str, ...] | DataFrame = NON_STANDARD_PORTS
     sorted_url: tuple[str, ...] | DataFrame = URL_SHORTENERS
-    auto_download_params: tuple[str, ...] = AUTO_DOWNLOAD_PARAMS
+    auto_download_params: tuple[str, ...] | DataFrame = AUTO_DOWNLOAD_PARAMS

@@ -25,7 +25,7 @@ from ..functions.wordlists import (
     Dictionaries,
     homograph_class,
 )
-from .dictionary_join import add_substring_flag
+from .dictionary_join import LISTS, add_list_masks
 
 P = "_u_"  # prefix of working columns
 
@@ -144,37 +144,41 @@ def _domain_level(d: Dictionaries) -> dict[str, Column]:
         "domain_entropy": _w("host_entropy"),
         "ip_address_flag": flag(is_ip),
         "multiple_subdomain_flag": flag(subdomains > 1),
-        "brand_keyword_flag": flag(contains_any(lower, d.brand_keyword)),
+        "brand_keyword_flag": _listed(d, "brand_keyword", lambda words: contains_any(lower, words)),
         "port_in_url_flag": flag(F.contains(host, F.lit(":")) & ~is_ip),
         "https_in_domain": flag(F.contains(lower, F.lit("https"))),
-        "tld_suspicious_flag": flag(
-            F.lower(F.substring_index(host, ".", -1)).isin(*d.suspicious_tld)
+        "tld_suspicious_flag": _listed(
+            d, "suspicious_tld", lambda words: F.lower(F.substring_index(host, ".", -1)).isin(*words)
         ),
-        "shortening_service_flag": _dictionary_flag(lower, d.sorted_url, "shortener_hit"),
+        "shortening_service_flag": _listed(d, "sorted_url", lambda words: contains_any(lower, words)),
         "double_slash_redirecting": flag(F.contains(_w("path"), F.lit("//"))),
         "punycode_domain_flag": flag(F.contains(host, F.lit("xn--"))),
         "unicode_domain_flag": flag(~ts.is_ascii(host)),
         "homograph_suspicious_flag": flag(~ts.is_ascii(host) & host.rlike(homograph_class())),
         "excessive_subdomain_depth": F.greatest(F.lit(0), subdomains - 4),
         "random_string_domain_flag": flag((F.length(label) >= 8) & (h > 3.5)),
-        "free_hosting_domain_flag": _dictionary_flag(lower, d.free_hosting, "free_host_hit"),
+        "free_hosting_domain_flag": _listed(d, "free_hosting", lambda words: contains_any(lower, words)),
         "dga_domain_flag": flag(
             (F.length(label) >= 10)
             & (h > 3.8)
             & (label_letters > vowels)
             & ((vowel_share < 0.2) | (vowel_share > 0.6))
         ),
-        "non_standard_port_flag": flag(
-            F.contains(host, F.lit(":"))
-            & F.substring_index(host, ":", -1).isin(*d.non_standard_port)
+        "non_standard_port_flag": _listed(
+            d, "non_standard_port", lambda words: F.contains(host, F.lit(":")) & F.substring_index(host, ":", -1).isin(*words)
         ),
         "high_domain_entropy": flag(ts.settled(_w("host_entropy")) > 3.8),
     }
 
 
-def _dictionary_flag(text: Column, words, hit: str) -> Column:
-    """Inline match for a tuple; the joined hit column for a table."""
-    return flag(_w(hit)) if isinstance(words, DataFrame) else flag(contains_any(text, words))
+def _listed(d: Dictionaries, name: str, inline) -> Column:
+    """Inline match for a list of words; the bit of the joined mask for a table."""
+    words = getattr(d, name)
+    if not isinstance(words, DataFrame):
+        return flag(inline(words))
+    kind, bit = LISTS[name]
+    mask = _w("query_mask" if kind == "query" else "host_mask")
+    return flag(mask.bitwiseAND(F.lit(1 << bit)) != 0)
 
 
 def _path_level(d: Dictionaries) -> dict[str, Column]:
@@ -217,7 +221,7 @@ def _query_level(d: Dictionaries) -> dict[str, Column]:
         "encoded_url_flag": flag(F.contains(query, F.lit("%"))),
         "redirect_parameter_flag": flag(contains_any(lower, REDIRECT_PARAMS)),
         "script_in_url_flag": flag(F.contains(full, F.lit("script"))),
-        "auto_download_param_flag": flag(contains_any(lower, d.auto_download_params)),
+        "auto_download_param_flag": _listed(d, "auto_download_params", lambda words: contains_any(lower, words)),
         "base64_in_url_flag": flag(full.rlike(r"[\p{Alnum}+/]{20}")),
     }
 
@@ -280,6 +284,12 @@ _LEVELS = (
 )
 
 
+_LIST_FLAGS = {
+    "free_hosting": "free_hosting_domain_flag", "sorted_url": "shortening_service_flag", "brand_keyword": "brand_keyword_flag",
+    "suspicious_tld": "tld_suspicious_flag", "non_standard_port": "non_standard_port_flag", "auto_download_params": "auto_download_param_flag",
+}
+
+
 def add_features(
     df: DataFrame,
     url: str = "url",
@@ -302,14 +312,9 @@ def add_features(
     d = dictionaries or Dictionaries()
     names = catalog.feature_names(groups, disabled)
     carried = df.columns
-    work = _working_columns(df, url)
-    tables = (
-        ("free_hosting_domain_flag", d.free_hosting, "free_host_hit"),
-        ("shortening_service_flag", d.sorted_url, "shortener_hit"),
-    )
-    for name, words, hit in tables:
-        if isinstance(words, DataFrame) and name in names:
-            work = add_substring_flag(work, P + "lower_host", words, P + hit, P + "url")
+    # Large lists are matched first, while rows are narrow.
+    large = {n: getattr(d, n) for n, feature in _LIST_FLAGS.items() if feature in names and isinstance(getattr(d, n), DataFrame)}
+    work = _working_columns(add_list_masks(df, url, large, P) if large else df, url)
 
     exprs: dict[str, Column] = {}
     for level, of_groups in _LEVELS:

@@ -241,6 +241,31 @@ def dictionary_flags(spark, sf_dir):
     return df.select("row_id", "free_hosting_domain_flag")
 
 
+@query(
+    f"WITH {fs.CORPUS},\n{fs.PARTS},\nwords AS (SELECT DISTINCT {_HOST} AS w FROM pages WHERE {_HOST} <> ''),\n"
+    "tlds AS (SELECT DISTINCT 'top' || (page_id % 3)::VARCHAR AS w FROM pages UNION SELECT 'com' UNION SELECT DISTINCT split_part(url, '.', -1) FROM pages), "
+    "ports AS (SELECT DISTINCT (page_id * 2)::VARCHAR AS w FROM pages UNION SELECT '4444'), "
+    "kinds AS (SELECT DISTINCT event_type AS w FROM events)\n"
+    "SELECT row_id, (CASE WHEN valid AND EXISTS (SELECT 1 FROM words WHERE contains(lower(host), w)) THEN 1.0 ELSE 0.0 END)::DOUBLE AS brand_keyword_flag, "
+    "(CASE WHEN valid AND lower(split_part(host, '.', -1)) IN (SELECT lower(w) FROM tlds) THEN 1.0 ELSE 0.0 END)::DOUBLE AS tld_suspicious_flag, "
+    "(CASE WHEN valid AND contains(host, ':') AND split_part(host, ':', -1) IN (SELECT w FROM ports) THEN 1.0 ELSE 0.0 END)::DOUBLE AS non_standard_port_flag, "
+    "(CASE WHEN valid AND EXISTS (SELECT 1 FROM kinds WHERE contains(lower(query), w)) THEN 1.0 ELSE 0.0 END)::DOUBLE AS auto_download_param_flag FROM parts"
+)
+def dictionary_lists(spark, sf_dir):
+    """The flags of four dictionaries that are tables, matched in one join."""
+    pages = table(spark, sf_dir, "pages")
+    one = lambda w: spark.createDataFrame([(w,)], "value string")
+    d = wl.Dictionaries(
+        brand_keyword=pages.select(F.regexp_extract("url", r"^[a-z]+://([^/?#.]*)", 1).alias("value")).where("value <> ''"),
+        suspicious_tld=pages.select(F.concat(F.lit("top"), (F.col("page_id") % 3).cast("string")).alias("value")).unionByName(one("com"))
+        .unionByName(pages.select(F.substring_index("url", ".", -1).alias("value"))),
+        non_standard_port=pages.select((F.col("page_id") * 2).cast("string").alias("value")).unionByName(one("4444")),
+        auto_download_params=table(spark, sf_dir, "events").select(F.col("event_type").alias("value")),
+    )
+    df = add_features(url_corpus(spark, sf_dir), dictionaries=d, apply_weights=False)
+    return df.select("row_id", "brand_keyword_flag", "tld_suspicious_flag", "non_standard_port_flag", "auto_download_param_flag")
+
+
 # ---------------------------------------------------------------- curation
 
 _VALUES = ", ".join(f"('{v}', '{c}')" for c, vs in CLASS_VALUES.items() for v in vs)

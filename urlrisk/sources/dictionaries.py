@@ -38,7 +38,7 @@ def dictionary_values(df: DataFrame, strip_wildcard: bool = False) -> DataFrame:
 
 def load_dictionaries(spark: SparkSession, root: str) -> Dictionaries:
     """Dictionaries from `<root>/<name>.csv`; a missing or unreadable file leaves the
-    default list. The two host lists stay tables when they are large."""
+    default list. A list of any size is taken: a large one stays a table."""
     chosen = {}
     for field in dataclasses.fields(Dictionaries):
         path = f"{root.rstrip('/')}/{field.name}.csv"
@@ -50,12 +50,7 @@ def load_dictionaries(spark: SparkSession, root: str) -> Dictionaries:
             continue
         values = dictionary_values(df, strip_wildcard=field.name == "suspicious_tld")
         rows = values.limit(INLINE_LIMIT + 1).collect()
-        if len(rows) <= INLINE_LIMIT:
-            chosen[field.name] = tuple(sorted(r["value"] for r in rows))
-        elif field.name in ("free_hosting", "sorted_url"):
-            chosen[field.name] = values
-        else:
-            raise ValueError(f"{path}: more than {INLINE_LIMIT} values")
+        chosen[field.name] = tuple(sorted(r["value"] for r in rows)) if len(rows) <= INLINE_LIMIT else values
     return Dictionaries(**chosen)
 
 
