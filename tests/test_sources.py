@@ -161,6 +161,21 @@ def test_sinks_and_registry(spark, tmp_path):
     assert log == {"u": (0.9, 0.2), "v": (0.8, 0.0)}
 
 
+def test_registrations_at_the_same_time_get_different_versions(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    row = {"service_conf_id": 1, "name": "a/b model", "algorithm": "svm"}
+    with ThreadPoolExecutor(6) as pool:
+        got = list(pool.map(lambda i: rg.Registry(spark, str(tmp_path)).register({**row, "run_id": f"r{i}"}), range(12)))
+    assert sorted(got) == list(range(1, 13))
+    models = rg.Registry(spark, str(tmp_path)).models().collect()
+    assert {r.run_id: r.version for r in models} == {f"r{i}": v for i, v in enumerate(got)}
+    assert rg.Registry(spark, str(tmp_path)).register({**row, "name": "other", "run_id": "x"}) == 1
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: rg.Registry(spark, str(tmp_path)).log_metrics(f"r{i}", {"k": i}), range(8)))
+    assert rg.Registry(spark, str(tmp_path)).metrics().count() == 8
+
+
 def test_stored_uses_the_shared_folder(spark):
     from urlrisk.sources.paths import shared_dir, stored
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -30,6 +31,19 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().toString() for s in fs.listStatus(p) if s.isDirectory())
 
 
+def create_new(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; False if it is there already. One of several callers at the
+    same time succeeds."""
+    fs, p = _fs(spark, path)
+    try:
+        fs.create(p, False).close()
+        return True
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName() or fs.exists(p):
+            return False
+        raise
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables, as the cluster names it; where it names none,
     a folder in the warehouse, which driver and executors share as well."""

@@ -1,10 +1,21 @@
-"""Model registry, prediction log and run metrics as append-only tables."""
+"""Model registry, prediction log and run metrics as append-only tables.
+
+A model's version is claimed before its row is written: the claim is a file named after
+the number, which the file system creates for one caller only. Whoever comes second takes
+the next number. A caller that ends between claim and row leaves a number unused. Every
+commit has a folder of its own, so writers at the same time do not meet.
+"""
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .paths import create_new, exists, list_files
+
 MODEL_SCHEMA = (
     "service_conf_id long, run_id string, name string, algorithm string, model_uri string, "
     "accuracy double, recall double, precision double, f1 double, config_json string, "
@@ -21,12 +32,23 @@ class Registry:
         self.root = root.rstrip("/")
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        from .paths import exists
-
         path = f"{self.root}/{name}"
         if not exists(self.spark, path):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+        return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+
+    def _append(self, df: DataFrame, name: str) -> None:
+        df.write.parquet(f"{self.root}/{name}/{uuid.uuid4().hex}")
+
+    def _claim(self, name: str) -> int:
+        """A version number of `name` that no other caller gets."""
+        folder = f"{self.root}/model_versions/{quote(name, safe='')}"
+        taken = [int(f.rsplit("/", 1)[-1]) for f in list_files(self.spark, folder) if f.rsplit("/", 1)[-1].isdigit()]
+        last = self.models().where(F.col("name") == name).agg(F.max("version")).first()[0]
+        version = max([last or 0, *taken]) + 1
+        while not create_new(self.spark, f"{folder}/{version}"):
+            version += 1
+        return version
 
     def models(self) -> DataFrame:
         return self._read("model_registry", MODEL_SCHEMA)
@@ -36,15 +58,12 @@ class Registry:
 
     def register(self, row: dict, alias: str = "champion", stage: str = "Production") -> int:
         """Append a model version under its name; the version is returned."""
-        last = self.models().where(F.col("name") == row["name"]).agg(F.max("version")).first()[0]
-        version = (last or 0) + 1
+        version = self._claim(row["name"])
         columns = [f.strip().split(" ")[0] for f in MODEL_SCHEMA.split(",")]
         full = {**{c: None for c in columns}, **row, "version": version, "alias": alias, "stage": stage}
         schema = MODEL_SCHEMA.rsplit(",", 1)[0]
         df = self.spark.createDataFrame([tuple(full[c] for c in columns[:-1])], schema)
-        df.withColumn("updated_at", F.current_timestamp()).write.mode("append").parquet(
-            f"{self.root}/model_registry"
-        )
+        self._append(df.withColumn("updated_at", F.current_timestamp()), "model_registry")
         return version
 
     def by_service(self, service_conf_id: int) -> DataFrame:
@@ -57,9 +76,8 @@ class Registry:
         if not values:
             return
         rows = [(run_id, k, str(v)) for k, v in values.items()]
-        self.spark.createDataFrame(rows, "run_id string, key string, value string").withColumn(
-            "ts", F.current_timestamp()
-        ).write.mode("append").parquet(f"{self.root}/run_metrics")
+        df = self.spark.createDataFrame(rows, "run_id string, key string, value string")
+        self._append(df.withColumn("ts", F.current_timestamp()), "run_metrics")
 
     def log_predictions(self, scored: DataFrame) -> None:
         prediction_log(scored, self.models()).write.mode("append").parquet(f"{self.root}/prediction")
