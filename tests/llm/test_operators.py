@@ -52,6 +52,15 @@ def test_url_filter_rules_within_a_segment(spark):
     assert url_filter.judge(pages.limit(0), rules).count() == 0
 
 
+def test_url_filter_of_very_long_urls(spark):
+    """A URL of a megabyte: many labels, many segments, and rules that fit it deep down."""
+    labels, segments = "a." * 20_000, "s/" * 480_000
+    rules = url_filter.rules_table(spark, [("net", "/", "block"), ("a.net", "/s/s/s/", "allow"), ("net", "/" + "s/" * 300 + "s", "block"), ("a.net", "/x/", "allow")])
+    pages = spark.createDataFrame([(1, f"http://{labels}net/{segments}"), (2, "http://b.net/" + segments), (3, f"http://{labels}org/")], "page_id long, url string")
+    got = {r.page_id: (len(r.rule or ""), r.verdict) for r in url_filter.judge(pages, rules).select("page_id", "rule", "verdict").collect()}
+    assert got == {1: (3 + 1 + 601, "block"), 2: (605, "block"), 3: (0, "allow")}
+
+
 @pytest.mark.parametrize("least", [0, 3])
 def test_warc_round_trip_with_separators_in_payloads(spark, least):
     tricky = "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n\r\n"

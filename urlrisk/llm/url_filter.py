@@ -1,7 +1,8 @@
 """URL filter: rules on a host (with its subdomains) and a path prefix.
 
 Each distinct (host, path) is expanded into expressions, one per host suffix and
-path prefix that ends at a slash. Expressions meet the rules in an equi-join on the
+path prefix that ends at a slash, of the numbers of labels and slashes that rules have.
+Expressions meet the rules in an equi-join on the
 first 32 bits of their SHA-256; the full digest and the rule's whole path confirm a
 hit, and the longest rule wins. Only hits go back to the pages.
 
@@ -38,19 +39,21 @@ def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataF
     return spark.createDataFrame(rules, RULE_SCHEMA)
 
 
-def _expressions(host: Column, path: Column) -> Column:
-    """Array of host suffix + path prefix, both cut at label and segment ends."""
-    labels, segments = F.split(host, r"\."), F.split(path, "/")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
-    # The empty prefix stands for rules whose path has no slash.
-    prefixes = F.transform(
-        F.sequence(F.lit(0), F.size(segments) - 1),
-        lambda i: F.concat(F.array_join(F.slice(segments, F.lit(1), i), "/"), F.when(i > 0, "/").otherwise("")),
-    )
-    return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
+def _count(text: Column, mark: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+
+def _expanded(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """`urls` (host, path) with an expression `_e` for each shape that a rule has: the
+    host's last labels and the path up to a slash, as many as the rule has. Each is as long
+    as the URL at most, so the work grows with its length, not with the square."""
+    shape = F.struct((_count(F.col("rule_host"), ".") + 1).alias("labels"), _count(F.col("_anchor"), "/").alias("slashes"))
+    shapes = rules.agg(F.collect_set(shape))  # one row: the distinct shapes of the rules
+    rows = urls.select("host", "path", F.explode(shapes.scalar()).alias("_s")).select("host", "path", "_s.*")
+    rows = rows.where((_count(F.col("host"), ".") + 1 >= F.col("labels")) & (_count(F.col("path"), "/") >= F.col("slashes")))
+    up_to = lambda text, mark, n: F.call_function("substring_index", text, F.lit(mark), n)
+    prefix = F.when(F.col("slashes") > 0, F.concat(up_to(F.col("path"), "/", F.col("slashes")), F.lit("/"))).otherwise("")
+    return rows.select("host", "path", F.concat(up_to(F.col("host"), ".", -F.col("labels")), prefix).alias("_e"))
 
 
 def _keyed(df: DataFrame, expression: Column) -> DataFrame:
@@ -67,9 +70,9 @@ def decisions(urls: DataFrame, rules: DataFrame) -> DataFrame:
         F.coalesce("rule_path", F.lit("")).alias("rule_path"), "verdict",
     ).distinct()
     anchor = F.regexp_extract("rule_path", r"(?s)^(.*/)?", 0)  # up to the last slash
-    keyed_rules = _keyed(rules, F.concat("rule_host", anchor))
-    expanded = urls.select("host", "path").distinct().withColumn("_e", F.explode(_expressions(F.col("host"), F.col("path"))))
-    keyed_urls = _keyed(expanded, F.col("_e")).drop("_e")
+    rules = rules.withColumn("_anchor", anchor)
+    keyed_rules = _keyed(rules, F.concat("rule_host", "_anchor")).drop("_anchor")
+    keyed_urls = _keyed(_expanded(urls.select("host", "path").distinct(), rules), F.col("_e")).drop("_e")
     hits = keyed_urls.join(keyed_rules, ["_key"]).where(
         (keyed_urls["_digest"] == keyed_rules["_digest"]) & F.col("path").startswith(F.col("rule_path"))
     )
@@ -86,7 +89,8 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
 
     A null URL, or one without `://`, has an empty host and path and meets only rules
     for an empty host. Repeated rows are judged alike and all stay. An empty table gives
-    an empty table. Input columns named like an added one are replaced. Rules without a
+    an empty table. A very long URL costs its length times the number of shapes of the
+    rules. Input columns named like an added one are replaced. Rules without a
     host or a verdict are ignored, a null rule path counts as empty.
     """
     host, path = split_url(F.col(url))
