@@ -44,12 +44,12 @@ def check_algorithms(names) -> None:
     unknown = [n for n in names if n not in ALGORITHMS]
     if unknown:
         raise ValueError(
-            f"Invalid algorithm(s): {', '.join(unknown)}; available: {', '.join(ALGORITHMS)}"
+            f"there is no algorithm {', '.join(map(repr, unknown))}, only {', '.join(ALGORITHMS)}"
         )
 
 
 def check_balance_method(name: str | None) -> None:
     if name is not None and name not in BALANCE_METHODS:
         raise ValueError(
-            f"Invalid balance method: {name}; valid options: {', '.join(BALANCE_METHODS)}"
+            f"classes cannot be balanced by {name!r}, only by {', '.join(BALANCE_METHODS)}"
         )

@@ -11,7 +11,7 @@ from ..functions.advice import advice
 from ..functions.catalog import FEATURES
 from .features import add_features
 
-EMPTY_URL = "No URL provided for prediction"
+EMPTY_URL = "The URL is empty"
 BAD_URL = "Malformed authority in URL"
 
 

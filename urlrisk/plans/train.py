@@ -114,7 +114,7 @@ def train_and_compare(rows: DataFrame, settings: Settings, features=FEATURES) ->
     train.unpersist()
     good = {a: r for a, r in results.items() if "error" not in r}
     if not good:
-        raise ValueError(f"All algorithms failed to train: { {a: r['error'] for a, r in results.items()} }")
+        raise ValueError(f"no algorithm could be trained: { {a: r['error'] for a, r in results.items()} }")
     champion = max(good, key=lambda a: good[a]["metrics"]["f1"])
     return {"results": results, "classes": classes, "champion": champion}
 

@@ -68,7 +68,7 @@ def migrate(
     have = lambda names: [F.col(f"`{c}`").cast("string") for c in names if c in df.columns]
     values, descriptions = have(value_columns), have(description_columns)
     if not values:
-        raise ValueError(f"No value column found. Expected one of: {list(value_columns)}")
+        raise ValueError(f"the table has none of the value columns {list(value_columns)}")
     block = F.col(block) if isinstance(block, str) else block
     position = F.col(position) if isinstance(position, str) else position
     rows = df.select(
@@ -99,7 +99,7 @@ def migrate_store(spark: SparkSession, store: str, out: str, mapping=None) -> Da
     for name, columns in (mapping or STORE_COLUMNS).items():
         path = f"{store.rstrip('/')}/{name}.csv"
         if not exists(spark, path):
-            log.warning("CSV file not found for dictionary %s: %s", name, path)
+            log.warning("dictionary %s: there is no %s", name, path)
             continue
         header = spark.read.text(path).where("NOT startswith(value, '#')").first()
         sep = "\t" if header and "\t" in header["value"] else ","
@@ -107,7 +107,7 @@ def migrate_store(spark: SparkSession, store: str, out: str, mapping=None) -> Da
         df = df.select("*", F.col("_metadata.file_block_start").alias("src_block"),
                        F.monotonically_increasing_id().alias("src_row"))
         if not any(c in df.columns for c in columns["value"]):
-            log.warning("No valid value columns found for dictionary %s", name)
+            log.warning("dictionary %s: its file has none of the value columns", name)
             report.append((name, "skipped", 0))
             continue
         target = f"{out.rstrip('/')}/{name}.csv"

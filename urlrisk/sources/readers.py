@@ -65,7 +65,7 @@ def expand(spark: SparkSession, root: str, names) -> list[str]:
         if exists(spark, path):
             paths.append(path)
         else:
-            log.warning("Dataset file not found: %s", path)
+            log.warning("%s does not exist and is left out", path)
     return paths
 
 

@@ -82,8 +82,8 @@ def handle_predictions(jobs: DataFrame, batch: int, root: str, out: str, models:
     spark = jobs.sparkSession
     jobs = jobs.withColumn("model_id", F.coalesce("model_id", F.lit(default_model)))
     empty = F.col("urls").isNotNull() & (F.size("urls") == 0)
-    problem = F.coalesce(F.col("bad"), F.when(empty, "No URLs provided for batch prediction"),
-                         F.when(F.col("model_id").isNull(), "No model loaded"))
+    problem = F.coalesce(F.col("bad"), F.when(empty, "The job has an empty list of URLs"),
+                         F.when(F.col("model_id").isNull(), "The job names no model and there is no default"))
     jobs = jobs.withColumn("problem", problem).persist()
     parts, results = [], [_failed(jobs.where("problem IS NOT NULL"), "prediction", F.col("problem"))]
     good = jobs.where("problem IS NULL")
@@ -135,7 +135,7 @@ def handle_training(jobs: DataFrame, batch: int, root: str, out: str, data: str,
 def _train_one(spark, job, out, data, settings) -> dict:
     try:
         if not job["dataset_files"]:
-            raise ValueError("No dataset files provided")
+            raise ValueError("the job names no dataset file")
         chosen = Settings(**{
             **settings.__dict__,
             "algorithms": tuple(job["algorithms"] or settings.algorithms),
