@@ -406,11 +406,61 @@ def test_line_rules_remove_lines_then_documents(spark):
     assert got[4].base_failed and got[4].n_repeat_words == 120
     assert got[5].n_dup_lines == 1 and got[5].kept
     assert not got[6].kept and not got[6].base_failed and got[6].n_symbols == 240
+    rules = line_rules.LineRules()
+    fails = lambda line: line_rules.line_fails(line.encode(), line.encode().split(), rules)
+    assert all(map(fails, ["-----", "= = = = =", "wow!! so!! loud!!", "what?? why?? ok", "| --- | --- |", "~~~ *** ~~~", "a - b - c"]))
+    clean = ["- buy milk", "* two words", "• one", "});", "He said: \"no...\" (twice).", "wait... what?", "x = f(a, b) + g(c)", "Ça va? Oui!", "-", "5%"]
+    assert not any(map(fails, clean))
     many = line_rules.clean_lines(odd(spark)).collect()
     assert len(many) == 10 and {r.kept for r in many if r.doc_id in (1, 2, 3)} == {False}
     assert line_rules.clean_lines(odd(spark).limit(0)).count() == 0
 
 
+def test_line_rules_equal_sql_on_marks(spark, tmp_path):
+    import duckdb
+
+    pieces = ["-----", "= = = = =", "wow!! so!! loud!!", "- buy milk", "* two words", "});", "a [[ b ]] c^^", "x\\\\ y'' z\"\"", "•  été !!", "a - b - c", "», «"]
+    words = " ".join(f"word{i}" for i in range(60))
+    docs = [doc(i, words + "\n" + "\n".join(pieces[: i + 1] * (1 + 7 * (i % 2)))) for i in range(len(pieces))]
+    docs += [doc(100 + i, words + "\n" + (x + "\n") * 60) for i, x in enumerate(pieces)]
+    spark.createDataFrame(docs, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op10_line_rules"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.SQL["op10_line_rules"]).fetchall()
+    columns = [d[0] for d in con.description]
+    assert sorted(tuple(r) for r in got.select(*columns).collect()) == sorted(want)
+    assert 0 < sum(r[columns.index("kept")] for r in want) < len(want)
+
+
+def test_rows_are_dealt_evenly_whatever_their_partitions(spark):
+    from urlrisk.llm.texts import dealt
+
+    rows = spark.range(64 * 400, numPartitions=64).select(dealt(16).alias("g"))
+    sizes = [r["count"] for r in rows.groupBy("g").count().collect()]
+    assert len(sizes) == 16 and min(sizes) > 1400 and max(sizes) < 1800
+
+
+def test_samples_stay_bounded_when_an_id_repeats(spark):
+    made = scratch.Scratch(spark, "bound-test")
+    rows = made.put(spark.range(20_000).selectExpr("7L AS doc_id", "id AS x"), "rows")
+    some = toxicity.bounded_rows(rows, 1000, 5, made)
+    assert 800 < some.count() < 1200
+    assert sorted(r.x for r in some.collect()) == sorted(r.x for r in toxicity.bounded_rows(rows, 1000, 5, made).collect())
+    assert toxicity.bounded_rows(rows, 10_000, 5, made) is rows
+
+
+def test_language_vectors_do_not_depend_on_the_texts_beside_them(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 9000))), "", "abc abd " * 50, "été à la plage", None]
+    encoder = language.Encoder(language.Space())
+    together = encoder.encode(texts)
+    alone = np.concatenate([encoder.encode([t]) for t in texts])
+    assert np.allclose(together, alone, rtol=1e-5, atol=1e-2) and not together[[1, 4]].any() and together[0].any()
+
+
 def test_folds(spark):
     from urlrisk.llm.texts import fold
 

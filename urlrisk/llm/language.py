@@ -90,8 +90,8 @@ class Encoder:
             return np.zeros((len(texts), self.space.dimensions), np.float32)
         grams, at = np.unique(every, return_inverse=True)
         row = np.repeat(np.arange(len(texts)), [len(c) for c in codes])
-        counts = np.bincount(row * len(grams) + at, minlength=len(texts) * len(grams))
-        counts = counts.reshape(len(texts), -1).astype(np.float32)
+        order = np.argsort(at)
+        row, at = row[order], at[order]
         parts = [grams >> 42, (grams >> 21) & 0x1FFFFF, grams & 0x1FFFFF]
         letters = np.unique(np.concatenate(parts))
         rows = self._places(letters)
@@ -100,7 +100,9 @@ class Encoder:
         for a in range(0, len(grams), 4096):  # bounds memory where there are many trigrams
             s = slice(a, a + 4096)
             bound = self.tables[2][first[s]] * self.tables[1][second[s]] * self.tables[0][third[s]]
-            out += counts[:, s] @ bound.astype(np.float32)
+            lo, hi = np.searchsorted(at, (a, a + 4096))
+            counts = np.bincount(row[lo:hi] * len(bound) + at[lo:hi] - a, minlength=len(texts) * len(bound))
+            out += counts.reshape(len(texts), -1).astype(np.float32) @ bound.astype(np.float32)
         return out
 
 

@@ -1,16 +1,18 @@
 """Line-first cleaning: rules judge single lines, then documents that lost too much go.
 
 A line fails as navigation (separators between most of its words, or a menu phrase
-alone), as boilerplate (a known phrase in a short line), or on punctuation (most of its
-words carry runs of symbols). Failed lines are removed. A document is rejected if it
-fails the base rules (too short, or mostly repeated word triples) or if the lines that
-went held more than half of its word characters.
+alone), as boilerplate (a known phrase in a short line), or on punctuation (nearly all its
+characters are marks, or most of its words end in a run of marks). A bullet at the start
+of a line is no separator. Failed lines are removed. A document is rejected if it fails
+the base rules (too short, or mostly repeated word triples) or if the lines that went
+held more than half of its word characters.
 
 One narrow pass over whole texts; memory is that of one text at a time.
 """
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -23,6 +25,8 @@ OUT_SCHEMA = (
 )
 
 SYMBOLS = b"#*$%&|<>"
+MARKS = string.punctuation.encode()
+BULLETS = {b"-", b"*", "•".encode(), "·".encode(), "–".encode()}
 SEPARATORS = {b"|", b">", b"<", b"&", b"*", b"#", b"-", "»".encode(), "·".encode(), "•".encode()}
 MENU = {b"home", b"next", b"previous", b"login", b"log in", b"sign in", b"sign up", b"menu", b"search", b"share", b"read more",
         b"back to top", b"skip to content"}
@@ -36,6 +40,8 @@ class LineRules:
 
     separator_share: float = 0.3
     symbol_share: float = 0.5
+    mark_share: float = 0.75
+    mark_chars: int = 5  #: shorter lines, such as closing brackets, are not judged by marks
     boilerplate_words: int = 25
     max_lost: float = 0.5
     min_words: int = 50
@@ -45,7 +51,8 @@ class LineRules:
 def line_fails(line: bytes, words: list[bytes], rules: LineRules) -> bool:
     """Whether a line with words breaks a rule."""
     n = len(words)
-    separators = sum(w in SEPARATORS for w in words)
+    bullet = n > 1 and words[0] in BULLETS
+    separators = sum(w in SEPARATORS for w in words) - (bullet and words[0] in SEPARATORS)
     if n >= 3 and separators >= rules.separator_share * n:
         return True
     lower = b" ".join(words).lower()
@@ -53,9 +60,15 @@ def line_fails(line: bytes, words: list[bytes], rules: LineRules) -> bool:
         return True
     if n <= rules.boilerplate_words and any(x in lower for x in BOILERPLATE):
         return True
-    # Words that hold two or more symbols in a row at their end, or symbols alone.
-    marked = sum(len(w) > 1 and w[-1] in SYMBOLS and w[-2] in SYMBOLS for w in words)
-    return n >= 3 and marked > rules.symbol_share * n
+    # Words that end in two symbols, or in the same mark twice.
+    marked = sum(len(w) > 1 and (w[-1] == w[-2] and w[-1] in MARKS or w[-1] in SYMBOLS and w[-2] in SYMBOLS) for w in words)
+    if n >= 3 and marked > rules.symbol_share * n:
+        return True
+    marks = len(line) - len(line.translate(None, MARKS))
+    if marks <= rules.mark_share * rules.mark_chars:
+        return False
+    chars = _chars(words)
+    return chars >= rules.mark_chars and marks > rules.mark_share * chars
 
 
 def _chars(words: list[bytes]) -> int:

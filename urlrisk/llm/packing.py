@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from urlrisk.llm.scratch import Scratch
-from urlrisk.llm.texts import slices, utf8, without
+from urlrisk.llm.texts import dealt, slices, utf8, without
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -228,8 +228,8 @@ def pack(rows: DataFrame, capacity: int = 2048, group_rows: int = GROUP_ROWS) ->
     table = scratch.put(without(rows, "sequence_id", "offset", "_group"), "pieces")
     groups = max(1, -(-table.count() // group_rows))
     schema = T.StructType([*table.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    dealt = table.withColumn("_group", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))
-    return dealt.groupBy("_group").applyInArrow(lambda t: _pack_group(t, capacity), schema)
+    grouped = table.withColumn("_group", dealt(groups))
+    return grouped.groupBy("_group").applyInArrow(lambda t: _pack_group(t, capacity), schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -177,7 +177,10 @@ def _op10_sql() -> str:
     rules = line_rules.LineRules()
     menu = ", ".join("'" + x.decode() + "'" for x in sorted(line_rules.MENU))
     phrases = " OR ".join(f"contains(low, '{x.decode()}')" for x in line_rules.BOILERPLATE)
-    marks = ", ".join("'" + x.decode() + "'" for x in sorted(line_rules.SEPARATORS))
+    between = ", ".join("'" + x.decode() + "'" for x in sorted(line_rules.SEPARATORS))
+    bullets = ", ".join("'" + x.decode() + "'" for x in sorted(line_rules.BULLETS & line_rules.SEPARATORS))
+    marks = line_rules.MARKS.decode().replace("'", "''")
+    twice = "|".join("[" + ("\\" + x if x in "^]\\-[" else x) + "]{2}" for x in line_rules.MARKS.decode()).replace("'", "''")
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS i, doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 cut AS (SELECT i, string_split(text, chr(10)) AS parts FROM docs),
@@ -185,13 +188,15 @@ lines AS (SELECT i, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS k
 split AS (SELECT i, k, line, {_WORDS.format("line")} AS w FROM lines),
 texts AS (
   SELECT i, k, line, len(w) AS n, length(array_to_string(w, '')) AS chars, {_ASCII_LOWER.format("array_to_string(w, ' ')")} AS low,
-         len(list_filter(w, lambda x: list_contains([{marks}], x))) AS separators,
-         len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>][#*$%&|<>]$'))) AS marked
+         len(list_filter(w, lambda x: list_contains([{between}], x))) - (len(w) > 1 AND w[1] IN ({bullets}))::BIGINT AS separators,
+         len(list_filter(w, lambda x: regexp_matches(x, '([#*$%&|<>][#*$%&|<>]|{twice})$'))) AS marked,
+         length(line) - length(translate(line, '{marks}', '')) AS marks
   FROM split WHERE len(w) > 0),
 judged AS (
   SELECT i, chars, row_number() OVER (PARTITION BY i, line ORDER BY k) > 1 AS again,
          (n >= 3 AND separators >= {rules.separator_share} * n) OR trim(low, '.:!>|') IN ({menu})
-         OR (n <= {rules.boilerplate_words} AND ({phrases})) OR (n >= 3 AND marked > {rules.symbol_share} * n) AS fails
+         OR (n <= {rules.boilerplate_words} AND ({phrases})) OR (n >= 3 AND marked > {rules.symbol_share} * n)
+         OR (chars >= {rules.mark_chars} AND marks > {rules.mark_share} * chars) AS fails
   FROM texts),
 by_lines AS (
   SELECT i, count(*) FILTER (again) AS n_dup_lines, coalesce(sum(chars) FILTER (fails), 0) AS lost FROM judged GROUP BY i),

@@ -20,6 +20,12 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def dealt(groups: int) -> Column:
+    """A number from 0 to groups - 1 for each row of a stored table. A hash of the row's
+    place, so groups are even whatever the partitions' sizes."""
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))
+
+
 def utf8(column) -> list:
     """An Arrow string column as a list of UTF-8 bytes (None stays None)."""
     import pyarrow as pa

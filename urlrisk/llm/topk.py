@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from urlrisk.llm.scratch import Scratch
+from urlrisk.llm.texts import dealt
 
 OUT_SCHEMA = "query_id long, vec_id long, score long"
 
@@ -147,8 +148,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     n, width = table.agg(F.count("*"), F.max(F.size("v"))).first()
     shards, blocks = max(1, -(-n * (width or 1) // index.shard_values)), max(1, -(-queries.count() // index.query_rows))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = table.withColumn("_s", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")).withColumn("_b", spread(blocks))
-    right = queries.withColumn("_b", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int")).withColumn("_s", spread(shards))
+    left = table.withColumn("_s", dealt(shards).cast("int")).withColumn("_b", spread(blocks))
+    right = queries.withColumn("_b", dealt(blocks).cast("int")).withColumn("_s", spread(shards))
     found = left.groupBy("_s", "_b").cogroup(right.groupBy("_s", "_b")).applyInArrow(
         lambda key, a, b: _search(key, a, b, k, index), OUT_SCHEMA
     )

@@ -102,6 +102,17 @@ def bounded(rows: DataFrame, most: int, seed: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int(most / n * (1 << 30)))
 
 
+def bounded_rows(table: DataFrame, most: int, seed: int, scratch: Scratch) -> DataFrame:
+    """The stored `table` itself, or about `most` of its rows if it has over twice as many:
+    a sample of ids holds more rows where ids repeat."""
+    n = table.count()
+    if n <= 2 * most:
+        return table
+    numbered = table.withColumn("_row", F.monotonically_increasing_id())
+    some = F.pmod(F.xxhash64(F.lit(seed), "_row"), F.lit(1 << 30)) < int(most / n * (1 << 30))
+    return scratch.put(numbered.where(some).drop("_row"), "bounded")
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings = Settings()) -> Model:
     """Fit on the rows of `docs` (`doc_id, text`) where `learn` (a condition on doc_id)
     holds. `labels` (`doc_id, toxic`): several labels of a document count as toxic if one
@@ -120,6 +131,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings
     positives = texts.join(F.broadcast(toxic), "doc_id", "left_semi").select(F.lit(True).alias("positive"), "text")
     unlabelled = bounded(texts, settings.unlabelled, settings.seed + 1).select(F.lit(False).alias("positive"), "text")
     sample = scratch.put(positives.unionByName(unlabelled).mapInArrow(_word_lists, "positive boolean, words array<string>"), "sample")
+    sample = bounded_rows(sample.where("positive"), settings.positives, settings.seed, scratch).unionByName(
+        bounded_rows(sample.where("NOT positive"), settings.unlabelled, settings.seed + 1, scratch)
+    )
     n_p, n_u = sample.agg(F.sum(F.col("positive").cast("long")), F.sum((~F.col("positive")).cast("long"))).first()
     if not n_p or not n_u:
         return Model()
@@ -133,7 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings
     if not vocabulary:
         return Model(bias=float(np.log(prior / (1 - prior))))
     place = F.array(*[F.lit(w) for w in vocabulary])
-    kept = sample.select("positive", F.array_intersect("words", place).alias("words")).toArrow()
+    kept = sample.select("positive", F.array_intersect("words", place).alias("words"))
+    kept = kept.orderBy(F.xxhash64("words"), "words", "positive").toArrow()
     index = {w: i for i, w in enumerate(vocabulary)}
     lists = kept.column("words").to_pylist()
     x = np.zeros((len(lists), len(vocabulary)), np.float32)
