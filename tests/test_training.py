@@ -157,6 +157,28 @@ def test_selection(spark, labelled):
     assert "unicode_domain_flag" not in se.informative(featured, names, k=2)
 
 
+def test_exact_quantile_bins_and_correlations(spark):
+    rng = np.random.default_rng(5)
+    n = 3000
+    x = np.column_stack([rng.normal(size=n) * 1e-9, np.round(rng.normal(size=n), 1), rng.integers(-3, 3, n) * 1e12, np.full(n, 0.1), -rng.random(n)])
+    x[:, 4] += 2 * x[:, 1]
+    names = list("abcde")
+    rows = [(*map(float, r), "yes" if r[1] > 0.2 else "no") for r in x] + [(None, float("nan"), -0.0, None, None, "yes")]
+    df = spark.createDataFrame(rows, ", ".join(f"{f} double" for f in names) + ", label string").repartition(7)
+    cuts = se.exact_cuts(df, names, 10)
+    for f in range(5):
+        values = np.sort([r[f] for r in rows if r[f] is not None and r[f] == r[f]])
+        assert cuts[f] == [values[-(-k * len(values) // 10) - 1] for k in range(1, 10)]
+    mi = {r["feature"]: r["mi"] for r in se.mutual_information(df, names).collect()}
+    assert set(mi) == set(names) and mi["b"] > 0.5 > mi["c"] and mi["d"] < 0.01
+    assert se.mutual_information(df.limit(0), names).count() == 0 and se.correlations(df.limit(0), names).count() == 0
+    r = {(p["feature_a"], p["feature_b"]): p["r"] for p in se.correlations(df.dropna().where("NOT isnan(b)"), names).collect()}
+    want = np.corrcoef(x[:, [0, 1, 2, 4]].T)
+    at = dict(zip("abce", range(4)))
+    assert len(r) == 10 and all(v is None if "d" in k else abs(v - want[at[k[0]], at[k[1]]]) < 1e-9 for k, v in r.items())
+    assert se.uncorrelated(df.dropna().where("NOT isnan(b)"), names) == ["a", "b", "c", "d"]
+
+
 def test_workers(spark, trained, tmp_path):
     out, result = trained
     root = tmp_path / "queue"

@@ -1089,11 +1089,43 @@ def flag_information(spark, sf_dir):
     return se.information(cells).withColumn("mi", F.round("mi", 9) + F.lit(0.0))
 
 
-@query()
+_PLAIN = ", ".join(f"round({f}, 9)::DOUBLE AS {f}" if f in ENTROPIES else f"{f}::DOUBLE AS {f}" for f in catalog.FEATURES)
+
+
+def _plain_features(spark, sf_dir) -> DataFrame:
+    df = add_features(url_corpus(spark, sf_dir), apply_weights=False)
+    return _rounded(df).withColumn("label", normalize_label(F.col("label")))
+
+
+@query(
+    f"WITH {fs.with_features(catalog.FEATURES)}, x AS (SELECT {_normal('label')} AS y, {_PLAIN} FROM feats), "
+    "long AS (UNPIVOT x ON COLUMNS(* EXCLUDE y) INTO NAME feature VALUE v), "
+    "placed AS (SELECT feature, v, row_number() OVER (PARTITION BY feature ORDER BY v) AS i, count(*) OVER (PARTITION BY feature) AS n FROM long), "
+    "cuts AS (SELECT feature, list(v) AS cuts FROM placed, range(1, 10) ks(k) WHERE i = (k * n + 9) // 10 GROUP BY feature), "
+    "c AS (SELECT feature, len(list_filter(cuts, lambda c: c < v)) AS bin, y, count(*)::DOUBLE AS n FROM long JOIN cuts USING (feature) GROUP BY ALL), "
+    "t AS (SELECT *, sum(n) OVER (PARTITION BY feature) AS t, sum(n) OVER (PARTITION BY feature, bin) AS nb, "
+    "sum(n) OVER (PARTITION BY feature, y) AS nl FROM c)\n"
+    "SELECT feature, round(sum(n / t * ln(n * t / (nb * nl))), 9) + 0.0 AS mi FROM t GROUP BY feature"
+)
 def feature_information(spark, sf_dir):
-    """Mutual information of all features, binned by quantiles."""
-    df = add_features(labelled_corpus(spark, sf_dir).select("url", "label")).drop("is_valid_url")
-    return se.mutual_information(stored(df, "features")).withColumn("mi", F.round("mi", 9))
+    """Mutual information of all features, in ten bins by exact quantiles."""
+    mi = se.mutual_information(_plain_features(spark, sf_dir))
+    return mi.withColumn("mi", F.round("mi", 9) + F.lit(0.0))
+
+
+_PAIRS = ", ".join(
+    f"{{'feature_a': '{a}', 'feature_b': '{b}', 'r': CASE WHEN min({a}) < max({a}) AND min({b}) < max({b}) THEN round(corr({a}, {b}), 6) + 0.0 END}}"
+    for i, a in enumerate(catalog.FEATURES) for b in catalog.FEATURES[i + 1 :]
+)
+
+
+@query(
+    f"WITH {fs.with_features(catalog.FEATURES)}, x AS MATERIALIZED (SELECT {_PLAIN} FROM feats), p AS (SELECT unnest([{_PAIRS}]) AS p FROM x)\n"
+    "SELECT p.feature_a AS feature_a, p.feature_b AS feature_b, p.r AS r FROM p"
+)
+def feature_correlation(spark, sf_dir):
+    """Correlation of each two features."""
+    return se.correlations(stored(_plain_features(spark, sf_dir), "features")).withColumn("r", F.round("r", 6) + F.lit(0.0))
 
 
 # ---------------------------------------------------------------- flagship
