@@ -201,6 +201,20 @@ def test_workers(spark, trained, tmp_path):
     (jobs / "2.json").write_text(json.dumps({"job_id": "f", "url": "http://y.com/", "model_id": run}))
     wk.prediction_worker(spark, str(root), out, default_model=run).awaitTermination()
     assert wk.results(spark, str(root)).count() == 7
+    # a repeated batch gives the same rows, also when a model is gone by then
+    lines = spark.read.text(str(jobs / "1.json"))
+    count = lambda: spark.read.parquet(str(root / wk.RESULT_QUEUE / "predictions")).count()
+    rows = count()
+    wk.handle_predictions(wk.parse_jobs(lines), 0, str(root), out, {}, run)
+    assert count() == rows and wk.results(spark, str(root)).count() == 7
+    wk.handle_predictions(wk.parse_jobs(lines), 0, str(root), str(tmp_path / "no-models"), {}, run)
+    done = {r["job_id"]: r for r in wk.results(spark, str(root)).collect()}
+    assert count() == 1 and done["a"]["error"] == f"Failed to load model: {run} (not found)" and done["f"]["status"] == "success"
+    # failed jobs are worked on when they are sent again, a successful one is not
+    again = lines.union(spark.read.text(str(jobs / "2.json"))).union(lines)
+    wk.handle_predictions(wk.parse_jobs(again), 5, str(root), out, {}, run)
+    done = {r["job_id"]: r for r in wk.results(spark, str(root)).collect()}
+    assert len(done) == 7 and count() == rows and done["a"]["status"] == "success" and done["b"]["total"] == 3
     (jobs / "3.json").write_text(json.dumps({"job_id": "g", "url": "http://y.com/"}))
     status = {r["queue"]: r["job_count"] for r in wk.queue_status(spark, str(root)).collect()}
     assert status == {"prediction": 1, "result": 7}
@@ -225,3 +239,9 @@ def test_combined_worker(spark, labelled, trained, tmp_path):
     assert done["t2"]["status"] == done["t3"]["status"] == "failed"
     assert done["p1"]["status"] == "success"
     assert Registry(spark, out).by_service(9).first()["run_id"] == done["t1"]["run_id"]
+    # a batch that is repeated, or a job sent again, trains nothing that has a result
+    lines = wk.parse_jobs(spark.read.text(str(root / wk.TRAINING_QUEUE)))
+    for batch in (0, 1):
+        wk.handle_training(lines, batch, str(root), out, str(data), settings)
+    again = {r["job_id"]: r for r in wk.results(spark, str(root)).collect()}
+    assert len(again) == 4 and again["t1"]["run_id"] == done["t1"]["run_id"] and again["t3"]["status"] == "failed"

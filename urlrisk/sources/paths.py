@@ -31,6 +31,11 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().toString() for s in fs.listStatus(p) if s.isDirectory())
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def create_new(spark: SparkSession, path: str) -> bool:
     """Create an empty file; False if it is there already. One of several callers at the
     same time succeeds."""

@@ -1,21 +1,27 @@
 """Prediction and training workers.
 
 A queue is a folder; a message is one JSON line of a file dropped there. Results
-go to tables, one folder per micro-batch that is overwritten when a batch is
-repeated, so every message takes effect exactly once. The per-URL results are
-rows; the per-job result has the counts.
+go to tables, one folder per micro-batch that is written as a whole and overwritten
+when a batch is repeated. The tables of job results are the ledger: a job that
+succeeded in another batch is not worked on again, one that failed may be sent again,
+and of messages with one job_id in a batch the least text counts. Trainings write their
+result one by one, so a repeated batch trains only what has none. The per-URL results
+are rows; the per-job result has the counts.
 """
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scoring import batch_summary, score
 from ..plans.train import train
 from ..config import Settings
-from ..sources.artifacts import load_model
-from ..sources.paths import exists
+from ..sources.artifacts import load_model, run_ids
+from ..sources.paths import exists, remove, stored
 from ..sources.readers import merged_dataset
 
 # Queue names.
@@ -67,6 +73,14 @@ def job_results(scored: DataFrame) -> DataFrame:
     )
 
 
+def unfinished(jobs: DataFrame, done: DataFrame) -> DataFrame:
+    """One message per job_id (the least text), of jobs that `done` (job_id, status) does
+    not hold as successful. Broken messages without a job_id have one from their text."""
+    one = jobs.groupBy("job_id").agg(F.min(F.struct("value", *[c for c in jobs.columns if c not in ("value", "job_id")])).alias("_m"))
+    good = done.where("status = 'success'").select("job_id").distinct()
+    return one.select("job_id", "_m.*").join(good, "job_id", "left_anti").select(*jobs.columns)
+
+
 def _failed(jobs: DataFrame, kind: str, error) -> DataFrame:
     return jobs.select(
         "job_id", F.lit(kind).alias("job_type"), F.lit("failed").alias("status"), error.alias("error")
@@ -77,38 +91,49 @@ def _write(df: DataFrame, root: str, table: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/{RESULT_QUEUE}/{table}/batch={batch}")
 
 
+def _ledger(spark: SparkSession, root: str, table: str, without_batch: int) -> DataFrame:
+    """Job results of the batches but one."""
+    path = f"{root}/{RESULT_QUEUE}/{table}"
+    if not exists(spark, path):
+        return spark.createDataFrame([], JOB_RESULT)
+    return spark.read.schema(f"{JOB_RESULT}, batch long").parquet(path).where(F.col("batch") != without_batch).drop("batch")
+
+
 def handle_predictions(jobs: DataFrame, batch: int, root: str, out: str, models: dict, default_model) -> None:
     """Score the prediction jobs of one micro-batch; `models` caches by run id."""
     spark = jobs.sparkSession
+    jobs = stored(unfinished(jobs, _ledger(spark, root, "prediction_jobs", batch)), "prediction-jobs")
     jobs = jobs.withColumn("model_id", F.coalesce("model_id", F.lit(default_model)))
     empty = F.col("urls").isNotNull() & (F.size("urls") == 0)
     problem = F.coalesce(F.col("bad"), F.when(empty, "The job has an empty list of URLs"),
                          F.when(F.col("model_id").isNull(), "The job names no model and there is no default"))
-    jobs = jobs.withColumn("problem", problem).persist()
-    parts, results = [], [_failed(jobs.where("problem IS NOT NULL"), "prediction", F.col("problem"))]
+    jobs = jobs.withColumn("problem", problem)
     good = jobs.where("problem IS NULL")
-    for row in good.select("model_id").distinct().collect():  # a handful of models
-        run_id = row["model_id"]
-        mine = good.where(F.col("model_id") == run_id)
+    asked = good.where(F.col("model_id").isin(run_ids(spark, f"{out}/models"))).select("model_id").distinct().collect()  # at most the models that exist
+    parts, broken = [], {}
+    for run_id in sorted(r["model_id"] for r in asked):
         try:
             if run_id not in models:
                 models[run_id] = load_model(spark, f"{out}/models", run_id)
         except Exception as e:
-            text = f"Failed to load model: {run_id} ({type(e).__name__})"
-            results.append(_failed(mine, "prediction", F.lit(text)))
+            broken[run_id] = type(e).__name__
             continue
-        model, classes, features = models[run_id]
-        parts.append(score(job_urls(mine), model, classes, features, run_id))
+        parts.append(score(job_urls(good.where(F.col("model_id") == run_id)), *models[run_id], run_id))
+    usable = [r["model_id"] for r in asked if r["model_id"] not in broken]
+    reason = F.lit("not found")
+    for run_id, name in broken.items():
+        reason = F.when(F.col("model_id") == run_id, name).otherwise(reason)
+    text = F.concat(F.lit("Failed to load model: "), "model_id", F.lit(" ("), reason, F.lit(")"))
+    done = _failed(jobs.where("problem IS NOT NULL"), "prediction", F.col("problem")).unionByName(
+        _failed(good.where(~F.col("model_id").isin(usable)), "prediction", text)
+    )
+    path = f"{root}/{RESULT_QUEUE}/predictions/batch={batch}"
     if parts:
-        for i, part in enumerate(parts):
-            part.write.mode("overwrite").parquet(f"{root}/{RESULT_QUEUE}/predictions/batch={batch}/part={i}")
-        scored = spark.read.parquet(f"{root}/{RESULT_QUEUE}/predictions/batch={batch}")
-        results.append(job_results(scored))
-    done = results[0]
-    for r in results[1:]:
-        done = done.unionByName(r, allowMissingColumns=True)
+        reduce(DataFrame.unionByName, parts).write.mode("overwrite").parquet(path)
+        done = done.unionByName(job_results(spark.read.parquet(path)), allowMissingColumns=True)
+    else:
+        remove(spark, path)  # of an attempt that found a model
     _write(_typed(done), root, "prediction_jobs", batch)
-    jobs.unpersist()
 
 
 def _typed(df: DataFrame) -> DataFrame:
@@ -121,15 +146,20 @@ def _typed(df: DataFrame) -> DataFrame:
 
 
 def handle_training(jobs: DataFrame, batch: int, root: str, out: str, data: str, settings: Settings) -> None:
-    """Train per job, one after the other; each training is a distributed job."""
-    spark, rows = jobs.sparkSession, []
-    for job in jobs.collect():  # messages, not data
+    """Train per job, one after the other; each training is a distributed job. A result is
+    written as its training ends. Jobs come to the driver a partition at a time."""
+    spark = jobs.sparkSession
+    todo = stored(unfinished(jobs, _ledger(spark, root, "training_jobs", batch)), "training-jobs")
+    for job in todo.toLocalIterator():  # messages, not data
+        path = f"{root}/{RESULT_QUEUE}/training_jobs/batch={batch}/job={hashlib.md5(job['job_id'].encode()).hexdigest()}"
+        if exists(spark, f"{path}/_SUCCESS"):
+            continue
         result = {"status": "failed", "error": job["bad"]}
         if job["bad"] is None:
             result = _train_one(spark, job, out, data, settings)
-        rows.append((job["job_id"], "training", result["status"], result.get("error"), None, None, None,
-                     result.get("run_id"), result.get("best_algorithm")))
-    _write(spark.createDataFrame(rows, JOB_RESULT), root, "training_jobs", batch)
+        row = (job["job_id"], "training", result["status"], result.get("error"), None, None, None,
+               result.get("run_id"), result.get("best_algorithm"))
+        spark.createDataFrame([row], JOB_RESULT).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def _train_one(spark, job, out, data, settings) -> dict:
@@ -195,13 +225,15 @@ def _start(stream: DataFrame, work, checkpoint: str, available_now: bool):
 
 
 def results(spark: SparkSession, root: str) -> DataFrame:
-    """All job results so far."""
-    df = spark.createDataFrame([], JOB_RESULT)
+    """The result of every job so far: the latest, where a failed job was sent again."""
+    df = spark.createDataFrame([], f"{JOB_RESULT}, batch long")
     for table in ("training_jobs", "prediction_jobs"):
         path = f"{root}/{RESULT_QUEUE}/{table}"
         if exists(spark, path):
-            df = df.unionByName(spark.read.schema(JOB_RESULT).parquet(path).select(df.columns))
-    return df
+            df = df.unionByName(spark.read.schema(f"{JOB_RESULT}, batch long").parquet(path).select(df.columns))
+    fields = [c for c in df.columns if c not in ("job_id", "job_type", "batch")]
+    last = df.groupBy("job_id", "job_type").agg(F.max_by(F.struct(*fields), "batch").alias("r"))
+    return last.select("job_id", "job_type", "r.*")
 
 
 def pending(jobs: DataFrame, done: DataFrame) -> DataFrame:
