@@ -94,6 +94,7 @@ def uncorrelated(df: DataFrame, features=FEATURES, threshold: float = CORRELATIO
     return kept
 
 
+PENDING = 1 << 16  # counts of a feature that a task keeps unmerged
 DIGIT = 13  # leading bits settled by one pass of `exact_cuts`; five passes settle a double
 
 
@@ -111,18 +112,30 @@ def _leading(batches: Iterator, parents: list, shift: int, above: int) -> Iterat
     import numpy as np
     import pyarrow as pa
 
-    keys, counts = ([np.zeros(0, np.int64)] * len(parents) for _ in range(2))
+    keys, counts, held = [[] for _ in parents], [[] for _ in parents], [0] * len(parents)
+
+    def merge(f):
+        every, at = np.unique(np.concatenate([np.zeros(0, np.int64), *keys[f]]), return_inverse=True)
+        counts[f] = [np.bincount(at, np.concatenate([np.zeros(0), *counts[f]]), len(every)).astype(np.int64)]
+        keys[f], held[f] = [every], len(every)
+
     for batch in batches:
         x = _matrix(batch, len(parents))
         for f, parent in enumerate(parents):
+            if parent is not None and not len(parent):
+                continue
             v = _sortable(np.ascontiguousarray(x[:, f][~np.isnan(x[:, f])]))
             if parent is not None:
                 v = v[np.isin(v >> above, parent)]
-            more, n = np.unique(v >> shift, return_counts=True)
-            keys[f], at = np.unique(np.concatenate([keys[f], more]), return_inverse=True)
-            counts[f] = np.bincount(at, np.concatenate([counts[f], n])).astype(np.int64)
+            found = pa.array(v >> shift).value_counts()  # by hash: a batch is not sorted
+            keys[f].append(found.field(0).to_numpy())
+            counts[f].append(found.field(1).to_numpy())
+            held[f] += len(found)
+            if held[f] > PENDING and len(keys[f]) > 8:
+                merge(f)
     for f in range(len(parents)):
-        yield pa.record_batch([pa.array(np.full(len(keys[f]), f, np.int32)), pa.array(keys[f]), pa.array(counts[f])], names=("f", "key", "n"))
+        merge(f)
+        yield pa.record_batch([pa.array(np.full(held[f], f, np.int32)), pa.array(keys[f][0]), pa.array(counts[f][0])], names=("f", "key", "n"))
 
 
 def exact_cuts(table: DataFrame, features, bins: int) -> list[list[float]]:
@@ -197,14 +210,22 @@ def mutual_information(df: DataFrame, features=FEATURES, label="label", bins: in
     return information(cells.groupBy(F.get(name, F.col("f")).alias("feature"), "bin", "label").agg(F.sum("n").alias("n")))
 
 
+def flag_information(df: DataFrame, flags, label="label") -> DataFrame:
+    """feature, mi of columns with few values each. Equal rows become one with a count
+    before they are unpivoted: what is unpivoted and shuffled grows with the combinations."""
+    rows = df.groupBy(label, *flags).agg(F.count("*").alias("n"))
+    long = rows.unpivot([label, "n"], list(flags), "feature", "bin")
+    return information(long.groupBy("feature", "bin", F.col(label).alias("label")).agg(F.sum("n").alias("n")))
+
+
 def information(cells: DataFrame) -> DataFrame:
-    """feature, mi from counts n per (feature, bin, label)."""
-    total = cells.groupBy("feature").agg(F.sum("n").alias("t"))
-    by_bin = cells.groupBy("feature", "bin").agg(F.sum("n").alias("nb"))
-    by_label = cells.groupBy("feature", "label").agg(F.sum("n").alias("nl"))
-    joined = cells.join(total, "feature").join(by_bin, ["feature", "bin"]).join(by_label, ["feature", "label"])
+    """feature, mi from counts n per (feature, bin, label); cells without a bin or label
+    count in the totals alone. Windows, not joins: the counts are made once."""
+    over = lambda *keys: F.sum("n").over(Window.partitionBy(*keys))
+    sums = cells.select("*", over("feature").alias("t"), over("feature", "bin").alias("nb"), over("feature", "label").alias("nl"))
+    sums = sums.dropna(subset=["feature", "bin", "label"])
     term = F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("nb") * F.col("nl")))
-    return joined.groupBy("feature").agg(F.sum(term).alias("mi"))
+    return sums.groupBy("feature").agg(F.sum(term).alias("mi"))
 
 
 def informative(df: DataFrame, features=FEATURES, threshold: float = MUTUAL_INFORMATION, k: int = TOP_K) -> list[str]:

@@ -1083,10 +1083,8 @@ _FLAGS = [n for g in catalog.GROUPS.values() for n, kind in g if kind == "binary
 def flag_information(spark, sf_dir):
     """Mutual information of every flag with the label."""
     df = add_features(url_corpus(spark, sf_dir), apply_weights=False)
-    long = df.select(normalize_label(F.col("label")).alias("label"), *_FLAGS).unpivot(
-        ["label"], _FLAGS, "feature", "bin")
-    cells = long.groupBy("feature", "bin", "label").agg(F.count("*").alias("n"))
-    return se.information(cells).withColumn("mi", F.round("mi", 9) + F.lit(0.0))
+    mi = se.flag_information(df.select(normalize_label(F.col("label")).alias("label"), *_FLAGS), _FLAGS)
+    return mi.withColumn("mi", F.round("mi", 9) + F.lit(0.0))
 
 
 _PLAIN = ", ".join(f"round({f}, 9)::DOUBLE AS {f}" if f in ENTROPIES else f"{f}::DOUBLE AS {f}" for f in catalog.FEATURES)
