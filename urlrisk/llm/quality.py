@@ -6,8 +6,10 @@ features; so the fit is a logistic loss on feature differences. The share of bad
 documents among all labelled rows then gives the quantile of the scores below which a
 document counts as bad.
 
-The fit uses a bounded sample of labelled rows (`documents`, `pairs`: parameters).
-Scoring is one narrow pass over whole texts.
+Every labelled row takes part: moments, pairs, fit and quantile are Spark aggregates over
+all of them. Rows are dealt into groups by a hash, and within a group each row is paired
+with one of the other class, the rows of the smaller class in turn. A Newton step is one
+pass over the pairs. Scoring is one narrow pass over whole texts.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ from pyspark.sql import functions as F
 
 from urlrisk.llm.scratch import Scratch
 from urlrisk.llm.texts import slices, utf8
-from urlrisk.llm.toxicity import bounded, bounded_rows
 
 _SYMBOLS = b"#*$%&|<>@^~{}[]_=+\\/"
 _ENDS = (b".", b"!", b"?", b":", b'"')
@@ -28,10 +29,8 @@ _ENDS = (b".", b"!", b"?", b":", b'"')
 
 @dataclass(frozen=True)
 class Settings:
-    documents: int = 8000
-    pairs: int = 40_000
-    steps: int = 400
-    rate: float = 0.05
+    group: int = 4096  #: labelled rows in a group, about
+    steps: int = 25  #: Newton steps at most
     l2: float = 1e-3
     threshold: float = 0.3  #: the output score at the quantile
     seed: int = 23
@@ -94,18 +93,108 @@ def _expand(rows, mean, deviation):
     return np.hstack([z, z * z])
 
 
-def fit_pairs(good, bad, settings: Settings):
-    """Weights that minimise the logistic loss on differences of feature rows."""
+def _deal(made: DataFrame, n_good: int, n_bad: int, settings: Settings) -> DataFrame:
+    """`made` with a group number. Rows of the smaller class go to several groups where it
+    has less than 64 rows for each, so that no group is without them."""
+    groups = max(1, (n_good + n_bad) // settings.group)
+    copies = max(1, -(-64 * groups // min(n_good, n_bad))) if groups > 1 else 1
+    smaller = F.col("quality") == int(n_good < n_bad)
+    rows = made.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.when(smaller, copies - 1).otherwise(0))))
+    return rows.withColumn("group", F.pmod(F.xxhash64(F.lit(settings.seed), "doc_id", "f", "_copy"), F.lit(groups)))
+
+
+def _pairs(mean, deviation):
+    def run(frame):
+        import numpy as np
+        import pandas as pd
+
+        frame = frame.sort_values("doc_id", kind="stable")
+        z = _expand(np.stack(frame["f"].to_numpy()), mean, deviation)
+        good, bad = (z[(frame["quality"] == q).to_numpy()] for q in (1, 0))
+        n = max(len(good), len(bad)) if len(good) and len(bad) else 0
+        at = np.arange(n)
+        d = good[at % len(good)] - bad[at % len(bad)] if n else np.zeros((0, z.shape[1]))
+        return pd.DataFrame({"d": list(d)})
+
+    return run
+
+
+def _sums(w):
+    """Loss, gradient and curvature of the logistic loss over a task's pairs, packed."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        n = len(w)
+        total = np.zeros(2 + n + n * n)
+        for batch in batches:
+            d = batch.column(0).flatten().to_numpy().reshape(-1, n)
+            margin = d @ w
+            lose = 1 / (1 + np.exp(np.clip(margin, -50, 50)))
+            total[0] += len(d)
+            total[1] += np.logaddexp(0, -margin).sum()
+            total[2 : 2 + n] -= lose @ d
+            total[2 + n :] += ((d * (lose * (1 - lose))[:, None]).T @ d).ravel()
+        yield pa.record_batch([pa.array([total.tolist()], pa.list_(pa.float64()))], names=("s",))
+
+    return run
+
+
+def fit_pairs(pairs: DataFrame, size: int, settings: Settings):
+    """Weights that minimise the mean logistic loss on differences of feature rows (`d`),
+    with a penalty, by Newton steps that are halved where the loss would rise."""
     import numpy as np
 
-    d = good - bad
-    w, m, v = np.zeros(d.shape[1]), np.zeros(d.shape[1]), np.zeros(d.shape[1])
-    for step in range(1, settings.steps + 1):
-        lose = 1 / (1 + np.exp(np.clip(d @ w, -50, 50)))
-        gradient = -(lose @ d) / len(d) + settings.l2 * w
-        m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
-        w -= settings.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return w
+    best, at, trial, step = np.inf, np.zeros(size), np.zeros(size), np.zeros(size)
+    for _ in range(settings.steps):
+        parts = pairs.mapInArrow(_sums(trial), "s array<double>").select(F.posexplode("s").alias("i", "s"))
+        s = np.array([r.s for r in parts.groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").collect()])  # a few numbers a feature
+        loss = s[1] / s[0] + settings.l2 / 2 * (trial @ trial)
+        if loss > best:
+            step = step / 2
+        else:
+            done = best - loss < 1e-9
+            best, at = loss, trial
+            if done:
+                break
+            gradient = s[2 : 2 + size] / s[0] + settings.l2 * at
+            step = -np.linalg.solve(s[2 + size :].reshape(size, size) / s[0] + settings.l2 * np.eye(size), gradient)
+        if np.abs(step).max() < 1e-9:
+            break
+        trial = at + step
+    return at
+
+
+def _scored(mean, deviation, w):
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            scores = _expand(x, mean, deviation) @ w if batch.num_rows else np.zeros(0)
+            yield pa.record_batch([batch.column(0), pa.array(scores)], names=("quality", "score"))
+
+    return run
+
+
+def value_at(scores: DataFrame, rank: int) -> float:
+    """The value of column `score` at an ascending `rank` (from 1): counts in 1,024 equal
+    bins, again within the bin that holds it, until that has one value."""
+    low, high = scores.agg(F.min("score"), F.max("score")).first()
+    while low < high:
+        width = (high - low) / 1024
+        place = F.least(F.floor((F.col("score") - low) / width), F.lit(1023)).alias("bin") if width else F.lit(0).alias("bin")
+        inside = scores.where(F.col("score").between(low, high)).groupBy(place)
+        for r in sorted(inside.agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high")).collect()):  # at most 1,024
+            if rank <= r.n:
+                if width == 0 or (r.low, r.high) == (low, high):
+                    return float(r.low)
+                low, high = r.low, r.high
+                break
+            rank -= r.n
+    return float(low)
 
 
 def _features(batches: Iterator) -> Iterator:
@@ -113,8 +202,8 @@ def _features(batches: Iterator) -> Iterator:
 
     for whole in batches:
         for batch in slices(whole, 512):
-            rows = [features(t) for t in utf8(batch.column(2))]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=("doc_id", "quality", "f"))
+            rows = [features(t) for t in utf8(batch.column(1))]
+            yield pa.record_batch([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=("doc_id", "f"))
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings = Settings()) -> Model:
@@ -124,31 +213,28 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings
     import numpy as np
 
     known = labels.where(learn & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    n_good, n_bad = known.agg(F.sum((F.col("quality") == 1).cast("long")), F.sum((F.col("quality") == 0).cast("long"))).first()
-    if not n_good or not n_bad:
-        return Model(constant=0.5 if not (n_good or n_bad) else float(bool(n_good)))
     scratch = Scratch(docs.sparkSession, "quality")
-    half = settings.documents // 2
-    sample = bounded(known.where("quality = 1"), half, settings.seed).unionByName(bounded(known.where("quality = 0"), half, settings.seed + 1))
-    # `documents` bounds the sample: it may be broadcast, and no text is shuffled.
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
-    made = scratch.put(rows.mapInArrow(_features, "doc_id long, quality int, f array<double>"), "sample")
-    good, bad = (bounded_rows(made.where(F.col("quality") == q), half, settings.seed, scratch) for q in (1, 0))
-    table = good.unionByName(bad).orderBy("doc_id", "f").toArrow()
-    x, y = np.array(table.column("f").to_pylist(), float), np.array(table.column("quality").to_pylist())
-    if not (y == 1).any() or not (y == 0).any():
-        return Model(constant=float((y == 1).mean()) if len(y) else 0.5)
-    mean, deviation = x.mean(0), x.std(0) + 1e-9
-    z = _expand(x, mean, deviation)
-    rng = np.random.default_rng(settings.seed)
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    w = fit_pairs(z[rng.choice(good, settings.pairs)], z[rng.choice(bad, settings.pairs)], settings)
-    scores = z @ w
-    # The sample holds good and bad rows in other shares than the labels: weigh them back.
-    weight = np.where(y == 1, n_good / len(good), n_bad / len(bad))
-    order = np.argsort(scores, kind="stable")
-    below = np.cumsum(weight[order]) / weight.sum()
-    at = min(int(np.searchsorted(below, n_bad / (n_good + n_bad))), len(order) - 2)
-    cut = float(scores[order[at]] + scores[order[at + 1]]) / 2
-    scale = float(np.std(scores)) / 2 + 1e-9
+    # Features first: what is joined and shuffled is narrow, and no text is.
+    narrow = docs.where(learn).select("doc_id", "text").mapInArrow(_features, "doc_id long, f array<double>")
+    made = scratch.put(narrow.join(known, "doc_id").select("doc_id", "quality", "f"), "labelled")
+    size = 15
+    moments = [F.avg(F.col("f")[i]).alias(f"m{i}") for i in range(size)] + [F.avg(F.col("f")[i] * F.col("f")[i]).alias(f"s{i}") for i in range(size)]
+    by = {r.quality: r for r in made.groupBy("quality").agg(F.count("*").alias("n"), *moments).collect()}
+    if len(by) < 2:
+        return Model(constant=float(next(iter(by))) if by else 0.5)
+    # Both classes weigh the same in scaling, whatever their shares. Sums may be added in
+    # any order: their last digits are cut.
+    first, second = (sum(np.array([r[f"{c}{i}"] for i in range(size)]) for r in by.values()) / 2 for c in "ms")
+    mean, deviation = np.round(first, 9), np.round(np.sqrt(np.maximum(second - first * first, 0)), 9) + 1e-9
+    n_good, n_bad = by[1].n, by[0].n
+    dealt = _deal(made, n_good, n_bad, settings).select("group", "doc_id", "quality", "f")
+    pairs = scratch.put(dealt.groupBy("group").applyInPandas(_pairs(mean, deviation), "d array<double>"), "pairs")
+    w = np.round(fit_pairs(pairs, 2 * size, settings), 7)
+    scores = scratch.put(made.select("quality", "f").mapInArrow(_scored(mean, deviation, w), "quality int, score double"), "scores")
+    # The share of bad rows is the quantile below which a document counts as bad.
+    rank = min(n_bad, n_good + n_bad - 1)
+    cut = (value_at(scores, rank) + value_at(scores, rank + 1)) / 2
+    spread = scores.groupBy("quality").agg(F.avg("score"), F.avg(F.col("score") * F.col("score"))).collect()
+    middle, square = sum(r[1] for r in spread) / 2, sum(r[2] for r in spread) / 2
+    scale = float(np.round(np.sqrt(max(square - middle * middle, 0.0)) / 2, 9)) + 1e-9
     return Model(tuple(mean), tuple(deviation), tuple(w), cut, scale, settings.threshold, None)
