@@ -34,3 +34,19 @@ def test_value_at_any_rank(spark):
     scores = Scratch(spark, "ranks").put(spark.createDataFrame([(v,) for v in values], "score double"), "s")
     for rank in (1, 2, 250, 501, 505, 531, 532, 533):
         assert quality.value_at(scores, rank) == sorted(values)[rank - 1]
+
+
+def test_examples_hold_their_text_also_of_long_conversations(spark):
+    from urlrisk.llm import chat
+
+    rows = [(1, k, ("user", "assistant")[k % 2], f"turn {k}") for k in range(201)] + [(2, 0, "user", "q"), (None, 0, "assistant", "a </s>")]
+    made = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {(r.conv_id, r.position): r for r in made.examples.collect()}
+    whole = "".join(f"<s>[INST] {r} [/INST] {t} </s>" for c, _, r, t in rows if c == 1)
+    assert sorted(p for c, p in got if c == 1) == [*range(1, 200, 2), 200]
+    for (c, p), r in got.items():
+        if c == 1:
+            assert whole.startswith(r.context + r.target) and r.target == (f"turn {p}" if p % 2 else "")
+            assert (r.mask_start, r.mask_end) == (len(r.context), len(r.context) + len(r.target))
+    assert (got[2, 0].context, got[2, 0].target) == ("<s>[INST] user [/INST] q </s>", "")
+    assert (got[None, 0].context, got[None, 0].target) == ("<s>[INST] assistant [/INST] ", "a <\\/s>")

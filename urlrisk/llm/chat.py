@@ -2,11 +2,10 @@
 
 Every turn becomes a segment, `<s>[INST] role [/INST] text </s>`, in which control strings
 of role and text are escaped. A conversation's segments stand one after the other. Every
-assistant turn gives an example: its context is all that stands before it, and only its
-reply is trainable. Contexts of one conversation are prefixes of one another, so the
-output stores each segment once, and an example holds the length of its prefix and the
-span of its loss mask; `texts` writes examples out as strings. The output then grows with
-the turns, where strings would grow with the square of a conversation's length.
+assistant turn is expanded into an example: its context is all that stands before its
+reply, written out as a string, and its target, the only trainable part, is the reply.
+Contexts of one conversation are prefixes of one another, so the examples' characters grow
+with the square of its turns; they are written with a codec that finds such repeats.
 
 A turn's place needs the lengths of all turns before it. Rows are range-partitioned by
 (conversation, turn); each partition adds up its own lengths, and sums start from those of
@@ -29,12 +28,14 @@ CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 ASSISTANT = "assistant"
 #: Between the parts that make a turn's place among equal turn numbers.
 _ORDER = ("turn", "role", "_digest")
+#: Turns beyond which a conversation's examples are dealt out in runs of that many.
+RUN = 64
 
 
 @dataclass(frozen=True)
 class Formatted:
     """`segments`: conv_id, position, start, segment (one row per turn). `examples`:
-    conv_id, position (of the last turn), mask_start, mask_end, chars."""
+    conv_id, position (of the last turn), mask_start, mask_end, chars, context, target."""
 
     segments: DataFrame
     examples: DataFrame
@@ -104,51 +105,59 @@ def format_conversations(turns: DataFrame, path: str | None = None, partitions:
     placed = _placed(turns, scratch, partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed.write.parquet(f"{path}/segments")
     segments = spark.read.parquet(f"{path}/segments")
-    narrow = segments.select("conv_id", "position", "role", "start", F.length("segment").cast("long").alias("_n"))
-    head = F.length(segment(F.col("role"), F.lit(""))) - len(END)
-    reply = F.col("role") == ASSISTANT
-    end = F.col("start") + F.col("_n")
-    last = narrow.groupBy("conv_id").agg(F.max_by(F.struct("role", "start", "_n", "position"), "position").alias("_l")).select("conv_id", "_l.*")
-    targets = narrow.where(reply).select(
-        "conv_id", "position", (F.col("start") + head).alias("mask_start"), (end - len(END)).alias("mask_end"), end.alias("chars")
-    )
-    bare = last.where(~reply).select("conv_id", "position", end.alias("mask_start"), end.alias("mask_end"), end.alias("chars"))
-    targets.unionByName(bare).write.parquet(f"{path}/examples")
+    _expanded(segments).write.option("compression", "zstd").parquet(f"{path}/examples")
     return read(spark, path)
 
 
+def _expanded(segments: DataFrame) -> DataFrame:
+    """The examples of all conversations. A conversation's segments come together once, and
+    its examples are made from that row; one of more than `RUN` turns is dealt out, a row
+    for each run of examples."""
+    ordered = F.array_sort(F.collect_list(F.struct("position", "start", "role", "segment")))
+    whole = segments.groupBy("conv_id").agg(ordered.alias("_all")).withColumn("_n", F.size("_all"))
+    runs = whole.where(F.col("_n") > RUN).withColumn("_run", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / RUN).cast("int"))))
+    runs = runs.repartition("conv_id", "_run")
+    few = whole.where(F.col("_n") <= RUN).withColumn("_run", F.lit(0))
+    first = F.col("_run") * RUN + 1
+    at = F.sequence(first, F.least(F.col("_n"), first + (RUN - 1)))
+    is_target = lambda i: (F.element_at("_all", i)["role"] == ASSISTANT) | (i == F.col("_n"))
+    one = few.unionByName(runs).withColumn("_i", F.explode(F.filter(at, is_target)))
+    last = F.element_at("_all", F.col("_i"))
+    size = F.length(last["segment"])
+    head = F.when(last["role"] == ASSISTANT, F.length(segment(last["role"], F.lit(""))) - len(END)).otherwise(size)
+    before = F.array_join(F.slice("_all", F.lit(1), F.col("_i") - 1)["segment"], "")
+    end = last["start"] + size
+    tail = F.when(last["role"] == ASSISTANT, F.lit(len(END))).otherwise(0)
+    return one.select(
+        "conv_id", last["position"].alias("position"), (last["start"] + head).alias("mask_start"), (end - tail).alias("mask_end"),
+        end.cast("long").alias("chars"), F.concat(before, F.substring(last["segment"], F.lit(1), head)).alias("context"),
+        F.substring(last["segment"], head + 1, size - head - tail).alias("target"),
+    )
+
+
 def read(spark: SparkSession, path: str) -> Formatted:
     return Formatted(spark.read.parquet(f"{path}/segments").drop("role"), spark.read.parquet(f"{path}/examples"))
 
 
 def texts(formatted: Formatted, examples: DataFrame | None = None) -> DataFrame:
-    """`examples` (by default all) with `context` and `target`, written out in full. Grows
-    with the square of a conversation's turns; choose the examples that are needed."""
-    examples = formatted.examples if examples is None else examples
-    parts = formatted.segments.select(F.col("conv_id").alias("_conv"), F.col("position").alias("_at"), "segment")
-    joined = examples.join(parts, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_at") <= F.col("position")))
-    listed = joined.groupBy(*examples.columns).agg(F.array_sort(F.collect_list(F.struct("_at", "segment"))).alias("_all"))
-    whole = F.array_join(F.col("_all.segment"), "")
-    cut = lambda a, b: F.substring(whole, a + 1, b - a)
-    return listed.select(
-        *examples.columns, cut(F.lit(0), F.col("mask_start").cast("int")).alias("context"),
-        cut(F.col("mask_start").cast("int"), F.col("mask_end").cast("int")).alias("target"),
-    )
+    """`examples` (by default all) with `context` and `target`, as they were written."""
+    return formatted.examples if examples is None else examples
 
 
 def digests(formatted: Formatted) -> DataFrame:
     """One row per conversation, read back from the output: `n_turns, turns_sha256,
     loss_chars, loss_sha256, formatted_chars` (characters of all its examples).
 
-    A digest is of one string, so it holds a conversation's texts in one row; nothing
-    else of this module does."""
+    A digest is of one string, so it holds a conversation's texts in one row. Lengths and
+    loss texts are those of the examples' own strings."""
     role, text = parsed(F.col("segment"))
-    mask = formatted.examples.select(F.col("conv_id").alias("_conv"), F.col("position").alias("_at"), "mask_start", "mask_end", "chars")
+    of = formatted.examples
+    trained = of["mask_end"] > of["mask_start"]
+    chars = F.length("context") + F.length("target") + F.when(F.col("chars") > F.col("mask_end"), len(END)).otherwise(0)
+    mask = of.select(F.col("conv_id").alias("_conv"), F.col("position").alias("_at"), chars.cast("long").alias("chars"), F.when(trained, unescape(F.col("target"))).alias("_loss"))
     joined = formatted.segments.join(mask, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("position") == F.col("_at")), "left")
-    masked = unescape(F.substring(F.col("segment"), (F.col("mask_start") - F.col("start") + 1).cast("int"), (F.col("mask_end") - F.col("mask_start")).cast("int")))
     turns = joined.select(
-        "conv_id", "position", "chars", F.concat(role, F.lit("\n"), text, F.lit("\n")).alias("turn_text"),
-        F.when(F.col("mask_end") > F.col("mask_start"), masked).otherwise("").alias("loss_text"),
+        "conv_id", "position", "chars", F.concat(role, F.lit("\n"), text, F.lit("\n")).alias("turn_text"), F.coalesce("_loss", F.lit("")).alias("loss_text"),
     )
     ordered = F.array_sort(F.collect_list(F.struct("position", "turn_text", "loss_text")))
     whole = turns.groupBy("conv_id").agg(F.count("*").alias("n_turns"), ordered.alias("_all"), F.sum("chars").alias("formatted_chars"))
