@@ -46,3 +46,23 @@ def test_leading_counts_merge_over_batches():
     got = list(se._leading(iter(batches), [None], 0, 64))[0]
     keys, counts = np.unique(se._sortable(values), return_counts=True)
     assert got.column("key").to_pylist() == keys.tolist() and got.column("n").to_pylist() == counts.tolist()
+
+
+def test_a_point_visits_areas_and_finds_its_nearest(spark, monkeypatch):
+    import numpy as np
+
+    from urlrisk.operators import smote
+
+    monkeypatch.setattr(smote, "CELL", 10)
+    monkeypatch.setattr(smote, "AREA", (4, 64))
+    x = np.random.default_rng(3).normal(size=(600, 16))
+    points = spark.createDataFrame([(str(i), v.tolist(), 1 + i % 2) for i, v in enumerate(x)], "id string, vec array<double>, m long")
+    sent, visits = [], smote._visits
+    monkeypatch.setattr(smote, "_visits", lambda *a: sent.append(visits(*a)) or sent[-1])
+    got = {r.id: np.array(r.near) for r in smote.nearest_neighbours(points, 5).collect()}
+    for i, own in enumerate(x):
+        distance = np.repeat(np.sqrt(((x - own) ** 2).sum(1)), [1 + j % 2 for j in range(len(x))])
+        want = np.sort(distance)[1:6]
+        assert np.allclose(np.sqrt(((got[str(i)] - own) ** 2).sum(1)), want)
+    # 60 cells, none of which a bound leaves out, but at most 16 visits of a point.
+    assert smote.area_size(60) == 4 and sent[0].count() <= 16 * 600
