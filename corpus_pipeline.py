@@ -56,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their ids and places in sequences of 2048 tokens."""
-    return packing.pack(packing.pieces(docs, capacity=2048), capacity=2048)
+    return packing.pack(packing.pieces(docs, capacity=2048), capacity=2048, in_place=True)
 
 
 STAGES = [

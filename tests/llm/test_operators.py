@@ -118,6 +118,24 @@ def test_packing_is_gapless_and_close_to_the_bound(spark):
     assert packing.pack(packing.pieces(odd(spark).limit(0))).count() == 0
 
 
+def test_packing_in_place_shuffles_nothing_and_packs_as_well(spark):
+    pieces = packing.pieces(odd(spark).repartition(3), 64)
+    placed = packing.pack(pieces, 64, group_rows=50, in_place=True)
+    assert "Exchange" not in placed._jdf.queryExecution().executedPlan().toString()
+    packed = placed.collect()
+    key = lambda r: (r.doc_id or 0, r.piece, r.start, r.length, bytes(r.ids))
+    assert sorted(map(key, packed)) == sorted(map(key, pieces.collect()))
+    fill = collections.defaultdict(list)
+    for r in packed:
+        fill[r.sequence_id].append((r.offset, r.length))
+    for parts in fill.values():
+        ends = [0, *(at + n for at, n in sorted(parts))]
+        assert [at for at, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 64
+    groups = 3 + len(packed) // 50
+    assert len(fill) <= -(-sum(r.length for r in packed) // 64) + groups
+    assert packing.pack(packing.pieces(odd(spark).limit(0)), in_place=True).count() == 0
+
+
 def test_best_two_fit_replaces_the_smallest():
     # Greedy takes 6, 3 and leaves a gap of 1; 2 + 2 fill the 4 that 3 gives free.
     bins = packing.best_two_fit([6, 3, 2, 2], 10)

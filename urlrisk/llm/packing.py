@@ -6,7 +6,8 @@ anyway, so the ids are those of the whole text. Pieces are then dealt evenly, by
 and not by key, to groups of bounded size, and each group is packed by itself: bins are
 filled greedily, largest piece first; a bin that still has a gap gives up its smallest
 piece for the two unpacked ones that fit the larger gap best, if they fit tighter. A
-group wastes about one part-filled bin, whatever the size of the input.
+group wastes about one part-filled bin, whatever the size of the input. Rows that carry
+their ids can be packed where they are read, which shuffles nothing.
 """
 
 from __future__ import annotations
@@ -202,32 +203,60 @@ def best_two_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _pack_group(table, capacity: int):
+def _pack_group(table, capacity: int, first: int | None = None):
+    """A group with its places; sequences are numbered from `first`, or by the group."""
     import numpy as np
     import pyarrow as pa
 
     lengths = table.column("length").to_pylist()
-    group = table.column("_group")[0].as_py()
+    first = table.column("_group")[0].as_py() << 32 if first is None else first
     sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     for k, members in enumerate(best_two_fit(lengths, capacity)):
         at = 0
         for i in members:
-            sequence[i], offset[i] = (group << 32) + k, at
+            sequence[i], offset[i] = first + k, at
             at += lengths[i]
     table = table.drop_columns(["_group"])
     return table.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
 
-def pack(rows: DataFrame, capacity: int = 2048, group_rows: int = GROUP_ROWS) -> DataFrame:
+def _pack_runs(batches: Iterator, capacity: int, group_rows: int) -> Iterator:
+    """Groups of successive rows of a task, whose number is in `_group`. The last group
+    takes what is left, so that no group is small unless the task is."""
+    import pyarrow as pa
+
+    held, rows, first = [], 0, None
+
+    def packed(table):
+        nonlocal first
+        first = table.column("_group")[0].as_py() << 40 if first is None else first
+        yield from _pack_group(table, capacity, first).to_batches()
+        first += table.num_rows  # a sequence has a row at least
+
+    for batch in batches:
+        held, rows = [*held, batch], rows + batch.num_rows
+        while rows >= 2 * group_rows:
+            table = pa.Table.from_batches(held)
+            yield from packed(table.slice(0, group_rows))
+            held, rows = table.slice(group_rows).to_batches(), rows - group_rows
+    if rows:
+        yield from packed(pa.Table.from_batches(held))
+
+
+def pack(rows: DataFrame, capacity: int = 2048, group_rows: int = GROUP_ROWS, in_place: bool = False) -> DataFrame:
     """`rows` with `sequence_id` and `offset`. They need a `length` (1 to the capacity);
     all their other columns stay, token ids too if the caller keeps them. Columns named
     like an added one are replaced. Equal rows are packed one by one; an empty table
     gives an empty table. `rows` are written once to the shared folder, so that groups
-    do not depend on a recomputation."""
+    do not depend on a recomputation. `in_place` packs the rows of each task that reads
+    them back, for rows too wide to shuffle; else they are dealt evenly to groups."""
     scratch = Scratch(rows.sparkSession, "packing")
     table = scratch.put(without(rows, "sequence_id", "offset", "_group"), "pieces")
-    groups = max(1, -(-table.count() // group_rows))
     schema = T.StructType([*table.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    if in_place:
+        placed = table.withColumn("_group", F.spark_partition_id().cast("long"))
+        return placed.mapInArrow(lambda it: _pack_runs(it, capacity, group_rows), schema)
+    groups = max(1, -(-table.count() // group_rows))
     grouped = table.withColumn("_group", dealt(groups))
     return grouped.groupBy("_group").applyInArrow(lambda t: _pack_group(t, capacity), schema)
 
