@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from urlrisk.llm import line_rules, mixing, near_dedup, packing, toxicity
 from urlrisk.llm.scratch import Scratch
+from urlrisk.llm.texts import doubtful
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -38,19 +39,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     the least row stays; rows without an id all stay."""
     judged = near_dedup.near_duplicates(docs, near_dedup.Forest(words=5, percent=80))
     decided = judged.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("kept"))
-    decided = Scratch(spark, "near-duplicates").put(decided.where("kept"), "kept")  # ids only
+    scratch = Scratch(spark, "near-duplicates")
+    decided = scratch.put(decided, "decided")  # ids only
     rows, rest = docs.select(*COLUMNS), [c for c in COLUMNS if c != "doc_id"]
-    single = rows.join(decided.where("n = 1"), "doc_id", "left_semi")
-    repeated = rows.join(decided.where("n > 1"), "doc_id", "left_semi")  # only these texts are compared
+    # Texts that surely stay as they are do not move; only the others are joined with the decisions.
+    judged = doubtful(rows, decided.where("n > 1 or not kept"), "doc_id", scratch)
+    stay = judged.where("doc_id is null or not _doubtful").drop("_doubtful")
+    single = judged.where("_doubtful").drop("_doubtful").join(decided.where("kept and n = 1"), "doc_id", "left_semi")
+    many = doubtful(rows, decided.where("n > 1"), "doc_id", scratch).where("_doubtful").drop("_doubtful")
+    repeated = many.join(decided.where("kept and n > 1"), "doc_id", "left_semi")  # only these texts are compared
     one = repeated.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_r")).select("doc_id", "_r.*").select(*COLUMNS)
-    return single.unionByName(one).unionByName(rows.where("doc_id is null"))
+    return stay.unionByName(single).unionByName(one)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: every document as often as its source's target asks for."""
-    rows = docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id())
-    plan = mixing.mix(rows, weights=(1, 2, 3), share=1.0, most=3, carry=("_row",)).where("times > 0")
-    copies = rows.join(plan.select("_row", "times"), "_row")
+    copies = mixing.times(docs.select(*COLUMNS), weights=(1, 2, 3), share=1.0, most=3).where("times > 0")
     return copies.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from urlrisk.llm import language, line_rules, mixing, near_dedup, packing, quality, queries, scratch, topk, toxicity, url_filter, warc
+from urlrisk.llm import language, line_rules, mixing, near_dedup, packing, quality, queries, scratch, texts, topk, toxicity, url_filter, warc
 from urlrisk.llm.components import components, merged
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, _text string"
@@ -484,3 +484,32 @@ def test_folds(spark):
 
     got = spark.createDataFrame([(12,), (None,)], "doc_id long").select(fold(F.col("doc_id"), 5).alias("f")).collect()
     assert [r.f for r in got] == [zlib.crc32(b"12") % 5, None]
+
+
+def test_mixing_in_place_repeats_rows_as_the_plan_does(spark, tmp_path):
+    texts = ["w", "w", "a b c", "", None, "# $ x", "long " * 9]
+    data = [(i % 40 if i % 9 else None, texts[i % 7], ["big", "small", None, "zz"][i % 4 if i % 5 else 0], i) for i in range(900)]
+    data += [(3, "same text", "zz", i) for i in range(200)] + [(4, "", "empty", 0)]  # one large group of copies
+    spark.createDataFrame(data, "doc_id long, text string, source string, n long").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    got = mixing.times(docs, partitions=5)
+    assert got.columns == [*docs.columns, "times"] and sorted(r.n for r in got.collect()) == sorted(r[3] for r in data)
+    count = lambda df: collections.Counter(map(tuple, df.select("doc_id", "source", mixing.word_count(F.col("text")), "times").collect()))
+    planned = mixing.mix(docs, partitions=5, carry=("text",))
+    assert count(got) == count(planned)
+    assert mixing.times(docs.limit(0)).count() == 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")  # a row per source fits, a row per document does not
+    try:
+        assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_doubtful_rows_hold_all_ids_and_few_others(spark):
+    rows_ = spark.range(20_000).selectExpr("id - 50 as doc_id", "'t' as text").union(spark.sql("select cast(null as long), 'n'"))
+    ids = rows_.where("doc_id % 10 = 0").select("doc_id")
+    got = texts.doubtful(rows_, ids, "doc_id", scratch.Scratch(spark, "test"))
+    assert got.columns == ["doc_id", "text", "_doubtful"] and got.count() == 20_001
+    assert got.where("doc_id % 10 = 0 and not _doubtful").count() == 0
+    assert got.where("doc_id % 10 <> 0 and _doubtful").count() < 50
+    assert texts.doubtful(rows_, ids.limit(0), "doc_id", scratch.Scratch(spark, "test")).where("_doubtful").count() == 0

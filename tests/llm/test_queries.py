@@ -7,7 +7,7 @@ from oracle_check import compare, connect
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from urlrisk.llm import line_rules, queries
+from urlrisk.llm import line_rules, near_dedup, queries
 
 
 @pytest.mark.parametrize("name", queries.SQL)
@@ -77,3 +77,19 @@ def test_near_duplicates_stage_keeps_what_brute_force_keeps(spark, small):
     stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
     got = sorted(r.doc_id for r in stage(spark, docs, small).collect())
     assert got == sorted(i for i, c in least.items() if i == c) and len(got) < len(least) - 20
+
+
+def test_near_duplicate_stage_does_not_move_texts_that_stay(spark, small):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the decisions were large
+    try:
+        docs = spark.read.parquet(f"{small}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+        out = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, small)
+        plan = out._jdf.queryExecution().sparkPlan()
+        while plan.nodeName() != "Union":
+            plan = plan.children().apply(0)
+        assert "SortMergeJoin" not in plan.children().apply(0).toString()
+        ids = [r.doc_id for r in out.select("doc_id").collect()]
+        judged = near_dedup.near_duplicates(docs, near_dedup.Forest(words=5, percent=80))
+        assert sorted(ids) == sorted(r.doc_id for r in judged.where("kept").collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

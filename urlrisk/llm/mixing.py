@@ -72,30 +72,25 @@ def with_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, mos
     return table.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def mix(
-    docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: int = 3, seed: int = 17,
-    quality: Column | None = None, partitions: int | None = None, carry: tuple[str, ...] = (),
-) -> DataFrame:
-    """`doc_id, source, size, source_size, target, times, taken` and the columns in `carry`,
-    one row per row of `docs` (`doc_id, text, source`).
-
-    `times` says how often the mix repeats a document, `taken` is times * size. Whole
-    epochs come first; then the documents with the smallest keys are taken once more, and
-    the one that crosses the budget is taken if that leaves the source nearer its target.
-    Null and empty texts have size 0 and are never taken beyond the epochs; a null source
-    is a source; equal rows have equal keys and stand side by side. A quality weight that
-    is null, or not above 0, puts a document last. An empty table gives an empty table.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
+def _key(seed: int, quality: Column | None) -> Column:
     text = F.col("text")
-    quality = cleanliness(text) if quality is None else quality
-    key = exponential_key(seed, [F.col("doc_id"), text], quality)
-    rows = docs.select("doc_id", "source", *carry, word_count(text).alias("size"), F.coalesce(key, F.lit(float("inf"))).alias("_key"))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = exponential_key(seed, [F.col("doc_id"), text], cleanliness(text) if quality is None else quality)
+    return F.coalesce(key, F.lit(float("inf")))
+
+
+def _judged(
+    docs: DataFrame, weights: tuple[float, ...], share: float, most: int, key: Column, partitions: int | None,
+    carry: tuple[str, ...], last: str, scratch: Scratch,
+) -> DataFrame:
+    """`doc_id, source, size, _key, source_size, target, epochs, once` and the columns in
+    `carry`; rows with equal keys and ids come in order of `last`. Texts are read once."""
+    rows = docs.select("doc_id", "source", *carry, word_count(F.col("text")).alias("size"), key.alias("_key"))
+    rows = scratch.put(rows, "rows")  # without texts
+    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = scratch.put(
         rows.repartitionByRange(n, F.col("source").asc_nulls_first(), "_key", "doc_id").withColumn("_p", F.spark_partition_id()), "keyed"
     )
+    scratch.drop(rows)
     sums = scratch.put(ranged.groupBy("source", "_p").agg(F.sum("size").alias("_sum")), "sums")
     sizes = sums.groupBy("source").agg(F.sum("_sum").alias("source_size"))
     targets = with_targets(sizes, weights, share, most, scratch)
@@ -106,12 +101,53 @@ def mix(
     joined = ranged.join(starts, ranged["source"].eqNullSafe(starts["source"]) & (ranged["_p"] == starts["_p"])).drop(
         starts["source"], starts["_p"]
     )
-    within = Window.partitionBy("_p", "source").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("_p", "source").orderBy("_key", "doc_id", last).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0)
     budget = F.col("target") - epochs * F.col("source_size")
     up_to = F.col("_start") + F.sum("size").over(within)
     once = (F.col("size") > 0) & (up_to - F.col("size") / 2 <= budget) & (budget > 0)
-    times = (epochs + once.cast("int")).cast("long")
-    return joined.withColumn("times", times).select(
+    return joined.withColumns({"epochs": epochs, "once": once})
+
+
+def mix(
+    docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: int = 3, seed: int = 17,
+    quality: Column | None = None, partitions: int | None = None, carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """`doc_id, source, size, source_size, target, times, taken` and the columns in `carry`,
+    one row per row of `docs` (`doc_id, text, source`).
+
+    `times` says how often the mix repeats a document, `taken` is times * size. Whole
+    epochs come first; then the documents with the smallest keys are taken once more, and
+    the one that crosses the budget is taken if that leaves the source nearer its target.
+    Null and empty texts have size 0 and are never taken beyond the epochs; a null source
+    is a source; equal rows have equal keys and stand side by side. A quality weight that
+    is null, or not above 0, puts a document last. An empty table gives an empty table.
+    """
+    judged = _judged(docs, weights, share, most, _key(seed, quality), partitions, carry, "size", Scratch(docs.sparkSession, "mixing"))
+    times = (F.col("epochs") + F.col("once").cast("int")).cast("long")
+    return judged.withColumn("times", times).select(
         "doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"), *carry
     )
+
+
+def times(
+    docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: int = 3, seed: int = 17,
+    quality: Column | None = None, partitions: int | None = None,
+) -> DataFrame:
+    """The rows of `docs` (`doc_id, text, source` and any others) with the `times` of `mix`.
+
+    Texts stay where they are: what a source takes once more is all up to its last row in
+    order of the keys, so a row is told by its own key, and only one row per source is
+    joined. Of equal rows, the first ones in the table come first. `docs` are read twice
+    and must give the same rows in the same order, as a stored table does.
+    """
+    scratch = Scratch(docs.sparkSession, "mixing")
+    key = _key(seed, quality)
+    placed = docs.withColumn("_row", F.monotonically_increasing_id())
+    judged = _judged(placed, weights, share, most, key, partitions, ("_row",), "_row", scratch)
+    upto = F.max(F.when(F.col("once"), F.struct("_key", "doc_id", "_row"))).alias("_upto")
+    limits = scratch.put(judged.groupBy("source").agg(F.max("epochs").alias("_epochs"), upto), "limits")
+    limits = limits.withColumnRenamed("source", "_source")
+    rows = placed.withColumn("_own", F.struct(key.alias("_key"), "doc_id", "_row")).join(limits, F.col("source").eqNullSafe(F.col("_source")))
+    once = F.coalesce(F.col("_own") <= F.col("_upto"), F.lit(False)) & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    return rows.select(*docs.columns, (F.col("_epochs") + once.cast("int")).cast("long").alias("times"))
