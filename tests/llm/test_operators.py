@@ -513,3 +513,25 @@ def test_doubtful_rows_hold_all_ids_and_few_others(spark):
     assert got.where("doc_id % 10 = 0 and not _doubtful").count() == 0
     assert got.where("doc_id % 10 <> 0 and _doubtful").count() < 50
     assert texts.doubtful(rows_, ids.limit(0), "doc_id", scratch.Scratch(spark, "test")).where("_doubtful").count() == 0
+
+
+def test_texts_that_are_looked_up_together_get_their_own_ids(spark, monkeypatch):
+    import pyarrow as pa
+
+    calls = []
+    load = packing._Words._load
+    monkeypatch.setattr(packing._Words, "_load", lambda self, words: (calls.append(len(words)), load(self, words))[1])
+    monkeypatch.setattr(packing, "_loaded", {})
+    given = ["Ab c, d.", "", None, " \n", "ab é, Ü! x&&&", "<|endoftext|> A", "c, " * 3000, "q" * 50] * 40
+    ids = list(range(len(given)))
+    batch = pa.record_batch([pa.array(ids), pa.array(given, pa.string())], names=["doc_id", "text"])
+    got = collections.defaultdict(bytes)
+    for part in packing._tokenize(iter([batch]), 64, None, "word_bpe_49k.json"):
+        for r in part.to_pylist():
+            assert r["start"] == len(got[r["doc_id"]]) // 4 and r["length"] == len(r["ids"]) // 4
+            got[r["doc_id"]] += r["ids"]
+    tokenizer = next(iter(packing._loaded.values())).tokenizer
+    for i, text in zip(ids, given, strict=True):
+        want = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        assert list(memoryview(got[i]).cast("I")) == want
+    assert len(calls) < 20  # not once per text

@@ -12,7 +12,7 @@ their ids can be packed where they are read, which shuffles nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,8 +51,8 @@ def _plain(word: str) -> bool:
 PART_BYTES = 1 << 20
 
 
-class _Words(dict):
-    """Ids of a word as little-endian 32-bit bytes."""
+class _Words:
+    """Ids of a word as little-endian 32-bit bytes, in `ids`."""
 
     def __init__(self, path: str | None, name: str):
         import os
@@ -64,35 +64,41 @@ class _Words(dict):
             import public_tokenizers
 
             path = public_tokenizers.path(name)
-        super().__init__()
+        self.ids: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
 
     def need(self, words: set[bytes]) -> None:
         """Load what is missing of `words`."""
-        new = {w for w in words if w not in self}
-        if len(self) + len(new) > CACHE_WORDS:
-            self.clear()
+        new = words.difference(self.ids)
+        if not new:
+            return
+        if len(self.ids) + len(new) > CACHE_WORDS:
+            self.ids.clear()
             new = words
         # A mark after a letter is a token of its own: such words follow from their parts.
-        marked = {w for w in new if len(w) > 1 and w[-1] in _MARKS and 97 <= w[-2] <= 122}
-        plain = (new - marked) | {w[:-1] for w in marked} | {w[-1:] for w in marked}
-        self._load([w for w in plain if w not in self])
+        marked = [w for w in new if w[-1] in _MARKS and len(w) > 1 and 97 <= w[-2] <= 122]
+        plain = new.difference(marked)
+        plain.update([w[:-1] for w in marked], [w[-1:] for w in marked])
+        self._load(plain.difference(self.ids))
+        ids = self.ids
         for w in marked:
-            self[w] = self[w[:-1]] + self[w[-1:]]
+            ids[w] = ids[w[:-1]] + ids[w[-1:]]
 
-    def _load(self, words: list[bytes]) -> None:
+    def _load(self, words: set[bytes]) -> None:
         from array import array
 
-        rest = []
+        ids, tokenize, rest = self.ids, self.tokenizer.model.tokenize, []
         for w in words:
-            if (w.isalpha() and w.islower()) or _plain(w.decode()):
-                tokens = self.tokenizer.model.tokenize(w.decode("latin-1").translate(_BYTE_LETTERS))
-                self[w] = array("I", [t.id for t in tokens]).tobytes()
+            if w.isalpha() and w.islower():  # ASCII letters are written as they are
+                ids[w] = array("I", [t.id for t in tokenize(w.decode())]).tobytes()
+            elif _plain(w.decode()):
+                tokens = tokenize(w.decode("latin-1").translate(_BYTE_LETTERS))
+                ids[w] = array("I", [t.id for t in tokens]).tobytes()
             else:
                 rest.append(w)
         found = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
         for w, e in zip(rest, found, strict=True):
-            self[w] = array("I", e.ids).tobytes()
+            ids[w] = array("I", e.ids).tobytes()
 
 
 _loaded: dict[tuple, _Words] = {}  # one per worker process
@@ -122,12 +128,7 @@ def _tokenize(batches: Iterator, capacity: int, path: str | None, name: str) ->
     for whole in batches:
         for batch in slices(whole, 256):
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                parts = []
-                for words in _words_of(text or b""):
-                    cache.need(set(words))
-                    parts.append(b"".join([cache[w] for w in words]))
-                ids = b"".join([*parts, b"\0\0\0\0"])
+            for doc, ids in _ids_of(zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True), cache):
                 for k, at in enumerate(range(0, len(ids), width)):
                     piece = ids[at : at + width]
                     rows.append((doc, k, at // 4, len(piece) // 4, piece))
@@ -135,6 +136,36 @@ def _tokenize(batches: Iterator, capacity: int, path: str | None, name: str) ->
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
+def _ids_of(docs: Iterable, cache: _Words) -> Iterator[tuple]:
+    """Documents with their ids, in order. Words are looked up for many short texts at once,
+    and part by part in long ones."""
+    held, size = [], 0
+
+    def looked_up():
+        cache.need(set().union(*[words for _, words, _ in held]))
+        for key, words, last in held:
+            yield key, b"".join(map(cache.ids.__getitem__, words)), last
+
+    def documents(parts):
+        for key, ids, last in parts:
+            done.append(ids)
+            if last:
+                yield key, b"".join([*done, b"\0\0\0\0"])
+                done.clear()
+
+    done: list[bytes] = []
+    for key, text in docs:
+        text = text or b""
+        for words in _words_of(text):
+            held.append((key, words, False))
+            size += min(len(text), PART_BYTES)
+            if size >= PART_BYTES:
+                yield from documents(looked_up())
+                held, size = [], 0
+        held.append((key, [], True))
+    yield from documents(looked_up())
+
+
 def pieces(
     docs: DataFrame, capacity: int = 2048, tokenizer_path: str | None = None, tokenizer: str = "word_bpe_49k.json",
 ) -> DataFrame:
