@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from urlrisk.llm.components import components, merged
 from urlrisk.llm.scratch import Scratch
-from urlrisk.llm.texts import slices, utf8
+from urlrisk.llm.texts import doubtful, slices, utf8
 
 #: Words whose hash a worker keeps; beyond, the cache starts anew (hashes do not depend on it).
 CACHE_WORDS = 300_000
@@ -397,8 +397,9 @@ def _confirm(batches: Iterator, forest: Forest) -> Iterator:
 def _confirmed(docs: DataFrame, pairs: DataFrame, forest: Forest, scratch: Scratch) -> DataFrame:
     """The pairs whose full shingle sets are similar enough."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    texts = scratch.put(texts, "texts")  # of candidates only
+    texts = doubtful(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids, "id", scratch)
+    texts = texts.where("_doubtful").drop("_doubtful").join(ids, "id", "left_semi")
+    texts = scratch.put(texts, "texts")  # of candidates only, as are those that move
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     found = both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _confirm(it, forest), "a long, b long")
