@@ -245,3 +245,20 @@ def test_combined_worker(spark, labelled, trained, tmp_path):
         wk.handle_training(lines, batch, str(root), out, str(data), settings)
     again = {r["job_id"]: r for r in wk.results(spark, str(root)).collect()}
     assert len(again) == 4 and again["t1"]["run_id"] == done["t1"]["run_id"] and again["t3"]["status"] == "failed"
+
+
+def test_scoring_computes_only_what_a_tree_reads(spark):
+    from urlrisk.operators import models as mo
+    from urlrisk.operators import scoring as sc
+    from urlrisk.operators.features import add_features
+
+    rows = spark.range(60).selectExpr("if(id % 2 = 0, 'http://a.example/' || id, 'http://b.example/x?q=' || id) as url", "if(id % 2 = 0, 'benign', 'malicious') as label")
+    train = mo.label_indexer(rows).transform(rows).transform(lambda d: add_features(d).drop("is_valid_url"))
+    model = mo.pipeline("decision_tree", {"maxDepth": 3}, 7).fit(train)
+    read = sc.read_features(model, sc.FEATURES)
+    assert read and len(read) < 10
+    urls = rows.union(spark.sql("select 'http://[bad/', null union all select '', null"))
+    lean, whole = (sc.score(urls, model, ["benign", "malicious"], with_features=w).select("url", "status", "error", "class", "confidence", "probabilities") for w in (False, True))
+    assert sorted(map(str, lean.collect())) == sorted(map(str, whole.collect()))
+    plan = lean._jdf.queryExecution().optimizedPlan().toString()
+    assert "random_string_domain_flag" in read or "aeiou" not in plan

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml import Transformer
+from pyspark.ml.classification import DecisionTreeClassificationModel
+from pyspark.ml.feature import StandardScalerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,20 +53,33 @@ def result_columns(df: DataFrame, model_id: str | None) -> DataFrame:
     )
 
 
+def read_features(model: Transformer, features) -> set[str]:
+    """The features that can change what `model` returns: those that a pipeline of
+    assembler, scaler and one decision tree splits on, and all of any other model."""
+    stages = getattr(model, "stages", [])
+    known = [VectorAssembler, StandardScalerModel, DecisionTreeClassificationModel]
+    if [type(s) for s in stages] != known:
+        return set(features)
+    inputs = stages[0].getInputCols()
+    return {inputs[int(i)] for i in re.findall(r"\(feature (\d+) ", stages[-1].toDebugString)}
+
+
 def score(
     df: DataFrame, model: Transformer, classes, features=FEATURES, model_id: str | None = None,
     url: str = "url", with_features: bool = False, dictionaries=None,
 ) -> DataFrame:
     """Score every row of `df`; empty or malformed URLs become failed rows.
 
-    One narrow plan: features, assembler, scaler and model are projections.
+    One narrow plan: features, assembler, scaler and model are projections. Features that
+    no split of a tree reads are not computed, unless the caller wants them.
     """
     work = add_features(df, url, dictionaries=dictionaries)
     valid = F.col("is_valid_url")
     work = work.withColumns(
         {"status": url_status(F.col(url), valid), "error": url_error(F.col(url), valid)}
     )
-    scored = model.transform(align(work, features))
+    read = set(features) if with_features else read_features(model, features)
+    scored = model.transform(align(work.drop(*[c for c in features if c not in read and c not in df.columns]), features))
     p = F.col("_p")
     names = F.array(*[F.lit(c) for c in classes])
     scored = scored.withColumn("_p", vector_to_array("probability")).withColumns(
